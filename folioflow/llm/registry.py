@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_url_filters": url_filters.op6_url_filters,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op6_url_filters": url_filters.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
