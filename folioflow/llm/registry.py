@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filters, warc
+from . import chat, mixing, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": chat.op2_chat,
     "op4_warc": warc.op4_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op2_chat": chat.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
     "op6_url_filters": url_filters.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
