@@ -20,7 +20,7 @@ _MASK = (1 << 64) - 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _WEIGHTS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: Bytes of text hashed together; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -72,23 +72,28 @@ def blocks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
         yield held
 
 
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the runs of ``width`` words of one sequence, repeats included."""
+def block_shingles(words: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a block."""
     n = len(words)
-    if n == 0:
-        return words
-    runs = max(1, n - width + 1)
-    out = np.full(runs, min(n, width), np.uint64)
-    for k in range(min(n, width)):
-        out = mix64(out * np.uint64(_WEIGHTS[k % 3]) + words[k : k + runs])
-    return out
+    runs = np.full(max(0, n - width + 1), width, np.uint64)
+    for k in range(width if len(runs) else 0):
+        runs = mix64(runs * np.uint64(_WEIGHTS[k % 3]) + words[k : k + len(runs)])
+    at = 0
+    for c in counts:
+        if c >= width:
+            own = np.sort(runs[at : at + c - width + 1])
+            yield own[np.r_[True, own[1:] != own[:-1]]]
+        elif c:
+            short = np.full(1, c, np.uint64)
+            for k in range(c):
+                short = mix64(short * np.uint64(_WEIGHTS[k % 3]) + words[at + k : at + k + 1])
+            yield short
+        else:
+            yield words[:0]
+        at += c
 
 
 def shingle_sets(texts: Iterable[str | None], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes (uint64) of each text, in order."""
     for block in blocks(texts):
-        words, counts = block_words(block)
-        at = 0
-        for n in counts:
-            yield np.unique(shingle_hashes(words[at : at + n], width))
-            at += n
+        yield from block_shingles(*block_words(block), width)

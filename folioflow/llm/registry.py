@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, mixing, topk_search, url_filters, warc
+from . import ann, chat, mixing, ngram_join, topk_search, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": chat.op2_chat,
     "op4_warc": warc.op4_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_ann": ann.op7_ann,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_mixing": mixing.op10_mixing,
 }
@@ -21,6 +22,7 @@ SQL: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
     "op6_url_filters": url_filters.OP6_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_topk_search": topk_search.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
