@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, mixing, ngram_join, topk_search, url_filters, warc
+from . import ann, chat, mixing, ngram_join, quality, topk_search, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_chat": chat.op2_chat,
     "op4_warc": warc.op4_warc,
     "op6_url_filters": url_filters.op6_url_filters,
