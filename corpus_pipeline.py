@@ -1,10 +1,50 @@
-"""From raw documents to training tokens: stages over the operators of ``folioflow.llm``."""
+"""From raw documents to training tokens: four stages over the operators of ``folioflow.llm``.
+
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, and
+all but the last return rows with the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.llm import mixing, ngram_join, quality, sentencepiece_codec
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.select("doc_id", "quality"))
+    return quality.with_quality(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
+def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays, once if its row is repeated."""
+    groups = ngram_join.near_duplicates(docs, width=5, percent=80)
+    kept = groups.where("doc_id IS NULL OR component_id = doc_id").select("doc_id").distinct()
+    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row's whole text."""
+    return sentencepiece_codec.encode(docs).select("doc_id", "source", F.col("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_first_of_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", tokenize),
+]
 #: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, mixing, ngram_join, quality, sentencepiece_codec, topk_search, url_filters, warc
+from . import ann, chat, html_extraction, mixing, ngram_join, quality, sentencepiece_codec, topk_search, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_chat": chat.op2_chat,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_warc": warc.op4_warc,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_url_filters": url_filters.op6_url_filters,
