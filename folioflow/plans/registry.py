@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from folioflow.plans import search_queries
+
+_PARTS = (search_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}
 FLAGSHIP = "e9_keyword_search"
