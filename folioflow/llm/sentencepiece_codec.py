@@ -38,7 +38,9 @@ from ._common import table
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches that a worker remembers in each of two generations, the older of which is dropped when the newer is full.
-CACHE = 250_000
+CACHE = 120_000
+#: Texts whose ids are held at a time.
+SLICE = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
@@ -235,7 +237,7 @@ class Codec:
 
     def _intact(self, left: int, right: int) -> bool:
         """Whether merging two pieces' characters gives the two pieces."""
-        if len(self.pairs) > 4 * CACHE:
+        if len(self.pairs) > 2 * CACHE:
             self.pairs.clear()
         two = [self.pieces[left] if left >= 0 else chr(-1 - left), self.pieces[right]]
         held = self.pairs[(left << 24) + right] = self._merged("".join(two)) == two
@@ -323,18 +325,25 @@ def codec(raw: bytes) -> Codec:
     return _codecs[raw]
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, column: str = "text") -> DataFrame:
-    """docs with ids (array<int>) and n_tokens of the whole text."""
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, column: str = "text", verify: bool = False) -> DataFrame:
+    """docs with ids (array<int>) and n_tokens of the whole text; with ``verify`` also round_trip, whether the
+    ids decode to the text (in the same Python worker, so that no second one holds another automaton)."""
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<ids: array<int>, round_trip: boolean>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model.value)
         for b in batches:
-            yield pd.Series([np.array(own.encode(t), np.int32) for t in b], dtype=object)
+            for at in range(0, len(b), SLICE):
+                texts = b.iloc[at : at + SLICE]
+                ids = [own.encode(t) for t in texts]
+                same = [own.decode(i) == (t or "") for i, t in zip(ids, texts)] if verify else [None] * len(ids)
+                yield pd.DataFrame({"ids": pd.Series([np.array(i, np.int32) for i in ids], dtype=object), "round_trip": pd.Series(same, dtype="boolean")})
 
-    return docs.withColumn("ids", ids(F.col(column))).withColumn("n_tokens", F.size("ids"))
+    out = docs.withColumn("__encoded", encoded(F.col(column))).withColumn("ids", F.col("__encoded.ids"))
+    out = out.withColumn("n_tokens", F.size("ids"))
+    return (out.withColumn("round_trip", F.col("__encoded.round_trip")) if verify else out).drop("__encoded")
 
 
 def decode(rows: DataFrame, model_path: str = MODEL_PATH, column: str = "ids") -> DataFrame:
@@ -346,12 +355,12 @@ def decode(rows: DataFrame, model_path: str = MODEL_PATH, column: str = "ids") -
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model.value)
         for b in batches:
-            yield pd.Series([None if x is None else own.decode(x.tolist()) for x in b], dtype=object)
+            for at in range(0, len(b), SLICE):
+                yield pd.Series([None if x is None else own.decode(x.tolist()) for x in b.iloc[at : at + SLICE]], dtype=object)
 
     return rows.withColumn("decoded", text(F.col(column)))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    docs = decode(docs).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")))
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
     return docs.select("doc_id", "n_tokens", "ids", "round_trip")
