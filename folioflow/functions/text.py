@@ -43,11 +43,11 @@ def pages(text: Column, count: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences with their end marks, and the unterminated tail; blank ones are left out."""
-    found = F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), F.lit(1))
-    used = F.aggregate(found, F.lit(0), lambda n, s: n + F.length(s))
-    tail = F.when(used < F.length(text), F.array(F.substr(text, used + 1))).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.concat(found, tail), lambda s: s.rlike(r"\S"))
+    """Sentences with their end marks, and the unterminated tail; blank ones are left out.
+
+    Texts are split behind runs of end marks: looking for ``[^.!?]*[.!?]+`` takes time that grows with
+    the square of a tail without end marks."""
+    return F.filter(F.split(text, r"(?<=[.!?])(?![.!?])", -1), lambda s: s.rlike(r"\S"))
 
 
 def overlap_tail(text: Column, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -181,7 +181,8 @@ def ellipsis(text: Column, n: int) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    kb, mb = F.format_string("%.1f KB", n / 1024), F.format_string("%.1f MB", n / (1024 * 1024))
+    tenths = lambda unit: F.floor(n / unit * 10 + 0.5) / 10
+    kb, mb = F.format_string("%.1f KB", tenths(1024)), F.format_string("%.1f MB", tenths(1024 * 1024))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, kb).otherwise(mb)
 
 

@@ -49,7 +49,8 @@ def match_by_author(cited: DataFrame, docs: DataFrame) -> DataFrame:
     last = F.lower(F.element_at(F.split(F.get("authors", F.lit(0)), " "), -1))
     asked = cited.where(F.size("authors") > 0).select("doc_id", "ordinal", last.alias("word"))
     words = docs.select("document", "ord", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z]+"))).alias("word")).where("word <> ''")
-    return asked.join(words, "word").groupBy("doc_id", "ordinal").agg(F.min_by("document", "ord").alias("document"))
+    first = words.groupBy("word").agg(F.min_by("document", "ord").alias("document"))  # before the join: a word may be in very many names
+    return asked.join(first, "word").select("doc_id", "ordinal", "document")
 
 
 def cites_edges(matched: DataFrame) -> DataFrame:

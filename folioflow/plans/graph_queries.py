@@ -159,7 +159,8 @@ def h4(spark, d):
     return R.concept_edges(found, R.concept_nodes(found))
 
 
-MATCH = """match0 AS (SELECT c.doc_id, c.ordinal, min_by(k.doc_id, k.doc_id) AS document FROM citedx c JOIN citing k ON split_part(k.name, '_', 1) = lower(string_split(c.authors[1], ' ')[-1]) GROUP BY ALL)"""
+MATCH = """firsts AS (SELECT split_part(name, '_', 1) AS word, min(doc_id) AS document FROM citing GROUP BY 1),
+match0 AS (SELECT c.doc_id, c.ordinal, f.document FROM citedx c JOIN firsts f ON f.word = lower(string_split(c.authors[1], ' ')[-1]))"""
 
 
 @query("h6_match_documents", O.with_(CIT, STYLED, CITED, MATCH, select="SELECT * FROM match0"))
@@ -248,11 +249,11 @@ def i10(spark, d):
     return R.yearly_counts(X.papers(spark, d), X.cites(spark, d))
 
 
-@query("i9_timeline", O.with_(PAP, "spine AS (SELECT unnest(range(min(year), max(year) + 1, 5))::INT AS snapshot FROM papers)", select="SELECT snapshot, id FROM spine JOIN papers ON year <= snapshot"))
+@query("i9_timeline", O.with_(PAP, "spine AS (SELECT unnest(range(min(year), max(year) + 1))::INT AS snapshot FROM papers)", select="SELECT snapshot, id FROM spine JOIN papers ON year <= snapshot"))
 def i9(spark, d):
     p = X.papers(spark, d)
     last = p.agg(F.min("year").alias("a"), F.max("year").alias("b"))
-    every = p.join(F.broadcast(last)).select("id", "year", F.explode(F.sequence("a", "b", F.lit(5))).alias("snapshot"))
+    every = p.join(F.broadcast(last)).select("id", "year", F.explode(F.sequence("a", "b")).alias("snapshot"))
     return every.where("year <= snapshot").select("snapshot", "id")
 
 

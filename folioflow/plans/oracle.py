@@ -88,7 +88,7 @@ HIGHLIGHTS = f"""highlights AS (SELECT 'hl_' || event_id AS id, event_id AS ord,
 
 _SUR = "[" + ", ".join(f"'{s}'" for s in SURNAMES) + "]"
 CITING = f"""cited0 AS (SELECT o_orderkey AS doc_id, {_SUR}[o_custkey % 8 + 1] AS s1, {_SUR}[o_custkey // 8 % 8 + 1] AS s2, {_SUR}[o_custkey // 64 % 8 + 1] AS s3,
-  year(o_orderdate) AS yr, o_orderkey // 50 % 4 AS form, o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0),
+  year(o_orderdate) AS yr, o_orderkey % 4 AS form, o_orderpriority, o_orderstatus FROM orders),
 cited1 AS (SELECT *, CASE form WHEN 0 THEN '(' || s1 || ' & ' || s2 || ', ' || yr || ')' WHEN 1 THEN '(' || s1 || ', ' || s2 || ' & ' || s3 || ' ' || yr || ')'
   WHEN 2 THEN '[1], [1-2]' ELSE '(' || s1 || ' 45)' END AS cit FROM cited0),
 citing AS (SELECT doc_id, lower(s1) || '_' || doc_id || '.pdf' AS name, 'Earlier work ' || cit || ' agrees. We extend ' || cit || '.' || chr(10) || 'References' || chr(10)
@@ -97,7 +97,7 @@ citing AS (SELECT doc_id, lower(s1) || '_' || doc_id || '.pdf' AS name, 'Earlier
 
 PAPERS = "papers AS (SELECT p_partkey AS id, p_name AS label, (1990 + p_partkey % 30)::INT AS year FROM part)"
 CITES = """cites AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  AND a.l_linenumber = b.l_linenumber + 1 AND a.l_partkey > b.l_partkey WHERE a.l_orderkey % 20 = 0)"""
+  AND a.l_linenumber = b.l_linenumber + 1 AND a.l_partkey > b.l_partkey)"""
 ANSWERS = """answers AS (SELECT conv_id, conv_id || '_' || turn AS answer_id, CASE WHEN conv_id % 2 = 1 THEN '[SOURCE 99] ' ELSE '' END
   || replace(replace(replace(text, '.', ' [SOURCE 1].'), '!', ' [SOURCE 2]!'), '?', ' [SOURCE 3]?') AS text FROM conversations WHERE role = 'assistant')"""
 ANSWER_SOURCES = """answer_sources AS (SELECT answer_id, n, 'doc_' || d.doc_id AS document_id, substr(d.text, (n - 1) * 200 + 1, 400) AS text

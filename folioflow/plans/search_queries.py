@@ -70,15 +70,14 @@ _MERGE = "len(acc[-1].text) + len(c.text) <= 1500"
     "b8_merged_chunks",
     O.with_(
         C, CH,
-        f"""items AS (SELECT document_id, page_number, list({{'chunk_id': chunk_id, 'text': text, 'start_index': start_index, 'end_index': end_index}} ORDER BY chunk_index) AS l
-FROM (SELECT * REPLACE (left(text, 500) AS text) FROM chunks) GROUP BY ALL),
+        f"""items AS (SELECT document_id, page_number, list({{'chunk_id': chunk_id, 'text': text, 'start_index': start_index, 'end_index': end_index}} ORDER BY chunk_index) AS l FROM chunks GROUP BY ALL),
 merged AS (SELECT document_id, page_number, unnest(list_reduce(l[2:], lambda acc, c: CASE WHEN {_MERGE} THEN list_append(acc[:-2],
   {{'chunk_id': acc[-1].chunk_id, 'text': acc[-1].text || ' ' || c.text, 'start_index': acc[-1].start_index, 'end_index': c.end_index}}) ELSE list_append(acc, c) END, l[:1])) AS m FROM items)""",
         select="SELECT m.chunk_id, document_id, page_number, m.text AS text, m.start_index, m.end_index FROM merged",
     ),
 )
 def b8(spark, d):
-    return T.merged(X.chunks(spark, d).withColumn("text", F.left("text", F.lit(500))))
+    return T.merged(X.chunks(spark, d))
 
 
 @query(
@@ -187,13 +186,13 @@ def e8(spark, d):
     return hits.select("query_id", "chunk_id", K.excerpt(F.col("text"), T.tokens(F.col("query"))).alias("excerpt"))
 
 
-_SUMS = "sums AS (SELECT document_id AS query_id, array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 12), ' ') AS query FROM corpus)"
+_SUMS = f"sums AS (SELECT document_id AS query_id, coalesce(({O.sentences('text')})[1], '') AS query FROM corpus)"
 _REL = "rel AS (SELECT query_id, document_id, min(rank) AS first FROM found WHERE query_id <> document_id GROUP BY ALL)"
 
 
 @query("e10_related_documents", O.with_(C, CH, _SUMS, O.POSTINGS, O.base("sums"), O.boosted("sums"), O.ranked(6), _REL, select="SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY first)::INT AS rank FROM rel QUALIFY rank <= 5"))
 def e10(spark, d):
-    summary = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
+    summary = F.coalesce(F.get(T.sentences(F.col("text")), F.lit(0)), F.lit(""))
     return K.related(X.chunks(spark, d), X.corpus(spark, d).select("document_id", summary.alias("summary")))
 
 
@@ -205,15 +204,15 @@ def c11(spark, d):
 
 @query(
     "n_scalar_functions",
-    "SELECT doc_id, replace(replace(replace(replace(replace(left(text, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml,"
-    " replace(replace(replace(replace(left(text, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html,"
-    " replace(replace(regexp_replace(replace(left(text, 300), '\\', '\\textbackslash{}'), '([&%$#_])', '\\\\\\1', 'g'), '~', '\\textasciitilde{}'), '^', '\\textasciicircum{}') AS latex,"
-    f" {O.trimmed('regexp_replace(regexp_replace(regexp_replace(lower(left(text, 300)), ' + chr(39) + chr(92) + 'n+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '[^' + chr(92) + 'w' + chr(92) + 's]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS norm,"
+    "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml,"
+    " replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html,"
+    " replace(replace(regexp_replace(replace(text, '\\', '\\textbackslash{}'), '([&%$#_])', '\\\\\\1', 'g'), '~', '\\textasciitilde{}'), '^', '\\textasciicircum{}') AS latex,"
+    f" {O.trimmed('regexp_replace(regexp_replace(regexp_replace(lower(text), ' + chr(39) + chr(92) + 'n+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '[^' + chr(92) + 'w' + chr(92) + 's]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS norm,"
     " CASE WHEN len(text) > 100 THEN left(text, 100) || '...' ELSE text END AS short, lower(regexp_replace(source || '_' || lang, '[^a-zA-Z0-9]', '', 'g')) AS key,"
-    " CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024) ELSE printf('%.1f MB', n_chars / 1048576) END AS size FROM documents",
+    " CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576 * 10 + 0.5) / 10) END AS size FROM documents",
 )
 def n_scalars(spark, d):
-    part = F.left("text", F.lit(300))
+    part = F.col("text")
     return X.table(spark, d, "documents").select(
         "doc_id", T.escape_xml(part).alias("xml"), T.escape_html(part).alias("html"), T.escape_latex(part).alias("latex"), T.normalized(part).alias("norm"),
         T.ellipsis(F.col("text"), 100).alias("short"), T.cite_key(F.concat("source", F.lit("_"), "lang")).alias("key"), T.human_size(F.col("n_chars")).alias("size"),
