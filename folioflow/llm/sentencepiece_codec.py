@@ -178,18 +178,19 @@ class Codec:
         return self._by_score(text) if self.kind == UNIGRAM else self._by_merges(text)
 
     def _by_score(self, text: str) -> list[int]:
-        best, last, node = [0.0], [(0, 0)], 0
+        # single precision, as models are scored elsewhere: it decides between sums that are equal but for rounding
+        best, last, node = [np.float32(0)], [(0, 0)], 0
         for end, c in enumerate(text, 1):
             step = self.next[node].get(c)
             node = self._step(node, c) if step is None else step
             outputs = self.outputs[node]
             top, choice = None, None
             for i, size in self._outputs(node) if outputs is None else outputs:
-                score = best[end - size] + self.scores[i]
+                score = best[end - size] + np.float32(self.scores[i])
                 if top is None or score > top:
                     top, choice = score, (i, size)
-            if top is None or choice[1] > 1 and c not in self.ids and best[end - 1] + self.unknown_score > top:
-                top, choice = best[end - 1] + self.unknown_score, (-1 - ord(c), 1)
+            if top is None or choice[1] > 1 and c not in self.ids and best[end - 1] + np.float32(self.unknown_score) > top:
+                top, choice = best[end - 1] + np.float32(self.unknown_score), (-1 - ord(c), 1)
             best.append(top)
             last.append(choice)
         return self._read_off(last)
