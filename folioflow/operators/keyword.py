@@ -47,16 +47,15 @@ def phrase_boost(text: Column, query: Column) -> Column:
     return F.when(F.contains(F.lower(text), F.lower(query)), 2.0).otherwise(1.0)
 
 
-def min_distance(text: Column, terms: Column) -> Column:
-    """Least distance between the first places of any two terms in the text; null if fewer than two occur."""
-    low = F.lower(text)
+def min_distance(low: Column, terms: Column) -> Column:
+    """Least distance between the first places of any two terms in a lower-case text; null if fewer than two occur."""
     found = F.array_sort(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0))
     gaps = F.zip_with(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), lambda b, a: b - a)
     return F.array_min(gaps)
 
 
-def proximity_boost(text: Column, terms: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 0.5 - min_distance(text, terms) / 200), F.lit(0.0))
+def proximity_boost(low: Column, terms: Column) -> Column:
+    return F.coalesce(F.greatest(F.lit(0.0), 0.5 - min_distance(low, terms) / 200), F.lit(0.0))
 
 
 def name_matches(name: Column, patterns: Column) -> Column:
@@ -84,10 +83,12 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = K, names: DataFrame |
         base = base.where(name_matches(F.col("name"), F.col("document_filter"))).select("query_id", "chunk_id", "base")
     kth = top_ranked(base, k, "base").groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("base")).otherwise(0.0).alias("kth"))
     near = base.join(kth, "query_id").where(F.col("base") * (MAX_BOOST + 1e-6) >= F.col("kth"))
-    texts = near.join(chunks.select("chunk_id", "document_id", "text"), "chunk_id")
-    asked = queries.select("query_id", "query", T.tokens(F.col("query")).alias("terms"))
+    # lower-cased and cut before the joins, so once per chunk and query and not once per pair
+    texts = near.join(chunks.select("chunk_id", "document_id", F.lower("text").alias("low")), "chunk_id")
+    asked = queries.select("query_id", F.lower("query").alias("phrase"), T.tokens(F.col("query")).alias("terms"))
     full = texts.join(asked, "query_id")
-    score = F.col("base") * phrase_boost(F.col("text"), F.col("query")) * (1 + proximity_boost(F.col("text"), F.col("terms")))
+    phrase = F.when(F.contains("low", "phrase"), 2.0).otherwise(1.0)
+    score = F.col("base") * phrase * (1 + proximity_boost(F.col("low"), F.col("terms")))
     full = full.withColumn("score", F.round(score, 6)).where("score > 0")
     best = top_ranked(full, k)
     share = F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)
