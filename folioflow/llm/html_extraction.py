@@ -9,7 +9,7 @@ seen on MIN_PAGES pages whose weighted importance is under THRESHOLD are left ou
 
 What the markup itself says goes first: elements for navigation, page headers and footers,
 asides, forms, scripts, styles, notices, adverts and comments, by tag, role or class,
-are left out, and where a page marks its article (or main part), the text is taken
+are left out, unless they hold all articles or most of the text of the page, and where a page marks its article (or main part), the text is taken
 from there and not judged by statistics.  So pages of hosts with few pages lose no text.
 
 Defined cases: a null or empty html gives an empty text; a null url belongs to the empty
@@ -37,44 +37,113 @@ MIN_PAGES, THRESHOLD = 5, 0.2
 STYLE_WEIGHT = 0.3
 NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select option dialog menu head title textarea audio video".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status tooltip".split())
-#: Words of class and id names.
+#: Class and id names that consist of such words, and of words for boxes.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer comment comments reply replies disqus discussion respond share sharing social related recommended recommendations newsletter subscribe signup login toolbar pagination pager copyright skip".split()
 )
 CONTENT_WORDS = frozenset("article entry post content story main".split())
+#: Words that say where or what kind of box a noise word's element is: "site-footer", "share-buttons".
+BOX_WORDS = frozenset("site page main global top bottom left right box block bar list wrap wrapper container area section widget links link buttons button items item inner slot unit group form".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
+#: Articles of these names are not what a page is about.
+CARD_WORDS = COMMENT_WORDS | frozenset("card cards teaser teasers".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNSEEN_TAGS = frozenset("script style noscript template iframe object svg canvas button select option head title textarea audio video".split())
 
 
-def names(node: Node) -> set[str]:
-    return set(re.findall(r"[a-z0-9]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())) if node.attrs else set()
+def words(value: str) -> set[str]:
+    return set(re.findall(r"[a-z0-9]+", value.lower()))
 
 
-def is_noise(node: Node, in_article: bool) -> bool:
-    tag = node.tag
-    if tag in NOISE_TAGS:
-        return True
-    if tag == "header":
-        return not in_article
-    if not node.attrs or tag in ("html", "body", "main"):
+def names(node: Node) -> set[str]:
+    return words(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}") if node.attrs else set()
+
+
+def noise_names(value: str) -> set[str]:
+    """The noise words of whole names: of "cookie-notice" and "site-footer", but not of "has-sidebar" or "related-work"."""
+    found: set[str] = set()
+    for name in value.lower().split():
+        parts = words(name)
+        if parts & NOISE_WORDS and parts <= NOISE_WORDS | BOX_WORDS:
+            found |= parts & NOISE_WORDS
+    return found
+
+
+def marked(node: Node) -> bool:
+    """Whether the markup calls it an article or the main part."""
+    if node.tag in ("article", "main"):
+        return not words(node.attrs.get("class", "")) & CARD_WORDS
+    return bool(node.attrs) and node.attrs.get("role", "").lower() in ("article", "main")
+
+
+class Markup:
+    """What the markup of one page leaves out."""
+
+    def __init__(self, root: Node):
+        self.root, self._whole = root, None
+
+    @staticmethod
+    def contents(node: Node) -> tuple[int, int]:
+        """Under the node: the outermost marked articles and main parts, and the characters of text."""
+        marks = size = 0
+        stack = [(node, False)]
+        while stack:
+            n, inside = stack.pop()
+            for c in n.children:
+                if isinstance(c, str):
+                    size += len(c.strip())
+                elif c.tag not in UNSEEN_TAGS:
+                    mark = not inside and marked(c)
+                    marks += mark
+                    stack.append((c, inside or mark))
+        return marks, size
+
+    def holds_page(self, node: Node, in_article: bool, sure: bool) -> bool:
+        """Whether the node holds what the page is about: all its articles and main parts, or most of its text.
+        What the markup is sure of needs both."""
+        if self._whole is None:
+            self._whole = self.contents(self.root)
+        whole, total = self._whole
+        marks, size = self.contents(node)
+        most = 2 * size > total
+        if in_article:
+            return most and not sure and not names(node) & COMMENT_WORDS
+        every = marks == whole > 0
+        return (every and most) if sure else (every or (whole == 0 and most))
+
+    def is_noise(self, node: Node, in_article: bool) -> bool:
+        tag, a = node.tag, node.attrs
+        if tag in UNSEEN_TAGS:
+            return True
+        if tag in NOISE_TAGS or (tag == "header" and not in_article):
+            return not self.holds_page(node, in_article, tag != "form")
+        if not a or tag in ("html", "body", "main", "header"):
+            return False
+        if tag == "article":
+            return bool(names(node) & {"comment", "comments", "reply"})
+        if "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")):
+            return True
+        if a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in NOISE_ROLES:
+            return not self.holds_page(node, in_article, True)
+        if in_article and tag in HEADINGS:
+            return False
+        found = noise_names(a.get("class", ""))
+        if not (in_article and tag in ("section", "p")):
+            found |= noise_names(a.get("id", ""))
+        own = names(node)
+        if found or ("header" in own and not in_article and not own & CONTENT_WORDS):
+            return not self.holds_page(node, in_article, False)
         return False
-    if tag == "article":
-        return bool(names(node) & {"comment", "comments", "reply"})
-    a = node.attrs
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    if a.get("role", "").lower() in NOISE_ROLES:
-        return True
-    words = names(node)
-    return bool(words & NOISE_WORDS) or ("header" in words and not in_article and not words & CONTENT_WORDS)
-
-
-def articles(node: Node) -> tuple[list[Node], list[Node]]:
+
+
+def articles(node: Node, markup: Markup) -> tuple[list[Node], list[Node]]:
     """The outermost article elements, and the outermost main elements, that are in no noise."""
     found: list[Node] = []
     mains: list[Node] = []
 
     def visit(n: Node, in_main: bool) -> None:
         for c in n.children:
-            if isinstance(c, Node) and not is_noise(c, False):
+            if isinstance(c, Node) and not markup.is_noise(c, False):
                 if c.tag == "article" or c.attrs.get("role", "").lower() == "article":
                     found.append(c)
                     continue
@@ -95,12 +164,12 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def places(root: Node) -> Iterator[tuple[int, Node]]:
+def places(root: Node, markup: Markup) -> Iterator[tuple[int, Node]]:
     """The elements that markup leaves undecided, with the number of their place; marked articles as a whole."""
 
     def visit(n: Node, path: str) -> Iterator[tuple[int, Node]]:
         for c in n.children:
-            if isinstance(c, Node) and not is_noise(c, False):
+            if isinstance(c, Node) and not markup.is_noise(c, False):
                 own = f"{path}>{presentation(c)}"
                 if c.tag not in ("html", "body", "br", "hr"):
                     yield number(own), c
@@ -113,9 +182,11 @@ def places(root: Node) -> Iterator[tuple[int, Node]]:
 def page_rows(page: str) -> list[tuple[int, int, int]]:
     """(place, style, content) of the undecided elements of a page."""
     out = []
-    for place, n in places(parse(page)):
+    root = parse(page)
+    markup = Markup(root)
+    for place, n in places(root, markup):
         style = " ".join(presentation(c) for c in n.children if isinstance(c, Node))
-        out.append((place, number(style), number(" ".join(blocks([n], lambda c: is_noise(c, False))))))
+        out.append((place, number(style), number(" ".join(blocks([n], lambda c: markup.is_noise(c, False))))))
     return out
 
 
@@ -123,11 +194,12 @@ def page_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    found, mains = articles(root)
+    markup = Markup(root)
+    found, mains = articles(root, markup)
     if chosen := found or mains:
-        return " ".join(blocks(chosen, lambda n: is_noise(n, True)))
-    left_out = {id(n) for place, n in places(root) if place in low} if low else set()
-    return " ".join(blocks([root], lambda n: id(n) in left_out or is_noise(n, False)))
+        return " ".join(blocks(chosen, lambda n: markup.is_noise(n, True)))
+    left_out = {id(n) for place, n in places(root, markup) if place in low} if low else set()
+    return " ".join(blocks([root], lambda n: id(n) in left_out or markup.is_noise(n, False)))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:

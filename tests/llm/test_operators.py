@@ -241,6 +241,19 @@ def test_extraction_of_messy_pages():
     assert html_extraction.page_text("<p>1 < 2 and a<b>c</b></p>") == "1 < 2 and ac"
 
 
+def test_names_leave_out_no_content():
+    text = html_extraction.page_text
+    for wrapper in ("site has-sidebar", "no-sidebar", "sidebar", "content-share menu"):
+        assert text(f"<body><div class='{wrapper}'><nav>n</nav><article><p>one two</article></div><footer>f</footer>") == "one two"
+        assert text(f"<body><div class='{wrapper}'><p>one two three</div><div class='sidebar'>x</div>") == "one two three"
+    assert text("<form><main><p>one two</main></form>") == "one two"  # a page within a form
+    page = "<article><p>one<section id='discussion'><p>two</section><h2 id='related-work'>three</h2><p id='notice'>four<div class='copyright-law'>five</div></article>"
+    assert text(page) == "one two three four five"
+    for name in ("ad", "cookie-notice", "site-footer", "share-buttons", "sidebar", "related"):
+        assert text(f"<body><article><p>one two<div class='{name}'>x</div></article><div class='{name}'>y</div>") == "one two"
+    assert text("<article><p>one<div class='comments'><article class='comment'>some longer comment</article></div></article>") == "one"
+
+
 def test_style_tree_drops_what_a_site_repeats(spark):
     page = lambda i: f"<body><div class='top'>Our slogan</div><div class='x'><p>text number {i} says {i * 7}</p></div><div class='end'>Call us</div></body>"
     rows = [(i, "http://a.org/1", page(i), "t") for i in range(8)] + [(8, "http://b.org/", page(8), "t"), (9, None, None, None)]
