@@ -9,8 +9,11 @@ seen on MIN_PAGES pages whose weighted importance is under THRESHOLD are left ou
 
 What the markup itself says goes first: elements for navigation, page headers and footers,
 asides, forms, scripts, styles, notices, adverts and comments, by tag, role or class,
-are left out, unless they hold all articles or most of the text of the page, and where a page marks its article (or main part), the text is taken
-from there and not judged by statistics.  So pages of hosts with few pages lose no text.
+are left out, unless they hold all articles or most of the text of the page.  All other
+places are judged by the tree, within articles and outside of them.  A marked article or
+main part is protected: the tree takes neither it, nor what holds it, nor its headings,
+table cells and inline elements, but does take what a site repeats in it,
+as long as most of the page's text stays.
 
 Defined cases: a null or empty html gives an empty text; a null url belongs to the empty
 host; equal pages of a host count once in its tree; repeated rows give repeated rows; tags
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_ROWS, salted_join, table
-from ._dom import Node, blocks, parse, walk
+from ._dom import INLINE, Node, blocks, parse
 from .url_filters import url_parts
 
 MIN_PAGES, THRESHOLD = 5, 0.2
@@ -48,6 +51,7 @@ COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split(
 #: Articles of these names are not what a page is about.
 CARD_WORDS = COMMENT_WORDS | frozenset("card cards teaser teasers".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("thead tbody tfoot tr td th caption".split())
 UNSEEN_TAGS = frozenset("script style noscript template iframe object svg canvas button select option head title textarea audio video".split())
 
 
@@ -111,6 +115,19 @@ class Markup:
         every = marks == whole > 0
         return (every and most) if sure else (every or (whole == 0 and most))
 
+    def inside(self) -> set[int]:
+        """The ids of the elements within articles and main parts."""
+        out: set[int] = set()
+        stack = [(self.root, False)]
+        while stack:
+            n, within = stack.pop()
+            for c in n.children:
+                if isinstance(c, Node):
+                    if within:
+                        out.add(id(c))
+                    stack.append((c, within or marked(c)))
+        return out
+
     def is_noise(self, node: Node, in_article: bool) -> bool:
         tag, a = node.tag, node.attrs
         if tag in UNSEEN_TAGS:
@@ -136,26 +153,6 @@ class Markup:
         return False
 
 
-def articles(node: Node, markup: Markup) -> tuple[list[Node], list[Node]]:
-    """The outermost article elements, and the outermost main elements, that are in no noise."""
-    found: list[Node] = []
-    mains: list[Node] = []
-
-    def visit(n: Node, in_main: bool) -> None:
-        for c in n.children:
-            if isinstance(c, Node) and not markup.is_noise(c, False):
-                if c.tag == "article" or c.attrs.get("role", "").lower() == "article":
-                    found.append(c)
-                    continue
-                main = c.tag == "main" or c.attrs.get("role", "").lower() == "main"
-                if main and not in_main:
-                    mains.append(c)
-                visit(c, in_main or main)
-
-    visit(node, False)
-    return found, mains
-
-
 def presentation(node: Node) -> str:
     return f"{node.tag}#{node.attrs.get('id', '')}.{'.'.join(sorted(names(node)))}" if node.attrs else node.tag
 
@@ -164,30 +161,44 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def places(root: Node, markup: Markup) -> Iterator[tuple[int, Node]]:
-    """The elements that markup leaves undecided, with the number of their place; marked articles as a whole."""
+def places(root: Node, markup: Markup) -> Iterator[tuple[int, Node, int, int]]:
+    """The elements that markup leaves in and statistics may leave out, with the numbers of their place, style and
+    content (of the text and elements that markup leaves in).
 
-    def visit(n: Node, path: str) -> Iterator[tuple[int, Node]]:
-        for c in n.children:
-            if isinstance(c, Node) and not markup.is_noise(c, False):
-                own = f"{path}>{presentation(c)}"
-                if c.tag not in ("html", "body", "br", "hr"):
-                    yield number(own), c
-                if c.tag != "article":
-                    yield from visit(c, own)
+    Articles, main parts and what holds them are never left out by statistics, nor are headings, table cells and
+    inline elements of an article, which belong to the text around them."""
+    out: list[tuple[int, Node, int, int]] = []
 
-    yield from visit(root, "")
+    def visit(n: Node, path: str, in_article: bool) -> tuple[int, bool]:
+        parts, styles, holds = [], [], False
+        for c in n.children:
+            if isinstance(c, str):
+                if held := " ".join(c.split()):
+                    parts.append(held)
+                continue
+            own = presentation(c)
+            styles.append(own)
+            if markup.is_noise(c, in_article):
+                continue
+            mark = marked(c)
+            content, inner = visit(c, f"{path}>{own}", in_article or mark)
+            holds = holds or inner or mark
+            if content:
+                parts.append(str(content))
+        content = number(" ".join(parts)) if parts else 0
+        part_of_text = in_article and (n.tag in HEADINGS or n.tag in CELLS or n.tag in INLINE)
+        if n is not root and not (part_of_text or holds or marked(n) or n.tag in ("html", "body", "br", "hr")):
+            out.append((number(path), n, number(" ".join(styles)), content))
+        return content, holds
+
+    visit(root, "", False)
+    return iter(out)
 
 
 def page_rows(page: str) -> list[tuple[int, int, int]]:
     """(place, style, content) of the undecided elements of a page."""
-    out = []
     root = parse(page)
-    markup = Markup(root)
-    for place, n in places(root, markup):
-        style = " ".join(presentation(c) for c in n.children if isinstance(c, Node))
-        out.append((place, number(style), number(" ".join(blocks([n], lambda c: markup.is_noise(c, False))))))
-    return out
+    return [(place, style, content) for place, _, style, content in places(root, Markup(root))]
 
 
 def page_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
@@ -195,11 +206,18 @@ def page_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
         return ""
     root = parse(page)
     markup = Markup(root)
-    found, mains = articles(root, markup)
-    if chosen := found or mains:
-        return " ".join(blocks(chosen, lambda n: markup.is_noise(n, True)))
-    left_out = {id(n) for place, n in places(root, markup) if place in low} if low else set()
-    return " ".join(blocks([root], lambda n: id(n) in left_out or markup.is_noise(n, False)))
+    inside = markup.inside()
+
+    def text(left_out: set[int]) -> str:
+        return " ".join(blocks([root], lambda n: id(n) in left_out or markup.is_noise(n, id(n) in inside)))
+
+    left_out = {id(n) for place, n, _, _ in places(root, markup) if place in low} if low else set()
+    whole = text(left_out - inside)
+    if not left_out & inside:
+        return whole
+    # where most of an article is on other pages too, it is a copy and no part of the site's frame
+    rest = text(left_out)
+    return rest if 2 * len(rest) > len(whole) else whole
 
 
 def style_tree(pages: DataFrame) -> DataFrame:

@@ -265,6 +265,18 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert {r.text for r in html_extraction.extract(same).collect()} == {"Our slogan text number 1 says 7 Call us"}  # copies count once
 
 
+def test_style_tree_judges_articles_and_what_is_around_them(spark):
+    page = lambda i: f"<body><div class='w'><main><div class='lead'>lead {i}</div><article><h2>Results</h2><p>text <b>so</b> {i}</p><div class='x'>Buy now</div></article><div class='rest'>rest {i}</div></main><div class='end'>Call us</div></div>"
+    rows = [(i, "http://a.org/1", page(i)) for i in range(8)] + [(8, "http://b.org/", page(8))]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[3] == "lead 3 Results text so 3 rest 3"
+    assert got[8] == "lead 8 Results text so 8 Buy now rest 8 Call us"  # one page tells nothing about a site
+
+    copies = [(i, "http://a.org/1", f"<main><article><p>the same text</p></article><div>seen {i}</div></main>") for i in range(8)]
+    got = html_extraction.extract(spark.createDataFrame(copies, "page_id int, url string, html string")).collect()
+    assert {r.text for r in got} == {f"the same text seen {i}" for i in range(8)}
+
+
 # --- URL filters
 
 
