@@ -12,9 +12,9 @@ one cell of work: each row goes to as many cells as there are blocks of the othe
 Equal vectors are searched once and expanded to ids at the end.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components,
-take no part, nor do those whose length is not the most common one, or with quantised
-components so large (46,000 before scaling, at 64 components) that doubles would not hold
-all products exactly; a null vec_id takes
+take no part, nor do those whose length is not the most common one; products too large for
+doubles to hold exactly are taken in integers, and one that does not fit a long stops the
+query, as it does in SQL; a null vec_id takes
 no part; repeated rows of one id are candidates of each other's queries only under other
 ids, as an id is never its own neighbour; an empty table gives an empty result; other
 columns are not carried.
@@ -47,9 +47,10 @@ CHUNK = 1024
 
 def quantised(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     """vec_id, vector (longs), is_query of the rows that take part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")))
+    whole = lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double"))
+    too_large = F.raise_error(F.lit("a scaled component does not fit a long")).cast("long")
+    v = F.transform("embedding", lambda x: F.when((F.abs(x) >= F.lit(2.0**63 / SCALE)) & (F.abs(x) < float("inf")), too_large).otherwise(whole(x)))
     ok = vectors.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", v.alias("vector"))
-    ok = ok.where(F.array_max(F.transform("vector", F.abs)) < F.sqrt(F.lit(EXACT) / F.size("vector")))
     return ok.withColumn("is_query", F.col("vec_id") % step == 0)
 
 
@@ -67,7 +68,54 @@ def summaries(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(means + spreads, axis=1)
 
 
-def search_block(best: Best, queries: np.ndarray, stats: list[np.ndarray], vectors: np.ndarray, reps: np.ndarray) -> None:
+class ExactBest(Best):
+    """The best with long scores."""
+
+    NONE = -(2**63 - 1)
+
+    def __init__(self, n: int, k: int):
+        super().__init__(n, k)
+        self.scores = np.full((n, k), self.NONE, np.int64)
+
+    @property
+    def least(self) -> np.ndarray:
+        return np.where(self.scores[:, -1] > self.NONE, self.scores[:, -1].astype(np.float64), -np.inf)
+
+    def frame(self, queries: np.ndarray) -> pd.DataFrame:
+        keep = self.scores > self.NONE
+        return pd.DataFrame({"q_rep": np.repeat(queries, keep.sum(axis=1)), "rep": self.reps[keep], "score": self.scores[keep]})
+
+
+def largest(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+def fits_doubles(x: np.ndarray) -> bool:
+    return largest(x) ** 2 * x.shape[1] < EXACT
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact products of long vectors."""
+    with_any = largest(vectors) * vectors.shape[1]
+    small = np.array([largest(q) * with_any < 2**63 - 1 for q in queries], bool)
+    out = np.empty((len(queries), len(vectors)), np.int64)
+    out[small] = queries[small] @ vectors.T
+    for i in np.flatnonzero(~small):
+        row = vectors.astype(object) @ queries[i].astype(object)
+        if max(map(abs, row), default=0) >= 2**63 - 1:
+            raise OverflowError("an inner product does not fit a long")
+        out[i] = row.astype(np.int64)
+    return out
+
+
+def search_exactly(best: ExactBest, queries: np.ndarray, vectors: np.ndarray, reps: np.ndarray) -> None:
+    """As search_block, for vectors whose products doubles do not hold."""
+    scores = products(queries, vectors)
+    rows, cols = np.nonzero(scores >= best.scores[:, -1:])
+    best.add(rows, scores[rows, cols], reps[cols])
+
+
+def search_block(best: ExactBest, queries: np.ndarray, stats: list[np.ndarray], vectors: np.ndarray, reps: np.ndarray) -> None:
     """Take a block of candidates into the best of all queries."""
     floor = best.least
     slack = 1e-9 * (np.abs(floor) + 1)
@@ -87,7 +135,7 @@ def search_block(best: Best, queries: np.ndarray, stats: list[np.ndarray], vecto
         scores = scores[rows, cols]
     else:
         scores = np.einsum("ij,ij->i", queries[rows], vectors[cols])
-    best.add(rows, scores, reps[cols])
+    best.add(rows, scores.astype(np.int64), reps[cols])
 
 
 def top_products(cls: DataFrame, k: int) -> DataFrame:
@@ -101,11 +149,11 @@ def top_products(cls: DataFrame, k: int) -> DataFrame:
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        queries = q_reps = best = stats = None
+        longs = queries = q_reps = best = stats = in_doubles = None
         for _, begins, part in sorted_runs(batches, ["d", "q"]):
             if begins:
                 if best is not None:
-                    yield best.frame(q_reps, np.int64)
+                    yield best.frame(q_reps)
                 held, best = [], None
             asked = part[part["kind"] == 0]
             if len(asked):
@@ -115,13 +163,18 @@ def top_products(cls: DataFrame, k: int) -> DataFrame:
                 continue
             if best is None:
                 asked = pd.concat(held)
-                queries, q_reps = np.stack(asked["vector"].to_numpy()).astype(np.float64), asked["rep"].to_numpy()
-                best, stats = Best(len(queries), k + 1), [summaries(queries, n) for n in LEVELS]
-            vectors, reps = np.stack(rest["vector"].to_numpy()).astype(np.float64), rest["rep"].to_numpy()
+                longs, q_reps = np.stack(asked["vector"].to_numpy()), asked["rep"].to_numpy()
+                queries, in_doubles = longs.astype(np.float64), fits_doubles(longs)
+                best, stats = ExactBest(len(queries), k + 1), [summaries(queries, n) for n in LEVELS]
+            vectors, reps = np.stack(rest["vector"].to_numpy()), rest["rep"].to_numpy()
             for at in range(0, len(reps), CHUNK):
-                search_block(best, queries, stats, vectors[at : at + CHUNK], reps[at : at + CHUNK])
+                some, some_reps = vectors[at : at + CHUNK], reps[at : at + CHUNK]
+                if in_doubles and fits_doubles(some):
+                    search_block(best, queries, stats, some.astype(np.float64), some_reps)
+                else:
+                    search_exactly(best, longs, some, some_reps)
         if best is not None:
-            yield best.frame(q_reps, np.int64)
+            yield best.frame(q_reps)
 
     both = ask.unionByName(data).repartition("d", "q").sortWithinPartitions("d", "q", "kind")
     return both.mapInPandas(cells, "q_rep long, rep long, score long")

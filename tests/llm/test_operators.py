@@ -104,6 +104,20 @@ def test_exact_search(spark):
         assert mine["score"].tolist() == [int(z[i] @ z[q]) for i in ids]
 
 
+def test_exact_search_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 64)).astype(np.float32)
+    x[40:80] *= 60_000
+    x[7] *= 300_000
+    got = topk_search.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    z = np.floor(256 * x.astype(np.float64)).astype(np.int64).astype(object)
+    for q in (0, 50, 100):
+        scores = {i: int(z[i] @ z[q]) for i in range(len(x)) if i != q}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["vec_id"].tolist() == want and mine["score"].tolist() == [scores[i] for i in want]
+
+
 def test_approximate_search_recall_and_scores(spark):
     rows, x = vector_rows()
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
