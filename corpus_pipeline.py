@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import mixing, ngram_join, quality, sentencepiece_codec
+from folioflow.llm._common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,11 +23,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays, once if its row is repeated."""
-    groups = ngram_join.near_duplicates(docs, width=5, percent=80)
-    kept = groups.where("doc_id IS NULL OR component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """Of each group of near copies the row with the least id stays (one with an id before one without).
+
+    Rows, not ids, are grouped: rows of one id that are no near copies all stay.  Rows without words are
+    copies of each other only where id and text are equal."""
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_join.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
+    named = rows.join(groups, "row")
+    own = lambda c: F.when(F.col("blank"), F.col(c))
+    keys = [F.when(~F.col("blank"), F.col("component_id")).alias("a"), own("doc_id").alias("b"), own("text").alias("c")]
+    first = named.groupBy(*keys).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +43,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row's whole text."""
-    return sentencepiece_codec.encode(docs).select("doc_id", "source", F.col("n_tokens"), "ids")
+    """Token ids of each row's whole text, and whether they decode to it."""
+    return sentencepiece_codec.encode(docs, verify=True).select("doc_id", "source", F.col("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
     ("quality classifier", keep_good),
     ("n-gram Jaccard join", keep_first_of_near_copies),
     ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding", tokenize),
+    ("SentencePiece encoding and decoding", tokenize),
 ]
 #: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
@@ -51,6 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES, 1):
+        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
     return docs

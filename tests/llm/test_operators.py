@@ -333,3 +333,22 @@ def test_pipeline_by_loops(spark):
     empty = docs.limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_pipeline_groups_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    docs = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, b), (3, ""), (3, ""), (4, " ")]
+    rows = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = C.keep_first_of_near_copies(spark, rows.repartition(3), DATA)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("1", b), ("None", c), ("3", ""), ("4", " ")])
+    assert [r.round_trip for r in C.tokenize(spark, kept, DATA).collect()] == [True] * 5
+
+
+def test_pipeline_writes_its_stages(spark, monkeypatch):
+    import corpus_pipeline as C
+
+    monkeypatch.setattr(C, "STAGES", [("one", lambda s, d, _: d.limit(3)), ("two", lambda s, d, _: d.select("doc_id"))])
+    files = C.run(spark, DATA).inputFiles()
+    assert files and all("stage2" in f for f in files)
