@@ -4,20 +4,25 @@ Two documents link when 100 * |A & B| >= percent * |A | B| for their shingle set
 result is each document's set size and the least document id it can reach by links.
 
 1. Equal sets are one class (least doc_id stands for it).
-2. A global order of shingles, rare ones first: by the count in a hashed sketch of the
-   whole corpus (a fixed number of counters), then by hash.  Two linked sets share one of
-   their first n - ceil(n * percent / 100) + 1 shingles, their prefixes.
+2. A global order of shingles, rare ones first: by the logarithm of the count in a hashed
+   sketch of the whole corpus (a fixed number of counters), then by hash.  Two linked sets
+   share one of their first n - ceil(n * percent / 100) + 1 shingles, their prefixes.
 3. Classes of equal size and prefix collapse into one group.
-4. Group pairs that share a prefix shingle are filtered by size and position.  Only
-   enough of the pairs that pass are kept to connect what they connect, at most one less
-   than the shingle has groups, so the table of pairs grows with the prefixes.
-5. The groups' members are expanded, per component of these pairs, each set being sent
-   there once; large components are cut into blocks of bounded size and all pairs of blocks
-   are cells.  In a cell, pairs not yet connected are verified exactly on their sets.
+4. Groups that meet in a prefix shingle with a partner of fitting size go on; their pairs
+   are filtered by size, position and signature.  A signature is the parity of the set's
+   hashes in each of so many bins: two sets differ in at least as many elements as their
+   signatures in bits, so no link is lost, whatever the order of shingles is worth.
+   Only enough of the pairs that pass are kept to connect what they connect, at most one
+   less than the shingle has groups, so the table of pairs grows with the prefixes.
+5. The groups' members are expanded, per component of these pairs.  A component is cut
+   into blocks of bounded size, each set being in one of them; the pairs in a block, and
+   those with the component's first member, which is in every block, are verified exactly
+   on the sets as long as they are not connected.  Members of large components that then
+   are not connected to the first one are sent to all its blocks and verified there.
 6. Components of the verified links give the result.
 
 No pair is lost: a link's two sets meet in a common prefix shingle, pass the filters, and
-so lie in one component of step 4, whose cells hold all its pairs.
+so lie in one component of step 4; step 5 verifies or connects every pair of a component.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing;
 fewer words than the width make one shingle of the whole sequence; repeated rows are
@@ -31,6 +36,7 @@ hashes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,53 +52,66 @@ from ._vectors import sorted_runs
 WIDTH = 3
 PERCENT = 90
 #: Counters of the sketch, as a power of two, and how many of them travel in a row.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH_ROW = 4096
-#: Shingles in a block of sets that a cell holds in memory (it holds two blocks).
+#: Steps by which the logarithm of a count is ordered: eight to each doubling.
+STEPS = 8
+#: Shingles and sets in a block of a component; a cell holds a block and as many sets again at most.
 BLOCK_SHINGLES = 1_000_000
+BLOCK_SETS = 256
+#: Bits of the map of documents whose texts are read again.
+MAP_BITS = 23
 #: Documents turned into rows at a time.
 BATCH = 1000
 
 
-def sketch_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """Number of documents per hashed shingle counter, over all documents; 2**SKETCH_BITS counters."""
+def shingle_order(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """A step of the logarithm of the number of documents per hashed counter, over all documents; 2**SKETCH_BITS bytes."""
     slots, parts = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_ROW
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(slots, np.int64)
         held: list[np.ndarray] = []
         size = 0
+
+        def taken() -> None:
+            if held:
+                np.add(total, np.bincount((np.concatenate(held) & np.uint64(slots - 1)).astype(np.int64), minlength=slots), out=total)
+                held.clear()
+
         for b in batches:
             for s in shingle_sets(b["text"], width):
                 held.append(s)
                 size += len(s)
-                if size > slots:
-                    total += np.bincount((np.concatenate(held) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-                    held, size = [], 0
-        if held:
-            total += np.bincount((np.concatenate(held) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                if size > slots // 2:
+                    taken()
+                    size = 0
+        taken()
         rows = total.reshape(parts, SKETCH_ROW)
         some = np.flatnonzero(rows.any(axis=1))
         if len(some):
-            yield pd.DataFrame({"part": some, "counts": [rows[i].tobytes() for i in some]})
+            yield pd.DataFrame({"part": some, "counts": [zlib.compress(rows[i].tobytes(), 1) for i in some]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def ended() -> pd.DataFrame:
+            return pd.DataFrame({"part": [part], "steps": [np.minimum(np.log2(total + 1) * STEPS, 255).astype(np.uint8).tobytes()]})
+
         part = total = None
         for (k,), begins, rows in sorted_runs(batches, ["part"]):
             if begins:
                 if part is not None:
-                    yield pd.DataFrame({"part": [part], "counts": [total.tobytes()]})
+                    yield ended()
                 part, total = k, np.zeros(SKETCH_ROW, np.int64)
             for c in rows["counts"]:
-                total += np.frombuffer(c, np.int64)
+                total += np.frombuffer(zlib.decompress(c), np.int64)
         if part is not None:
-            yield pd.DataFrame({"part": [part], "counts": [total.tobytes()]})
+            yield ended()
 
-    schema = "part int, counts binary"
-    sums = docs.select("text").mapInPandas(count, schema).repartition("part").sortWithinPartitions("part").mapInPandas(add, schema)
-    out = np.zeros((parts, SKETCH_ROW), np.uint32)
+    counted = docs.select("text").mapInPandas(count, "part int, counts binary")
+    sums = counted.repartition("part").sortWithinPartitions("part").mapInPandas(add, "part int, steps binary")
+    out = np.zeros((parts, SKETCH_ROW), np.uint8)
     for r in sums.collect():  # a fixed number of rows
-        out[r["part"]] = np.minimum(np.frombuffer(r["counts"], np.int64), 2**32 - 1)
+        out[r["part"]] = np.frombuffer(r["steps"], np.uint8)
     return out.reshape(-1)
 
 
@@ -104,38 +123,63 @@ def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def set_table(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, set_key, prefix_key (digests of set and prefix) and the prefix in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+def most_different(n: int, m: int, percent: int) -> int:
+    """In how many elements two linked sets of these sizes can differ."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
+def signature(s: np.ndarray, percent: int) -> bytes:
+    """The parity of the number of shingles in each bin; so many bins that unrelated sets differ in about twice as
+    many as linked ones may (a power of two, so that signatures of two lengths compare after folding the longer)."""
+    bits = 1 << max(6, (4 * most_different(len(s), len(s), percent) - 1).bit_length())
+    odd = np.bincount(((s >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: int, a: bytes | None, m: int, b: bytes | None, percent: int) -> bool:
+    """Whether the signatures leave it open that two sets of n and m shingles link."""
+    if a is None or b is None:
+        return True
+    x, y, wide = int.from_bytes(a, "little"), int.from_bytes(b, "little"), max(len(a), len(b)) * 8
+    if len(a) < len(b):
+        x, y = y, x
+    while wide > min(len(a), len(b)) * 8:
+        wide //= 2
+        x = (x >> wide) ^ (x & ((1 << wide) - 1))
+    return (x ^ y).bit_count() <= most_different(n, m, percent)
+
+
+def set_table(docs: DataFrame, steps: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, set_key, prefix_key (digests of set and prefix), the prefix in the global order, and the signature."""
+    shared = docs.sparkSession.sparkContext.broadcast(steps)  # of fixed size
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order, mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
         for whole in batches:
             for at in range(0, len(whole), BATCH):
                 b = whole.iloc[at : at + BATCH]
-                n, keys, prefix_keys, prefixes = [], [], [], []
+                n, keys, prefix_keys, prefixes, signatures = [], [], [], [], []
                 for s in shingle_sets(b["text"], width):
                     n.append(len(s))
                     head = s[:0]
                     if len(s):
-                        head = s[np.lexsort((s, order[(s & mask).astype(np.int64)]))[: prefix_size(len(s), percent)]]
+                        # s is sorted, so equal steps stay in the order of the hashes
+                        head = s[np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[: prefix_size(len(s), percent)]]
                     keys.append(digest(s))
                     prefix_keys.append(digest(head))
                     prefixes.append(head.view(np.int64))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "set_key": keys, "prefix_key": prefix_keys, "prefix": prefixes})
+                    signatures.append(signature(s, percent))
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "set_key": keys, "prefix_key": prefix_keys, "prefix": prefixes, "signature": signatures})
 
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = named.mapInPandas(rows, "doc_id string, n long, set_key binary, prefix_key binary, prefix array<long>")
+    out = named.mapInPandas(rows, "doc_id string, n long, set_key binary, prefix_key binary, prefix array<long>, signature binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def connecting_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Of the groups that share one prefix shingle, sorted by size: pairs that pass the size and position
-    filters, as few as connect all that such pairs connect."""
+def connecting_pairs(ids: list[int], n: np.ndarray, pos: np.ndarray, signatures: list[bytes | None], percent: int) -> list[tuple[int, int]]:
+    """Of the groups that share one prefix shingle, sorted by size: pairs that pass the filters, as few as connect
+    all that such pairs connect."""
     left = n - pos
-    if len(ids) == 2:
-        need = -(-(percent * (n[0] + n[1])) // (100 + percent))
-        return [(ids[0], ids[1])] if 100 * n[0] >= percent * n[1] and min(left[0], left[1]) >= need else []
     label = np.arange(len(ids))
     found = []
     for i in range(len(ids) - 1):
@@ -144,56 +188,74 @@ def connecting_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: i
             continue
         need = -(-(percent * (n[i] + n[i + 1 : end])) // (100 + percent))
         near = np.flatnonzero((np.minimum(left[i], left[i + 1 : end]) >= need) & (label[i + 1 : end] != label[i])) + i + 1
-        if not len(near):
-            continue
-        labels, first = np.unique(label[near], return_index=True)
-        found += [(ids[i], ids[near[k]]) for k in first]
-        label[np.isin(label, labels)] = label[i]
+        for j in near:
+            if label[j] != label[i] and may_link(int(n[i]), signatures[i], int(n[j]), signatures[j], percent):
+                found.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
         if (label == label[0]).all():
             break
     return found
 
 
-def group_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """groups (gid, n, prefix) to (a, b): filtered pairs of groups, enough to connect all candidates."""
+def meeting(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings (token, gid, n, pos) that have a posting of the same shingle and of fitting size."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: list[np.ndarray] = []  # the last shingle's rows so far: a batch may end within them
-        last = None
+        held, open_end = None, False  # the last row waits for its follower
         for b in batches:
             if not len(b):
                 continue
-            token, data = b["token"].to_numpy(), b[["gid", "n", "pos"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            ends = np.r_[starts[1:], len(b)]
-            found: list[tuple[int, int]] = []
-            if tail and (token[0] != last or len(starts) > 1):
-                done = np.concatenate([*tail, data[: ends[0]]] if token[0] == last else tail)
-                found += connecting_pairs(*done.T, percent)
-                fresh = token[0] != last
-                tail = []
-            else:
-                fresh = not tail
-            runs = np.flatnonzero(ends[:-1] - starts[:-1] > 1)
-            for r in runs if fresh else runs[runs > 0]:
-                found += connecting_pairs(*data[starts[r] : ends[r]].T, percent)
-            tail.append(data[starts[-1] :])
-            last = token[-1]
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-        if tail and (found := connecting_pairs(*np.concatenate(tail).T, percent)):
+            b = b if held is None else pd.concat([held, b])
+            token, n = b["token"].to_numpy(), b["n"].to_numpy()
+            follows = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = np.r_[follows, False] | np.r_[open_end, follows]
+            open_end = bool(follows[-1]) if len(follows) else open_end
+            held = b.iloc[-1:]
+            yield b.iloc[:-1][keep[:-1]]
+        if held is not None and open_end:
+            yield held
+
+    schema = "token long, gid long, n long, pos int"
+    return postings.repartition("token").sortWithinPartitions("token", "n").mapInPandas(rows, schema)
+
+
+def group_pairs(groups: DataFrame, signatures: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """groups (gid, n, prefix) and signatures (gid, signature) to (a, b): filtered pairs of groups, enough to connect
+    all candidates.  The postings of a shingle are one run, of which a task holds a few numbers for each group."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def ended() -> list[tuple[int, int]]:
+            run = pd.concat(parts) if len(parts) > 1 else parts[0]
+            if len(run) < 2:
+                return []
+            return connecting_pairs(run["gid"].tolist(), run["n"].to_numpy(), run["pos"].to_numpy(), run["signature"].tolist(), percent)
+
+        parts: list[pd.DataFrame] = []
+        found: list[tuple[int, int]] = []
+        for _, begins, part in sorted_runs(batches, ["token"]):
+            if begins and parts:
+                found += ended()
+                parts = []
+                if len(found) >= BATCH:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+                    found = []
+            parts.append(part)
+        if parts:
+            found += ended()
+        if found:
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    return postings.repartition("token").sortWithinPartitions("token", "n").mapInPandas(rows, "a long, b long").distinct()
+    met = meeting(groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos"), percent)
+    signed = met.join(signatures, "gid", "left").select("token", "gid", "n", "pos", "signature")
+    return signed.repartition("token").sortWithinPartitions("token", "n").mapInPandas(rows, "a long, b long").distinct()
 
 
-def linking_pairs(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Verified links among the sets, as few as connect all that links connect."""
+def linking_pairs(reps: np.ndarray, sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links among the sets, as few as connect all that links connect; sets of one label are connected already."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     reps, sets, sizes = reps[order], [sets[i] for i in order], sizes[order]
-    label, found = np.arange(len(sets)), []
+    label, found = np.arange(len(sets)) if labels is None else np.unique(labels, return_inverse=True)[1][order], []
     if len(sets) > 8:
         values, codes = np.unique(np.concatenate(sets), return_inverse=True)
         at = np.r_[0, np.cumsum(sizes)]
@@ -218,32 +280,28 @@ def linking_pairs(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
     return found
 
 
-def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """members (rep, set_key, n, cid): links among the members of each component, enough to connect them."""
-    totals = members.groupBy("cid").agg(F.sum("n").alias("total"))
-    members = salted_join(members, totals, ["cid"], F.col("rep"), "inner")
-    members = members.withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def with_ids_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose rep is among the ids, and few others: a map of hashed ids, of fixed size, goes to the tasks, so that
+    the texts of other rows are not shuffled."""
+    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << MAP_BITS))
+    bits = ids.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit"))
+    bits = bits.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    seen = docs.withColumn("part", F.bitmap_bucket_number(slot)).withColumn("bit", (at % 8).cast("int"))
+    return seen.join(F.broadcast(bits), "part").where(F.bit_get(byte, F.col("bit")) == 1).drop("part", "bit", "bits")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), BATCH):
-                b = whole.iloc[at : at + BATCH]
-                found = list(shingle_sets(b["text"], width))
-                same = np.array([digest(s) == bytes(k) for s, k in zip(found, b["set_key"])], bool)  # doc ids may repeat
-                out = b.loc[same, ["cid", "blocks", "block", "rep"]]
-                yield out.assign(shingles=[s.tobytes() for s, ok in zip(found, same) if ok])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep")
-    held = texts.select("rep", "text", "set_key", "cid", "blocks", "block").mapInPandas(sets, "cid long, blocks int, block int, rep long, shingles binary")
-    cells = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "shingles")
+def cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """cells (cid, i, j, rep, label, shingles) to (a, b): links of each cell, enough to connect what its links and its
+    labels connect."""
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def ended() -> pd.DataFrame:
-            once = {(r, s) for p in parts for r, s in zip(p["rep"], map(bytes, p["shingles"]))}
-            reps, raw = zip(*sorted(once))
-            return pd.DataFrame(linking_pairs(np.array(reps), [np.frombuffer(s, np.uint64) for s in raw], percent), columns=["a", "b"])
+            once = {(r, k, s) for p in parts for r, k, s in zip(p["rep"], p["label"], map(bytes, p["shingles"]))}
+            reps, labels, raw = zip(*sorted(once))
+            found = linking_pairs(np.array(reps), [np.frombuffer(s, np.uint64) for s in raw], percent, np.array(labels))
+            return pd.DataFrame(found, columns=["a", "b"])
 
         parts: list[pd.DataFrame] = []
         out: list[pd.DataFrame] = []
@@ -260,30 +318,78 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int
         if out:
             yield pd.concat(out)
 
-    dealt = cells.repartition("cid", "i", "j").sortWithinPartitions("cid", "i", "j")
+    dealt = cells.select("cid", "i", "j", "rep", "label", "shingles").repartition("cid", "i", "j").sortWithinPartitions("cid", "i", "j")
     return dealt.mapInPandas(links, "a long, b long").distinct()
 
 
+def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """members (rep, set_key, n, cid): links among the members of each component, enough to connect them."""
+    totals = members.groupBy("cid").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), F.min("rep").alias("first"))
+    members = salted_join(members, totals, ["cid"], F.col("rep"), "inner").where("sets > 1")
+    members = members.withColumn("blocks", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("sets") / BLOCK_SETS)).cast("int"))
+    members = written(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), BATCH):
+                b = whole.iloc[at : at + BATCH]
+                found = list(shingle_sets(b["text"], width))
+                same = np.array([digest(s) == bytes(k) for s, k in zip(found, b["set_key"])], bool)  # doc ids may repeat
+                out = b.loc[same, ["cid", "blocks", "block", "first", "rep"]]
+                yield out.assign(shingles=[s.tobytes() for s, ok in zip(found, same) if ok])
+
+    texts = with_ids_of(docs.select(F.col("doc_id").alias("rep"), "text"), members).join(members, "rep")
+    texts = texts.select("rep", "text", "set_key", "cid", "blocks", "block", "first")
+    held = written(texts.mapInPandas(sets, "cid long, blocks int, block int, first long, rep long, shingles binary"), "members")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = held.withColumn("label", F.col("rep")).withColumn("i", F.col("block")).withColumn("j", F.lit(0))
+    firsts = own.where("rep = first").withColumn("i", every("blocks"))
+    links = written(cell_links(own.unionByName(firsts), percent), "links")
+
+    large = held.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    labels = components(links)
+    at = large.select("cid", "rep", "first").distinct().join(labels, F.col("rep") == F.col("node"), "left")
+    at = at.select("cid", "rep", "first", F.coalesce("component", "rep").alias("label"))
+    main = at.where("rep = first").select("cid", F.col("label").alias("main"))
+    at = salted_join(at, main, ["cid"], F.col("rep"), "inner")
+    rest = at.where("label <> main").groupBy("cid").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts"))
+    at = written(salted_join(at, rest, ["cid"], F.col("rep"), "inner").select("cid", "rep", "label", "main", "parts"), "apart")
+    again = large.join(at, ["cid", "rep"])
+    asked = again.where("label <> main").withColumn("j", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")).withColumn("i", every("blocks"))
+    others = again.withColumn("i", F.col("block")).withColumn("j", every("parts"))
+    columns = ("cid", "i", "j", "rep", "label", "shingles")
+    return links.unionByName(cell_links(asked.select(*columns).unionByName(others.select(*columns)), percent))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) to one row per row: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(set_table(docs, sketch_counts(docs, width), width, percent), "sets")
+    sets = written(set_table(docs, shingle_order(docs, width), width, percent), "sets")
     key = ["n", "set_key"]
-    cls = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix_key").alias("prefix_key"))
-    first = sets.where("n > 0 AND doc_id IS NOT NULL").select("n", "doc_id", "prefix_key", "prefix")
+    known = sets.where("n > 0 AND doc_id IS NOT NULL")
+    cls = sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("prefix_key").alias("prefix_key"))
+    cls = cls.where("rep IS NOT NULL")
     groups = cls.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     groups = written(groups, "groups")
     same = (F.col("doc_id") == F.col("gid")) & (F.col("n") == F.col("gn")) & (F.col("prefix_key") == F.col("gp"))
-    prefixes = first.join(groups.select("gid", F.col("n").alias("gn"), F.col("prefix_key").alias("gp")), same)
+    prefixes = known.select("n", "doc_id", "prefix_key", "prefix").join(groups.select("gid", F.col("n").alias("gn"), F.col("prefix_key").alias("gp")), same)
     prefixes = prefixes.dropDuplicates(["gid", "n", "prefix_key"])
-    near = components(group_pairs(prefixes.select("gid", "n", "prefix"), percent))
+    # one signature speaks for a group of one set, and for an id that names one set
+    signatures = known.groupBy(F.col("doc_id").alias("gid")).agg(F.min("set_key").alias("a"), F.max("set_key").alias("b"), F.first("signature").alias("signature"))
+    several = groups.where("members > 1").select("gid").distinct()
+    signatures = signatures.where("a = b").join(several, "gid", "left_anti").select("gid", "signature")
+    near = components(group_pairs(prefixes.select("gid", "n", "prefix"), signatures, percent))
     alone = groups.where("members > 1").select(F.col("gid").alias("node"))
     near = near.unionByName(alone.join(near, "node", "left_anti").select("node", F.col("node").alias("component")))
     placed = groups.join(near, groups["gid"] == near["node"]).select("n", "prefix_key", F.col("component").alias("cid"))
     # the groups of one prefix hold few distinct sets, but may hold very many: deal them
     members = salted_join(cls, placed, ["n", "prefix_key"], F.col("rep"), "inner").select("rep", "set_key", "n", "cid")
-    links = components(verified_links(docs, written(members, "members"), width, percent))
-    named = cls.join(links, cls["rep"] == links["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    links = components(verified_links(docs, members, width, percent))
+    named = cls.join(links, cls["rep"] == links["node"], "left").where("copies > 1 OR component IS NOT NULL")
+    named = named.select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = salted_join(sets.select("doc_id", *key), named, key, F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

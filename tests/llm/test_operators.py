@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from folioflow.llm import _graph, _hilbert, ann, html_extraction, ngram_join, quality, sentencepiece_codec, topk_search, url_filters
 
@@ -66,6 +67,49 @@ def test_join_edge_rows(spark):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def drifting_rows():
+    """A long chain of near copies whose ends are far apart, a hot word run that most texts begin with, and lone texts."""
+    rng = random.Random(5)
+    hot = [f"h{i}" for i in range(9)]
+    words, rows = hot + [f"w{i}" for i in range(60)], []
+    for i in range(90):
+        if i % 30 != 29:  # a jump now and then parts the chain
+            words[rng.randrange(9, len(words))] = f"c{i}"
+        else:
+            words = words[:40] + [f"j{i}_{k}" for k in range(29)]
+        rows.append((rng.randrange(10**6) * 100 + i, " ".join(words)))
+    rows += [(7 * 10**8 + i, " ".join(hot + [f"l{i}_{k}" for k in range(rng.randint(0, 12))])) for i in range(60)]
+    return rows
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (3, 75), (2, 60)])
+def test_join_of_large_components_and_hot_shingles(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    rows = drifting_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, width, percent).collect()}
+    assert got == brute_components(rows, width, percent)
+
+
+def test_signatures_never_hide_a_link():
+    rng = np.random.default_rng(4)
+    for percent in (60, 80, 90):
+        for _ in range(300):
+            a = rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)
+            b = np.unique(np.r_[a[: max(1, int(len(a) * rng.uniform(0.5, 1)))], rng.integers(0, 2**63, rng.integers(0, 1 + len(a) // 8)).astype(np.uint64)])
+            a = np.unique(a)
+            k = len(np.intersect1d(a, b))
+            if 100 * k >= percent * (len(a) + len(b) - k):
+                assert ngram_join.may_link(len(a), ngram_join.signature(a, percent), len(b), ngram_join.signature(b, percent), percent)
+
+
+def test_map_of_ids_keeps_every_id(spark):
+    docs = spark.range(0, 40_000, 3).select(F.col("id").alias("rep"))
+    ids = docs.where("rep % 7 = 0")
+    kept = {r.rep for r in ngram_join.with_ids_of(docs, ids).collect()}
+    assert {r.rep for r in ids.collect()} <= kept and len(kept) < 4_000
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in _graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
