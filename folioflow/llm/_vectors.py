@@ -1,4 +1,4 @@
-"""What the two vector searches share: classes of equal vectors, runs of sorted rows, expansion to ids."""
+"""What the two vector searches share: classes of equal vectors, tables by length, runs of sorted rows, expansion to ids."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import salted_join
+from ._common import BROADCAST_ROWS, salted_join, written
 
 
 def finite(vector: Column) -> Column:
@@ -29,7 +29,18 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     least = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     least = least.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     sums = rows.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.max("is_query").alias("searched"))
-    return sums.join(least, "vector").select("rep", "vector", "ids", "searched")
+    return written(sums.join(least, "vector").select("rep", "vector", "ids", "searched"), "classes")
+
+
+def with_lengths(cls: DataFrame, **figures: Column) -> DataFrame:
+    """cls with dim, the length of the vector, and figures of the number n of classes and q of searched ones of that
+    length: vectors are compared with those of their own length only."""
+    cls = cls.withColumn("dim", F.size("vector"))
+    sums = cls.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("searched").cast("long")).alias("q"))
+    sums = written(sums.select("dim", *[c.alias(name) for name, c in figures.items()]), "lengths")
+    if sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return cls.join(F.broadcast(sums), "dim")
+    return salted_join(cls, sums, ["dim"], F.col("rep"), "inner").withColumn("dim", F.size("vector"))
 
 
 def sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, bool, pd.DataFrame]]:

@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of ``CURVES`` orderings projects the vectors onto a few random directions, shifts
-them and sorts them by their place on the Hilbert curve.  The orderings are range-
-partitioned: quantiles of the keys cut each into blocks of about BLOCK vectors.  A
-query is compared with all vectors of its own block and of the neighbouring blocks that
-hold WINDOW / 2 of all vectors on either side; the windows of all orderings are merged
-and ranked by cosine in double precision on the original vectors.
+them and sorts them by their place on the Hilbert curve (places that are equal by a hash,
+so that no place is too full to cut).  The orderings are range-partitioned: quantiles of
+the keys cut each into blocks.  A query is compared with all vectors of its own block and
+of the neighbouring blocks that hold WINDOW / 2 of all vectors on either side; the windows
+of all orderings are merged, and the best of them ranked again by cosine in double
+precision on the original vectors (windows compare unit vectors in single precision).
 
 Nearest neighbours of high-dimensional vectors without structure are hardly nearer than
 others, so the window is a share of all rows, not a count: recall then stays the same
 at every size.  Equal vectors are indexed once and expanded to ids at the end, so ties of
-copies are exact.
+copies are exact.  A cell of work is a block and a part of the queries that look into it,
+both of bounded size.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite
-components, take no part, nor do those whose length is not the most common one; a null
-vec_id takes no part; an id is never its own neighbour; an empty table gives an empty
-result; other columns are not carried.
+components, take no part; vectors of different lengths are never compared, those of one
+length are searched among themselves; a null vec_id takes no part; an id is never its own
+neighbour; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -24,35 +26,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import table
 from ._hilbert import hilbert_keys
-from ._vectors import Best, best_rows, classes, expand, finite, sorted_runs
-from .topk_search import common_length
+from ._shingles import mix64
+from ._vectors import Best, best_rows, classes, expand, finite, sorted_runs, with_lengths
 
 K = 5
 QUERY_STEP = 50
-CURVES = 12
-#: Directions of a projection and bits of each; their product is the length of a key.
-DIMS, BITS = 8, 7
+CURVES = 16
+#: Directions of a projection and bits of each; with HASH_BITS their product is the length of a key.
+DIMS, BITS, HASH_BITS = 8, 7, 7
 #: Share of all vectors that a query sees in one ordering.
-WINDOW = 0.15
-BLOCK = 1024
+WINDOW = 0.05
+#: An ordering is cut into BLOCKS blocks, but none of them smaller than the least or larger than the most vectors.
+BLOCKS, LEAST, MOST = 200, 256, 16_384
 MAX_BLOCKS = 4096
+#: Queries of a cell, about, and vectors compared with them at a time.
+QUERY_BLOCK, CHUNK = 2048, 1024
+#: Of each window, so many more than needed are ranked again.
+SPARE = 6
 SEED = 7
 
 
-def curve_keys(unit: np.ndarray, curve: int, seed: int = SEED) -> np.ndarray:
+def curve_keys(unit: np.ndarray, reps: np.ndarray, curve: int, seed: int = SEED) -> np.ndarray:
     """Places of unit vectors on one shifted curve; the projection depends on curve and seed only."""
     rng = np.random.default_rng([seed, curve])
     dims = min(DIMS, unit.shape[1])
     directions = np.linalg.qr(rng.normal(size=(unit.shape[1], dims)))[0]
     # components of unit vectors along random directions scatter by 1 / sqrt(length)
-    spread = 4.0 / np.sqrt(unit.shape[1])
+    spread = 2.4 / np.sqrt(unit.shape[1])
     at = (unit @ directions + spread + rng.uniform(0, spread, dims)) / (3 * spread)
-    return hilbert_keys(np.clip(at * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS).astype(np.int64)
+    place = hilbert_keys(np.clip(at * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS).astype(np.int64)
+    within = mix64(reps.astype(np.uint64) + np.uint64(curve)) >> np.uint64(64 - HASH_BITS)
+    return (place << HASH_BITS) | within.astype(np.int64)
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:
@@ -68,47 +77,58 @@ def usable(vectors: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     return ok.select("vec_id", vector.alias("vector"), (F.col("vec_id") % step == 0).alias("is_query"))
 
 
-def curve_cuts(cls: DataFrame, blocks: int, curves: int) -> np.ndarray:
-    """Keys that cut each curve into blocks of like size: a table of curves x (blocks - 1), at most MAX_BLOCKS wide."""
+def curve_cuts(dealt: DataFrame, curves: int) -> dict[int, np.ndarray]:
+    """By length of vector: keys that cut each curve into blocks of like size, a table of curves x (blocks - 1)."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                unit = unit_rows(b["vector"])
+            for (dim, blocks), rows in b.groupby(["dim", "blocks"]):
+                unit, reps = unit_rows(rows["vector"]), rows["rep"].to_numpy()
                 for c in range(curves):
-                    yield pd.DataFrame({"curve": c, "key": curve_keys(unit, c)})
+                    yield pd.DataFrame({"dim": dim, "blocks": blocks, "curve": c, "key": curve_keys(unit, reps, c)})
 
-    shares = [F.lit(i / blocks) for i in range(1, blocks)]
-    cuts = cls.select("vector").mapInPandas(keys, "curve int, key long").groupBy("curve")
-    found = cuts.agg(F.percentile_approx("key", F.array(*shares), F.lit(max(10_000, 20 * blocks))).alias("cuts")).collect()
-    return np.array([r["cuts"] for r in sorted(found)], np.int64)
+    cut = dealt.where("blocks > 1").select("dim", "blocks", "rep", "vector").mapInPandas(keys, "dim int, blocks int, curve int, key long")
+    # more quantiles than blocks, so that one list of shares serves every length
+    shares = F.array(*[F.lit(i / MAX_BLOCKS) for i in range(1, MAX_BLOCKS)])
+    found = cut.groupBy("dim", "blocks", "curve").agg(F.percentile_approx("key", shares, F.lit(4 * MAX_BLOCKS)).alias("cuts")).collect()
+    out: dict[int, np.ndarray] = {}
+    for r in sorted(found):
+        at = np.round(np.arange(1, r["blocks"]) * MAX_BLOCKS / r["blocks"]).astype(int) - 1
+        out.setdefault(r["dim"], np.zeros((curves, r["blocks"] - 1), np.int64))[r["curve"]] = np.array(r["cuts"], np.int64)[at]
+    return out
 
 
 def window_scores(cls: DataFrame, k: int, curves: int = CURVES, window: float = WINDOW) -> DataFrame:
-    """(q_rep, rep, score): for each searched class the k + 1 best classes of each block that it looks into."""
-    n = cls.count()
-    blocks = int(min(MAX_BLOCKS, max(1, -(-n // BLOCK))))
-    cuts = curve_cuts(cls, blocks, curves) if blocks > 1 and n else np.zeros((curves, 0), np.int64)
-    reach = int(np.ceil(window / 2 * blocks)) if blocks > 1 else 0
+    """(q_rep, rep, score): for each searched class the best classes of each block that it looks into, in single precision."""
+    n = F.col("n")
+    blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.ceil(n / MOST), F.least(F.lit(BLOCKS), F.ceil(n / LEAST)))).cast("int")
+    reach = F.when(blocks > 1, F.ceil(F.lit(window / 2) * blocks)).otherwise(0).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("q") * F.least(F.lit(1.0), (2 * reach + 1) / blocks) / QUERY_BLOCK)).cast("int")
+    placed = with_lengths(cls, blocks=blocks, reach=reach, parts=parts)
+    cuts = curve_cuts(placed, curves)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            unit = unit_rows(b["vector"])
-            rows, reps, asked = list(unit), b["rep"].to_numpy(), np.flatnonzero(b["searched"].to_numpy())
-            for c in range(curves):
-                block = np.searchsorted(cuts[c], curve_keys(unit, c), side="right")
-                yield pd.DataFrame({"curve": c, "block": block, "kind": 1, "rep": reps, "unit": rows})
-                near = [(block[i] + d, i) for i in asked for d in range(-reach, reach + 1) if 0 <= block[i] + d < blocks]
-                if near:
-                    at, who = zip(*near)
-                    yield pd.DataFrame({"curve": c, "block": at, "kind": 0, "rep": reps[list(who)], "unit": [rows[i] for i in who]})
+        for whole in batches:
+            for (dim, blocks, reach, parts), b in whole.groupby(["dim", "blocks", "reach", "parts"]):
+                unit, reps = unit_rows(b["vector"]), b["rep"].to_numpy()
+                rows = np.array([u.tobytes() for u in unit.astype(np.float32)], dtype=object)
+                asked = np.flatnonzero(b["searched"].to_numpy())
+                part = (mix64(reps.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                for c in range(curves):
+                    block = np.searchsorted(cuts[dim][c], curve_keys(unit, reps, c), side="right") if blocks > 1 else np.zeros(len(reps), np.int64)
+                    for p in range(parts):
+                        yield pd.DataFrame({"dim": dim, "curve": c, "block": block, "part": p, "kind": 1, "rep": reps, "unit": rows})
+                    near = np.repeat(block[asked], 2 * reach + 1) + np.tile(np.arange(-reach, reach + 1), len(asked))
+                    who = np.repeat(asked, 2 * reach + 1)[(near >= 0) & (near < blocks)]
+                    near = near[(near >= 0) & (near < blocks)]
+                    if len(who):
+                        yield pd.DataFrame({"dim": dim, "curve": c, "block": near, "part": part[who], "kind": 0, "rep": reps[who], "unit": rows[who]})
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         queries = q_reps = best = None
-        for _, begins, part in sorted_runs(batches, ["curve", "block"]):
+        units = lambda b, dim: np.frombuffer(b"".join(b["unit"]), np.float32).reshape(len(b), dim)
+        for (dim, *_), begins, part in sorted_runs(batches, ["dim", "curve", "block", "part"]):
             if begins:
                 if best is not None:
                     yield best.frame(q_reps, np.float64)
@@ -121,27 +141,45 @@ def window_scores(cls: DataFrame, k: int, curves: int = CURVES, window: float =
                 continue
             if best is None:
                 asked = pd.concat(held)
-                queries, q_reps = np.stack(asked["unit"].to_numpy()), asked["rep"].to_numpy()
-                best = Best(len(queries), k + 1)
-            vectors, reps = np.stack(rest["unit"].to_numpy()), rest["rep"].to_numpy()
-            for at in range(0, len(reps), BLOCK):
-                scores = queries @ vectors[at : at + BLOCK].T
-                r, c = best_rows(scores, reps[at : at + BLOCK], k + 1)
-                best.add(r, scores[r, c], reps[at : at + BLOCK][c])
+                queries, q_reps = units(asked, dim), asked["rep"].to_numpy()
+                best = Best(len(queries), k + 1 + SPARE)
+            vectors, reps = units(rest, dim), rest["rep"].to_numpy()
+            for at in range(0, len(reps), CHUNK):
+                scores = (queries @ vectors[at : at + CHUNK].T).astype(np.float64)
+                r, c = best_rows(scores, reps[at : at + CHUNK], k + 1 + SPARE)
+                best.add(r, scores[r, c], reps[at : at + CHUNK][c])
         if best is not None:
             yield best.frame(q_reps, np.float64)
 
-    both = cls.select("rep", "vector", "searched").mapInPandas(dealt, "curve int, block int, kind int, rep long, unit array<double>")
-    both = both.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind")
+    columns = "dim int, curve int, block int, part int, kind int, rep long, unit binary"
+    both = placed.select("dim", "blocks", "reach", "parts", "rep", "vector", "searched").mapInPandas(dealt, columns)
+    both = both.repartition("dim", "curve", "block", "part").sortWithinPartitions("dim", "curve", "block", "part", "kind")
     return both.mapInPandas(cells, "q_rep long, rep long, score double")
 
 
+def ranked_again(found: DataFrame, cls: DataFrame, k: int) -> DataFrame:
+    """The best pairs of all windows with their cosines in double precision."""
+    found = found.groupBy("q_rep", "rep").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("q_rep").orderBy(F.col("score").desc(), "rep")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1 + SPARE).select("q_rep", "rep")
+    vectors = cls.select("rep", "vector")
+    found = found.join(vectors.select(F.col("rep").alias("q_rep"), F.col("vector").alias("a")), "q_rep").join(vectors.withColumnRenamed("vector", "b"), "rep")
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, rows in b.groupby(b["a"].str.len()):
+                score = np.einsum("ij,ij->i", unit_rows(rows["a"]), unit_rows(rows["b"]))
+                yield pd.DataFrame({"q_rep": rows["q_rep"], "rep": rows["rep"], "score": score})
+
+    return found.select("q_rep", "rep", "a", "b").mapInPandas(cosines, "q_rep long, rep long, score double")
+
+
 def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, curves: int = CURVES, window: float = WINDOW) -> DataFrame:
     """vectors (vec_id, embedding): for each vec_id divisible by ``step`` its k nearest by cosine among those found."""
-    rows = common_length(usable(vectors, step))
+    rows = usable(vectors, step)
     cls = classes(rows, k)
     queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "vector").distinct()
-    return expand(window_scores(cls, k, curves, window), cls, queries, k)
+    return expand(ranked_again(window_scores(cls, k, curves, window), cls, k), cls, queries, k)
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,18 +148,44 @@ def test_exact_search(spark):
         assert mine["score"].tolist() == [int(z[i] @ z[q]) for i in ids]
 
 
-def test_exact_search_of_large_components(spark):
+def exact_scores(x, q):
+    top = 2**63 - 2
+    z = [[max(-top, min(top, int(np.floor(256.0 * float(c))))) for c in v] for v in x]
+    return {i: max(-top, min(top, sum(a * b for a, b in zip(z[i], z[q])))) for i in range(len(x)) if i != q and len(z[i]) == len(z[q])}
+
+
+def test_exact_search_over_blocks_lengths_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "DATA_BLOCK", 40)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk_search, "CHUNK", 16)
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(120, 64)).astype(np.float32)
-    x[40:80] *= 60_000
-    x[7] *= 300_000
-    got = topk_search.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
-    z = np.floor(256 * x.astype(np.float64)).astype(np.int64).astype(object)
-    for q in (0, 50, 100):
-        scores = {i: int(z[i] @ z[q]) for i in range(len(x)) if i != q}
+    x = [v.tolist() for v in rng.normal(size=(420, 64)).astype(np.float32)]
+    for i in range(40, 80):
+        x[i] = [c * 60_000 for c in x[i]]
+    x[7] = [c * 1e13 for c in x[7]]
+    x[0], x[3] = [c * 1e30 for c in x[0]], [-c * 1e30 for c in x[3]]
+    for i in (100, 101, 102, 103, 333):
+        x[i] = x[i][:5]
+    for i in range(200, 300):
+        x[i] = (np.array(x[250]) + rng.normal(size=64) * 0.05).tolist()
+    x[350] = x[350][:2]  # alone of its length
+    got = topk_search.top_k(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    for q in range(0, 420, 50):
+        scores = exact_scores(x, q)
         want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
         mine = got[got["query_id"] == q].sort_values("rank")
         assert mine["vec_id"].tolist() == want and mine["score"].tolist() == [scores[i] for i in want]
+        assert len(want) == {350: 0, 100: 4}.get(q, 5)
+
+
+def test_floors_and_fine_levels_leave_out_most_of_unlike_vectors():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    q = x[:50]
+    floor = np.sort(q @ x[50:].T, axis=1)[:, -5]
+    kept = [len(rows) / (50 * 2950) for rows, _ in topk_search.survivors(floor, [topk_search.summaries(q, n) for n in topk_search.LEVELS], x[50:])]
+    assert kept == sorted(kept, reverse=True) and kept[-1] < 0.4
 
 
 def test_approximate_search_recall_and_scores(spark):
@@ -174,6 +200,31 @@ def test_approximate_search_recall_and_scores(spark):
         assert r.score == pytest.approx(u[r.query_id] @ u[r.vec_id], abs=1e-12)
 
 
+def test_approximate_search_over_many_blocks_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST", 40)  # 100 blocks of 40, windows of 7
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)  # several parts to a block
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x[1000:2000] = x[1000] + rng.normal(size=(1000, 64)).astype(np.float32) * 1e-7  # hardly apart: places of one key
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + 25 * i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 8)).astype(np.float32))]
+    got = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>")).toPandas()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = total = 0
+    for q in range(0, 4000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        floor = np.sort(s)[-5] - 1e-12
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert len(mine) == 5 and mine["score"].is_monotonic_decreasing and (np.abs(s[mine["vec_id"]] - mine["score"]) < 1e-12).all()
+        if not 1000 <= q < 2000:
+            hits, total = hits + (mine["score"] >= floor).sum(), total + 5
+        else:
+            assert (mine["score"] > 1 - 1e-6).all()
+    assert hits >= 0.9 * total
+    short = got[got["query_id"] >= 10_000]
+    assert len(short) == 5 * 5 and (short["vec_id"] >= 10_000).all()
+
+
 def test_searches_of_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.top_k(none).count() == 0 and ann.nearest(none).count() == 0
@@ -190,7 +241,7 @@ def test_segment_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(50, 64)), rng.normal(size=(60, 64))
     bounds = [topk_search.summaries(a, n) @ topk_search.summaries(b, n).T for n in topk_search.LEVELS]
-    assert (bounds[0] >= bounds[1] - 1e-9).all() and (bounds[1] >= a @ b.T - 1e-9).all()
+    assert all((x >= y - 1e-9).all() for x, y in zip(bounds, [*bounds[1:], a @ b.T]))
 
 
 # --- quality
