@@ -84,30 +84,31 @@ class Markup:
     """What the markup of one page leaves out."""
 
     def __init__(self, root: Node):
-        self.root, self._whole = root, None
+        self.root, self._contents = root, None
 
-    @staticmethod
-    def contents(node: Node) -> tuple[int, int]:
+    def contents(self, node: Node) -> tuple[int, int]:
         """Under the node: the outermost marked articles and main parts, and the characters of text."""
-        marks = size = 0
-        stack = [(node, False)]
-        while stack:
-            n, inside = stack.pop()
-            for c in n.children:
-                if isinstance(c, str):
-                    size += len(c.strip())
-                elif c.tag not in UNSEEN_TAGS:
-                    mark = not inside and marked(c)
-                    marks += mark
-                    stack.append((c, inside or mark))
-        return marks, size
+        if self._contents is None:
+            found = self._contents = {}
+            order = [self.root]
+            for n in order:  # grows as it is read: parents before children
+                order += [c for c in n.children if isinstance(c, Node)]
+            for n in reversed(order):
+                marks = size = 0
+                for c in n.children:
+                    if isinstance(c, str):
+                        size += len(c.strip())
+                    elif c.tag not in UNSEEN_TAGS:
+                        inner, chars = found[id(c)]
+                        marks += 1 if marked(c) else inner
+                        size += chars
+                found[id(n)] = (marks, size)
+        return self._contents[id(node)]
 
     def holds_page(self, node: Node, in_article: bool, sure: bool) -> bool:
         """Whether the node holds what the page is about: all its articles and main parts, or most of its text.
         What the markup is sure of needs both."""
-        if self._whole is None:
-            self._whole = self.contents(self.root)
-        whole, total = self._whole
+        whole, total = self.contents(self.root)
         marks, size = self.contents(node)
         most = 2 * size > total
         if in_article:
@@ -161,38 +162,46 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def places(root: Node, markup: Markup) -> Iterator[tuple[int, Node, int, int]]:
+def places(root: Node, markup: Markup) -> list[tuple[int, Node, int, int]]:
     """The elements that markup leaves in and statistics may leave out, with the numbers of their place, style and
     content (of the text and elements that markup leaves in).
 
     Articles, main parts and what holds them are never left out by statistics, nor are headings, table cells and
     inline elements of an article, which belong to the text around them."""
-    out: list[tuple[int, Node, int, int]] = []
-
-    def visit(n: Node, path: str, in_article: bool) -> tuple[int, bool]:
-        parts, styles, holds = [], [], False
+    order: list[tuple[Node, int, bool, int]] = [(root, 0, False, 0)]  # node, place, within an article, style
+    at = 0
+    while at < len(order):  # parents before children
+        n, place, in_article, _ = order[at]
+        styles = []
         for c in n.children:
             if isinstance(c, str):
-                if held := " ".join(c.split()):
-                    parts.append(held)
                 continue
             own = presentation(c)
             styles.append(own)
-            if markup.is_noise(c, in_article):
-                continue
-            mark = marked(c)
-            content, inner = visit(c, f"{path}>{own}", in_article or mark)
-            holds = holds or inner or mark
-            if content:
-                parts.append(str(content))
-        content = number(" ".join(parts)) if parts else 0
+            if not markup.is_noise(c, in_article):
+                order.append((c, number(f"{place}>{own}"), in_article or marked(c), 0))
+        order[at] = (n, place, in_article, number(" ".join(styles)))
+        at += 1
+    out: list[tuple[int, Node, int, int]] = []
+    contents: dict[int, int] = {}
+    holding: set[int] = set()
+    for n, place, in_article, style in reversed(order):
+        parts, holds = [], False
+        for c in n.children:
+            if isinstance(c, str):
+                if held := " ".join(c.split()):
+                    parts.append(held)
+            elif id(c) in contents:
+                holds = holds or id(c) in holding or marked(c)
+                if contents[id(c)]:
+                    parts.append(str(contents[id(c)]))
+        content = contents[id(n)] = number(" ".join(parts)) if parts else 0
+        if holds:
+            holding.add(id(n))
         part_of_text = in_article and (n.tag in HEADINGS or n.tag in CELLS or n.tag in INLINE)
         if n is not root and not (part_of_text or holds or marked(n) or n.tag in ("html", "body", "br", "hr")):
-            out.append((number(path), n, number(" ".join(styles)), content))
-        return content, holds
-
-    visit(root, "", False)
-    return iter(out)
+            out.append((place, n, style, content))
+    return out
 
 
 def page_rows(page: str) -> list[tuple[int, int, int]]:
@@ -232,15 +241,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     seen = pages.select("host", "html").mapInPandas(rows, "host string, place long, page long, style long, content long")
     # a page may show a place several times: what it shows there is the sum of the parts
     seen = seen.distinct().groupBy("host", "place", "page").agg(F.sum(F.col("style").cast("decimal(20,0)")).alias("style"), F.sum(F.col("content").cast("decimal(20,0)")).alias("content"))
-
-    def entropy(value: str) -> DataFrame:
-        sums = seen.groupBy("host", "place", value).agg(F.count("*").alias("c")).groupBy("host", "place")
-        sums = sums.agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-        share = F.when(F.col("pages") > 1, (F.log("pages") - F.col("clogc") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-        return sums.select("host", "place", "pages", share.alias(value))
-
-    both = entropy("style").join(entropy("content").drop("pages"), ["host", "place"])
-    return both.select("host", "place", "pages", (STYLE_WEIGHT * F.col("style") + (1 - STYLE_WEIGHT) * F.col("content")).alias("importance"))
+    # pages are parsed once for both distributions
+    shown = seen.select("host", "place", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("shown")) for k in ("style", "content")])).alias("s"))
+    counts = shown.groupBy("host", "place", "s.kind", "s.shown").agg(F.count("*").alias("c"))
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
+    sums = counts.groupBy("host", "place").agg(of("style", F.col("c")).alias("pages"), *[of(k, F.col("c") * F.log("c")).alias(k) for k in ("style", "content")])
+    entropy = lambda kind: F.when(F.col("pages") > 1, (F.log("pages") - F.col(kind) / F.col("pages")) / F.log("pages")).otherwise(1.0)
+    return sums.select("host", "place", "pages", (STYLE_WEIGHT * entropy("style") + (1 - STYLE_WEIGHT) * entropy("content")).alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
