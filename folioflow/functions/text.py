@@ -107,11 +107,19 @@ def merged(chunks: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return out.select("document_id", "page_number", F.inline("items")).select("chunk_id", "document_id", "page_number", "text", "start_index", "end_index")
 
 
+def words(text: Column) -> Column:
+    """Lower-case runs of ASCII letters, digits and underscores; all else separates."""
+    return F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+")
+
+
+def counts_as_token(word: Column) -> Column:
+    return (F.length(word) > 2) & ~word.isin(*STOP_WORDS)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words of more than two characters that are not stop words; letters outside ASCII separate."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+")
+    """Words of more than two characters that are not stop words."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
 
 
 def truncated(text: Column, words: int = 500) -> Column:

@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.sources.shared import written
 
 K = 10
-#: The most that the phrase and proximity boosts can multiply a score by.
-MAX_BOOST = 3.0
+#: The most that proximity, and proximity with the phrase, can multiply a score by.
+MAX_PROXIMITY, MAX_BOOST = 1.5, 3.0
+
+
+class Index(NamedTuple):
+    """Chunks (chunk_id, document_id, page_number, text), their postings (chunk_id, term, tf) and (term, df, idf)."""
+
+    chunks: DataFrame
+    posted: DataFrame
+    idf: DataFrame
+
+
+def index(chunks: DataFrame) -> Index:
+    """Chunks and postings, written once in the shared folder; every search starts from them."""
+    chunks = written(chunks.select("chunk_id", "document_id", "page_number", "text"), "chunks")
+    posted = written(postings(chunks), "postings")
+    return Index(chunks, posted, idf(posted, chunks))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf): counts over the count of the chunk's most frequent term."""
-    terms = chunks.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
+    """(chunk_id, term, tf): counts over the count of the chunk's most frequent term; all of a chunk after one shuffle."""
+    words = chunks.select("chunk_id", F.explode(T.words(F.col("text"))).alias("term")).where(T.counts_as_token(F.col("term")))
+    terms = words.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
     return terms.select("chunk_id", "term", (F.col("n") / F.max("n").over(Window.partitionBy("chunk_id"))).alias("tf"))
 
 
@@ -33,14 +52,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def base_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, base): sum of tf * idf over the query's terms.
+def base_scores(ix: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, base, missing): sum of tf * idf over the query's terms, and how many of them the chunk lacks.
 
     The index is cut to the queries' terms before their frequencies are looked up."""
-    posted = postings(chunks)
-    asked = query_terms(queries).join(idf(posted, chunks), "term")
-    hits = posted.join(asked, "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("base"))
+    asked = query_terms(queries)
+    hits = ix.posted.join(asked.join(ix.idf, "term"), "term")
+    base = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("base"), F.count("*").alias("hits"))
+    terms = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
+    return base.join(terms, "query_id").select("query_id", "chunk_id", "base", (F.col("terms") - F.col("hits")).alias("missing"))
 
 
 def phrase_boost(text: Column, query: Column) -> Column:
@@ -69,25 +89,28 @@ def top_ranked(scored: DataFrame, k: int, score: str = "score", tie: str = "chun
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = K, names: DataFrame | None = None) -> DataFrame:
+def search(ix: Index, queries: DataFrame, k: int = K, names: DataFrame | None = None) -> DataFrame:
     """Keyword search: (query_id, rank, chunk_id, document_id, score) with the best score of a query as 1.
 
     queries (query_id, query, optionally document_filter); names (document_id, name) for filters.
     Before texts are joined for the boosts, chunks that no boost could lift into the first k are
-    left out: their base times MAX_BOOST stays under the k-th best base.
+    left out: their base times the most that they can be boosted by stays under the k-th best base.
+    A chunk holds the phrase only if it has all terms but the first and the last, which may be
+    parts of longer words there.
     """
-    base = base_scores(chunks, queries)
-    home = chunks.select("chunk_id", "document_id")
+    base = base_scores(ix, queries)
     if names is not None:
-        base = base.join(home, "chunk_id").join(names, "document_id").join(queries.select("query_id", "document_filter"), "query_id")
-        base = base.where(name_matches(F.col("name"), F.col("document_filter"))).select("query_id", "chunk_id", "base")
+        base = base.join(ix.chunks.select("chunk_id", "document_id"), "chunk_id").join(names, "document_id").join(queries.select("query_id", "document_filter"), "query_id")
+        base = base.where(name_matches(F.col("name"), F.col("document_filter"))).select("query_id", "chunk_id", "base", "missing")
+    base = written(base, "base")
     kth = top_ranked(base, k, "base").groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("base")).otherwise(0.0).alias("kth"))
-    near = base.join(kth, "query_id").where(F.col("base") * (MAX_BOOST + 1e-6) >= F.col("kth"))
+    most = F.when(F.col("missing") <= 2, MAX_BOOST).otherwise(MAX_PROXIMITY)
+    near = base.join(kth, "query_id").where(F.col("base") * (most + 1e-6) >= F.col("kth"))
     # lower-cased and cut before the joins, so once per chunk and query and not once per pair
-    texts = near.join(chunks.select("chunk_id", "document_id", F.lower("text").alias("low")), "chunk_id")
+    texts = near.join(ix.chunks.select("chunk_id", "document_id", F.lower("text").alias("low")), "chunk_id")
     asked = queries.select("query_id", F.lower("query").alias("phrase"), T.tokens(F.col("query")).alias("terms"))
     full = texts.join(asked, "query_id")
-    phrase = F.when(F.contains("low", "phrase"), 2.0).otherwise(1.0)
+    phrase = F.when((F.col("missing") <= 2) & F.contains("low", "phrase"), 2.0).otherwise(1.0)
     score = F.col("base") * phrase * (1 + proximity_boost(F.col("low"), F.col("terms")))
     full = full.withColumn("score", F.round(score, 6)).where("score > 0")
     best = top_ranked(full, k)
@@ -110,9 +133,9 @@ def excerpt(text: Column, terms: Column, width: int = 200) -> Column:
     return T.trimmed(F.when(at + width < F.length(text), F.concat(cut, F.lit("..."))).otherwise(raw))
 
 
-def related(chunks: DataFrame, summaries: DataFrame, k: int = 5) -> DataFrame:
+def related(ix: Index, summaries: DataFrame, k: int = 5) -> DataFrame:
     """summaries (document_id, summary): the first k distinct other documents of the k + 1 best chunks of a search by summary."""
-    found = search(chunks, summaries.select(F.col("document_id").alias("query_id"), F.col("summary").alias("query")), k + 1)
+    found = search(ix, summaries.select(F.col("document_id").alias("query_id"), F.col("summary").alias("query")), k + 1)
     docs = found.where("query_id <> document_id").groupBy("query_id", "document_id").agg(F.min("rank").alias("first"))
     place = Window.partitionBy("query_id").orderBy("first")
     return docs.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "document_id", "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators import keyword as K
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,9 +30,12 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.chunked(corpus(spark, d).select("document_id", F.lit(1).alias("page_number"), F.col("text").alias("page_text")))
 
 
+def index(spark: SparkSession, d: str) -> K.Index:
+    return K.index(chunks(spark, d))
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +100,9 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Three numbered sources per answer: the passages 100 characters wide of document conv_id % 200."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
-    a = answers(spark, d).select("answer_id", (F.col("conv_id") % 200).alias("doc_id"))
-    a = a.join(docs, "doc_id").select("answer_id", "doc_id", "t", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
-    return a.select("answer_id", "n", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.expr("substring(t, (n - 1) * 200 + 1, 400)").alias("text"))
+    """The numbered sources of an answer: the first three chunks of one of all documents, dealt by conversation number
+    (an answer whose document is not there has none)."""
+    last = table(spark, d, "documents").agg(F.max("doc_id").alias("last"))  # one row
+    a = answers(spark, d).join(F.broadcast(last)).select("answer_id", F.concat(F.lit("doc_"), (F.col("conv_id") * 7 % (F.col("last") + 1)).cast("string")).alias("document_id"))
+    first = chunks(spark, d).where("chunk_index < 3").select("document_id", (F.col("chunk_index") + 1).alias("n"), "chunk_id", "text")
+    return a.join(first, "document_id").select("answer_id", "n", "document_id", "chunk_id", "text")

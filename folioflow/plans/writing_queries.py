@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from folioflow.operators import assembly as L
 from folioflow.operators import citations as G
-from folioflow.operators import keyword as K
 from folioflow.operators import layout as M
 from folioflow.plans import fixtures as X
 from folioflow.plans import graph_queries as GQ
 from folioflow.plans import oracle as O
 from folioflow.plans import table_queries as TQ
 from folioflow.sources import sinks
+from folioflow.sources.shared import new_path
 from folioflow.streaming import indexer
 
 QUERIES: dict = {}
@@ -32,22 +29,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def shared(spark, name: str) -> str:
-    """A new folder in the one that the cluster shares; a temporary one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("a8_save_and_load", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def a8(spark, d):
-    path = shared(spark, "corpus")
+    path = new_path(spark, "corpus")
     sinks.save_corpus(X.table(spark, d, "documents").select("doc_id", "source"), path, "source")
     return sinks.load_corpus(spark, path).groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n"))
 
 
 @query("a15_bibtex_sink", O.with_(GQ.CIT, GQ.REFS, GQ.BIB, "lines AS (SELECT unnest(string_split(entry, chr(10))) AS line FROM bib)", select="SELECT line, count(*) AS n FROM lines GROUP BY line"))
 def a15(spark, d):
-    path = shared(spark, "bibtex")
+    path = new_path(spark, "bibtex")
     sinks.write_lines(G.bibtex(G.references(X.citing(spark, d))), path, "entry")
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
@@ -61,7 +52,7 @@ _XML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;')
 UNION ALL SELECT '<edge id="' || src || '-' || dst || '" source="' || src || '" target="' || dst || '"><data key="type">cites</data></edge>' FROM cites"""),
 )
 def a18(spark, d):
-    path = shared(spark, "graphml")
+    path = new_path(spark, "graphml")
     e = X.cites(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("cites").alias("kind"))
     sinks.write_xml_body(sinks.graphml(X.papers(spark, d), e), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
@@ -78,22 +69,23 @@ def a19(spark, d):
 
 
 def _hits(spark, d, k):
-    ch = X.chunks(spark, d)
-    return K.search(ch, X.questions(spark, d), k).join(ch.select("chunk_id", "text"), "chunk_id")
+    """The k best passages of each question by hybrid search, with document and text."""
+    ix = X.index(spark, d)
+    return TQ.hybrid(ix, X.questions(spark, d), k).join(ix.chunks, "chunk_id")
 
 
-_SEARCH = (O.CORPUS, O.CHUNKS, O.QUESTIONS, O.POSTINGS, O.base(), O.boosted(), O.ranked(30))
+_SEARCH = (*TQ.hybrid_sql(30), "hits AS (SELECT h.*, c.document_id, c.page_number, c.text FROM hybrid h JOIN chunks c USING (chunk_id))")
 
 
-@query("l1_sources_by_document", O.with_(*_SEARCH, select="SELECT query_id, document_id, count(*) AS n, min(rank) AS first FROM found GROUP BY ALL"))
+@query("l1_sources_by_document", O.with_(*_SEARCH, select="SELECT query_id, document_id, count(*) AS n, min(rank) AS first FROM hits GROUP BY ALL"))
 def l1(spark, d):
     return _hits(spark, d, 30).groupBy("query_id", "document_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
 
 
 @query(
     "l2_document_context",
-    O.with_(*_SEARCH, """t0 AS (SELECT f.query_id, f.document_id, f.rank, c.text AS text, min(f.rank) OVER (PARTITION BY f.query_id, f.document_id) AS first,
-  row_number() OVER (PARTITION BY f.query_id, f.document_id ORDER BY f.rank) AS k FROM found f JOIN chunks c USING (chunk_id)),
+    O.with_(*_SEARCH, """t0 AS (SELECT query_id, document_id, rank, text, min(rank) OVER (PARTITION BY query_id, document_id) AS first,
+  row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS k FROM hits),
 t1 AS (SELECT *, 'cite' || dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS key FROM t0 WHERE k <= 3)""",
             select="SELECT query_id, document_id, key, string_agg(text, chr(10) ORDER BY rank) AS context FROM t1 GROUP BY ALL"),
 )
@@ -221,7 +213,7 @@ def b4(spark, d):
 def o1(spark, d):
     """The events as a change feed, in a stream of files, folded into the state batch by batch."""
     feed = TQ.feed(spark, d)
-    source, state = shared(spark, "feed"), shared(spark, "state")
+    source, state = new_path(spark, "feed"), new_path(spark, "state")
     for part in range(2):
         feed.where(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
         indexer.run(spark, source, feed.schema, state, f"{state}-checkpoint")
