@@ -9,7 +9,9 @@ every piece that ends there, and each relaxes the best segmentation of the prefi
   rest, which gives the same pieces as merging the whole text.
 
 No piece holds a character followed by the space mark, so texts are cut there and each
-distinct stretch is encoded once as long as a worker remembers it.
+distinct stretch is encoded once as long as a worker remembers it; the ids of a slice of
+texts are then gathered by the numbers of their stretches.  Decoding joins what stretches
+decode to, so a round trip is verified on stretches, and by their lengths on whole texts.
 
 Models of the formats of ``*.model`` files are read here: identity normalisation only (any
 other is refused), with dummy prefix, byte fallback and user-defined symbols as the model
@@ -23,10 +25,12 @@ equal rows; further columns pass through, ``ids`` and ``n_tokens`` are replaced.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
+from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,13 +41,19 @@ from ._common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches that a worker remembers in each of two generations, the older of which is dropped when the newer is full.
+#: Steps between automaton nodes and pairs of pieces that a worker remembers.
 CACHE = 120_000
-#: Texts whose ids are held at a time.
-SLICE = 500
+#: Stretches, and ids of stretches, that a worker remembers before it forgets them all; longer ones it never remembers.
+STRETCHES, STRETCH_IDS, LONG = 400_000, 4_000_000, 200
+#: Characters of the texts whose ids are held at a time (a longer text is held by itself).
+SLICE = 1_000_000
+#: Texts decoded at a time.
+DECODED = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
+#: The rank of what is no piece.
+UNRANKED = 1 << 30
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -101,10 +111,16 @@ class Codec:
         self.bytes = [codes[b] for b in range(256)] if len(codes) == 256 and trainer.get(35, 0) else None
         normal = [self.scores[i] for i in self.ids.values()]
         self.unknown_score = min(normal, default=0.0) - UNKNOWN_PENALTY
+        show = {CONTROL: "", UNKNOWN: " ⁇ "}
+        self._texts = [show.get(k, p.replace(SPACE, " ")) for p, k in zip(self.pieces, self.kinds)]
+        self._byte = {i: b for b, i in enumerate(self.bytes or ())}
+        places = {score: at for at, score in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        #: The order of merges in a BPE model, and the two parts of each piece that has been asked for.
+        self.rank = {p: places[self.scores[i]] for p, i in self.ids.items()}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self._build()
         self._cutter()
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.forget()
         self.steps = 0
         self.pairs: dict[int, bool] = {}
 
@@ -147,18 +163,20 @@ class Codec:
         self.cut = re.compile(cut)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.symbols, key=len, reverse=True))) + ")") if self.symbols else None
 
-    def _merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging the best-scored pair, leftmost first, until none is left."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if at < 0:
-                return parts
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge of a piece's characters joins, if merging (best score first, then
+        leftmost) gives the piece at all."""
+        if piece in self.halves:
+            return self.halves[piece]
+        parts, rank = list(piece), self.rank
+        while len(parts) > 2:
+            ranks = [rank.get(a + b, UNRANKED) for a, b in zip(parts, parts[1:])]
+            at = ranks.index(min(ranks))
+            if ranks[at] == UNRANKED:
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        found = self.halves[piece] = tuple(parts) if len(parts) == 2 else None
+        return found
 
     def _outputs(self, node: int) -> tuple[tuple[int, int], ...]:
         """(id, length) of the pieces that end at a node, longest first, by its output links."""
@@ -167,7 +185,7 @@ class Codec:
         while at:
             piece = self.output[at]
             # in a BPE model, a piece that merging its own characters does not give never occurs
-            if self.kind == UNIGRAM or len(piece) == 1 or self._merged(piece) == [piece]:
+            if self.kind == UNIGRAM or len(piece) == 1 or self._halves(piece):
                 out.append((self.ids[piece], len(piece)))
             at = self.link[at]
         self.outputs[node] = tuple(out)
@@ -237,12 +255,28 @@ class Codec:
         return out
 
     def _intact(self, left: int, right: int) -> bool:
-        """Whether merging two pieces' characters gives the two pieces."""
+        """Whether merging two pieces' characters gives the two pieces.
+
+        The merges are undone from the last one back: a merge across the border spoils the pieces if it comes
+        before the merge undone last (of equal ones the leftmost comes first)."""
         if len(self.pairs) > 2 * CACHE:
             self.pairs.clear()
-        two = [self.pieces[left] if left >= 0 else chr(-1 - left), self.pieces[right]]
-        held = self.pairs[(left << 24) + right] = self._merged("".join(two)) == two
-        return held
+        a, b, limit = self.pieces[left] if left >= 0 else chr(-1 - left), self.pieces[right], UNRANKED
+        rank = self.rank
+        while True:
+            if rank.get(a + b, UNRANKED) < limit:
+                intact = False
+                break
+            of_a, of_b = rank[a] if len(a) > 1 else -1, rank[b] if len(b) > 1 else -1
+            if of_a > of_b:
+                a, limit = self._halves(a)[1], of_a
+            elif of_b >= 0:
+                b, limit = self._halves(b)[0], of_b + 1
+            else:
+                intact = True
+                break
+        self.pairs[(left << 24) + right] = intact
+        return intact
 
     @staticmethod
     def _read_off(last: list[tuple[int, int]]) -> list[int]:
@@ -253,10 +287,18 @@ class Codec:
             end -= size
         return out[::-1]
 
-    def _numbers(self, stretch: str) -> tuple[int, ...]:
+    def forget(self) -> None:
+        """The number of each remembered stretch; by number: first place and count of its ids, whether they decode to it."""
+        self.number: dict[str, int] = {}
+        self.first, self.count, self.whole = array("q"), array("q"), array("b")
+        self.ids_of = array("i")
+
+    def _numbers(self, stretch: str) -> list[int]:
+        if stretch in self.symbols:
+            return [self.ids[stretch]]
         found = self._segment(stretch)
         if not found or min(found) >= 0:
-            return tuple(found)
+            return found
         out: list[int] = []
         for i in found:
             if i >= 0:
@@ -265,39 +307,68 @@ class Codec:
                 out += [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return tuple(out)
+        return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def _new(self, stretch: str) -> int:
+        ids = self._numbers(stretch)
+        number = len(self.first)
+        self.first.append(len(self.ids_of))
+        self.count.append(len(ids))
+        self.whole.append(self._joined(ids) == stretch.replace(SPACE, " "))
+        self.ids_of.extend(ids)
+        if len(stretch) < LONG:
+            self.number[stretch] = number
+        return number
+
+    def _stretches(self, text: str | None) -> tuple[list[str], bool]:
+        """The stretches of a text, and whether they are the whole text."""
         if not text:
-            return []
+            return [], True
+        whole = SPACE not in text
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
+            squeezed = re.sub(" +", " ", text.strip(" "))
+            text, whole = squeezed, whole and squeezed == text
             if not text:
-                return []
+                return [], whole
         text = (" " + text if self.dummy_prefix else text).replace(" ", SPACE)
-        out: list[int] = []
-        cache = self.cache
-        for part in self.split.split(text) if self.split else (text,):
-            if part in self.symbols:
-                out.append(self.ids[part])
-                continue
-            for stretch in self.cut.findall(part):
-                ids = cache.get(stretch)
-                if ids is None:
-                    ids = self.older.get(stretch) or self._numbers(stretch)
-                    if len(stretch) < 200:
-                        if len(cache) >= CACHE:
-                            self.older, cache = cache, {}
-                        cache[stretch] = ids
-                out += ids
-        self.cache = cache
-        return out
+        if not self.split:
+            parts = self.cut.findall(text)
+        else:
+            parts = []
+            for part in self.split.split(text):
+                parts += [part] if part in self.symbols else self.cut.findall(part)
+        return parts, whole and sum(map(len, parts)) == len(text)
+
+    def encode_all(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, the place where each text's ids end, and whether they decode to it."""
+        if len(self.number) > STRETCHES or len(self.ids_of) > STRETCH_IDS:
+            self.forget()
+        stretches: list[str] = []
+        ends, whole = [], []
+        for t in texts:
+            parts, same = self._stretches(t)
+            stretches += parts
+            ends.append(len(stretches))
+            whole.append(same)
+        numbers = list(map(self.number.get, stretches))
+        for at, n in enumerate(numbers):
+            if n is None:
+                n = self.number.get(stretches[at])
+                numbers[at] = self._new(stretches[at]) if n is None else n
+        of = np.array(numbers, np.int64)
+        count = np.array(self.count, np.int64)[of]
+        stop = np.cumsum(count)
+        place = np.repeat(np.array(self.first, np.int64)[of] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
+        ids = np.array(self.ids_of, np.int32)[place]
+        wrong = np.r_[0, np.cumsum(np.array(self.whole, np.int8)[of] == 0)]
+        ends = np.array(ends, np.int64)
+        same = np.array(whole, bool) & (wrong[ends] == wrong[np.r_[0, ends[:-1]]])
+        return ids, np.r_[0, stop][ends], same
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids) -> str:
-        if not hasattr(self, "_texts"):
-            show = {CONTROL: "", UNKNOWN: " ⁇ "}
-            self._texts = [show.get(k, p.replace(SPACE, " ")) for p, k in zip(self.pieces, self.kinds)]
-            self._byte = {i: b for b, i in enumerate(self.bytes or ())}
+    def _joined(self, ids: Iterable[int]) -> str:
         out: list[str] = []
         held = bytearray()
         texts, byte = self._texts, self._byte
@@ -311,10 +382,23 @@ class Codec:
             out.append(texts[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
+        return "".join(out)
+
+    def decode(self, ids: Iterable[int]) -> str:
+        text = self._joined(ids)
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def slices(texts: pd.Series) -> Iterator[pd.Series]:
+    """Runs of texts of about SLICE characters."""
+    size = texts.str.len().fillna(0).to_numpy().cumsum()
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right")))
+        yield texts.iloc[at:to]
+        at = to
+
+
 _codecs: dict[bytes, Codec] = {}
 
 
@@ -323,6 +407,7 @@ def codec(raw: bytes) -> Codec:
     if raw not in _codecs:
         _codecs.clear()
         _codecs[raw] = Codec(raw)
+        gc.freeze()  # the automaton stays: the collector need not walk it again and again
     return _codecs[raw]
 
 
@@ -336,11 +421,10 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, column: str = "text",
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model.value)
         for b in batches:
-            for at in range(0, len(b), SLICE):
-                texts = b.iloc[at : at + SLICE]
-                ids = [own.encode(t) for t in texts]
-                same = [own.decode(i) == (t or "") for i, t in zip(ids, texts)] if verify else [None] * len(ids)
-                yield pd.DataFrame({"ids": pd.Series([np.array(i, np.int32) for i in ids], dtype=object), "round_trip": pd.Series(same, dtype="boolean")})
+            for texts in slices(b):
+                ids, ends, same = own.encode_all(texts)
+                lists = pd.Series([*np.split(ids, ends)[:-1]], dtype=object)
+                yield pd.DataFrame({"ids": lists, "round_trip": pd.Series(same if verify else [None] * len(same), dtype="boolean")})
 
     out = docs.withColumn("__encoded", encoded(F.col(column))).withColumn("ids", F.col("__encoded.ids"))
     out = out.withColumn("n_tokens", F.size("ids"))
@@ -356,8 +440,8 @@ def decode(rows: DataFrame, model_path: str = MODEL_PATH, column: str = "ids") -
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model.value)
         for b in batches:
-            for at in range(0, len(b), SLICE):
-                yield pd.Series([None if x is None else own.decode(x.tolist()) for x in b.iloc[at : at + SLICE]], dtype=object)
+            for at in range(0, len(b), DECODED):
+                yield pd.Series([None if x is None else own.decode(x.tolist()) for x in b.iloc[at : at + DECODED]], dtype=object)
 
     return rows.withColumn("decoded", text(F.col(column)))
 
