@@ -65,17 +65,61 @@ def with_places(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "ordinal", "m.raw", "m.start", (F.col("m.start") + F.length("m.raw")).alias("stop"))
 
 
+# The heading of a reference section, a numbered entry, the parts of an entry, an entry by author and year.
+SECTION = r"(?i)(?:References|Bibliography|Works\s+Cited|Literature\s+Cited)\s*\n([\s\S]*)$"
 REFERENCE_LINE = r"(?m)^[\[(]?(\d+)[\]).]\s*([A-Z][^\n]*?\(\d{4}\)[^\n]*)$"
+ENTRY = r"^(.*?)\s*\((\d{4})\)\.\s*([^.]+)"
+AUTHOR_YEAR = (
+    r"(?m)^([A-Z][a-zA-Z\-']+(?:,\s*[A-Z]\.(?:\s*[A-Z]\.)*)?(?:(?:,\s*&?\s*|\s+(?:&|and)\s+)[A-Z][a-zA-Z\-']+(?:,\s*[A-Z]\.(?:\s*[A-Z]\.)*)?)*)"
+    r"\s*\((\d{4})\)\.\s*([^.]+)\."
+)
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """Numbered entries of the reference section: (doc_id, ref_no, raw, authors, year, title, doi, url)."""
-    section = F.regexp_extract("text", r"(?i)(?:References|Bibliography|Works\s+Cited|Literature\s+Cited)\s*\n([\s\S]*)$", 1)
-    get = lambda g: F.regexp_extract_all(section, F.lit(REFERENCE_LINE), F.lit(g))
-    rows = docs.select("doc_id", F.explode(F.arrays_zip(get(1).alias("n"), get(2).alias("raw"))).alias("r")).select("doc_id", F.col("r.n").cast("int").alias("ref_no"), "r.raw")
-    parse = r"^(.*?)\s*\((\d{4})\)\.\s*([^.]+)"
+    """Entries of the reference section: (doc_id, ref_no, raw, authors, year, title, doi, url).
+
+    Numbered entries; in documents without any, those that begin with authors and a year, numbered in their order."""
+    section = F.regexp_extract("text", SECTION, 1)
+    get = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
+    cut = docs.select("doc_id", F.when(section != "", section).otherwise(F.col("text")).alias("section"))
+    numbered = F.arrays_zip(get("section", REFERENCE_LINE, 1).alias("n"), get("section", REFERENCE_LINE, 2).alias("raw"))
+    cut = cut.withColumn("numbered", numbered)
     some = lambda p, g: F.when(F.regexp_extract("raw", p, g) != "", F.regexp_extract("raw", p, g))
-    return rows.select("doc_id", "ref_no", "raw", authors(F.regexp_extract("raw", parse, 1)).alias("authors"), some(parse, 2).cast("int").alias("year"), F.trim(some(parse, 3)).alias("title"), some(DOI, 1).alias("doi"), some(URL, 0).alias("url"))
+    rows = cut.select("doc_id", F.explode("numbered").alias("r")).select("doc_id", F.col("r.n").cast("int").alias("ref_no"), "r.raw")
+    rows = rows.select("doc_id", "ref_no", "raw", authors(F.regexp_extract("raw", ENTRY, 1)).alias("authors"), some(ENTRY, 2).cast("int").alias("year"), F.trim(some(ENTRY, 3)).alias("title"), some(DOI, 1).alias("doi"), some(URL, 0).alias("url"))
+    found = F.arrays_zip(*[get("section", AUTHOR_YEAR, g).alias(n) for g, n in enumerate(("raw", "names", "year", "title"))])
+    named = cut.where(F.size("numbered") == 0).select("doc_id", F.posexplode(found).alias("i", "r"))
+    none = F.lit(None).cast("string")
+    named = named.select("doc_id", (F.col("i") + 1).alias("ref_no"), "r.raw", authors(F.col("r.names")).alias("authors"), F.col("r.year").cast("int").alias("year"), F.trim("r.title").alias("title"), none.alias("doi"), none.alias("url"))
+    return rows.unionByName(named)
+
+
+def statistics(cited: DataFrame, refs: DataFrame) -> DataFrame:
+    """(kind, key, n): all in-text citations and references, citations by author and by year."""
+    one = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit("").alias("key"), "n")
+    by = lambda df, kind, c: df.groupBy(c.cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    authors_ = cited.select(F.explode("authors").alias("author"))
+    return one(cited, "citations").unionByName(one(refs, "references")).unionByName(by(authors_, "author", F.col("author"))).unionByName(by(cited.where("year IS NOT NULL"), "year", F.col("year")))
+
+
+def report(docs: DataFrame, first: int = 20, top: int = 10) -> DataFrame:
+    """One row per document: style, totals, the first citations and references as displayed, the most cited authors."""
+    cited, refs = in_text(docs), references(docs)
+    shown = lambda df, order, title: df.select("doc_id", F.struct(F.col(order).alias("at"), display(F.col("authors"), F.col("year"), title).alias("shown")).alias("s"))
+
+    def lists(df: DataFrame, order: str, title: Column, total: str, name: str) -> DataFrame:
+        place = Window.partitionBy("doc_id").orderBy("s.at")
+        rows = shown(df, order, title).withColumn("n", F.row_number().over(place))
+        some = F.array_sort(F.collect_list(F.when(F.col("n") <= first, F.col("s"))))
+        return rows.groupBy("doc_id").agg(F.count("*").alias(total), F.transform(some, lambda x: x["shown"]).alias(name))
+
+    best = top_authors(cited, top).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "author", "n"))).alias("l"))
+    best = best.select("doc_id", F.transform("l", lambda x: F.concat(x["author"], F.lit(": "), x["n"].cast("string"))).alias("top_authors"))
+    out = docs.select("doc_id", style(F.col("text")).alias("style"))
+    out = out.join(lists(cited.withColumn("at", F.struct("pattern", "ordinal")), "at", F.lit(None).cast("string"), "in_text_total", "in_text"), "doc_id", "left")
+    out = out.join(lists(refs, "ref_no", F.col("title"), "reference_total", "references"), "doc_id", "left").join(best, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("doc_id", "style", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("in_text_total", "reference_total")], *[F.coalesce(c, none).alias(c) for c in ("in_text", "references", "top_authors")])
 
 
 def links(cited: DataFrame, refs: DataFrame) -> DataFrame:

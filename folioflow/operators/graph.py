@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.sources.shared import written
+
 # Capitalised words that are no concepts.
 COMMON = (
     "The This That These Those There Where When What Which Who How Why However Therefore Figure Table Section Chapter Page Reference "
     "Abstract Introduction Conclusion Results Discussion Methods Materials Data Analysis Study Research"
 ).split()
+# What reads as a concept.
 PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
 TECHNICAL = r"\b([a-z]+(?:-[a-z]+)+|[a-z]*[A-Z]+[a-z]*)\b"
 TOP = 20
+#: Nodes ahead that a node knows at most, about, while chains are followed.
+WAY = 1000
+
+
+def ascii_borders(pattern: str) -> str:
+    r"""The pattern with its outer word borders told by ASCII letters, digits and underscores, whatever ``\b`` means."""
+    return pattern.removeprefix(r"\b").removesuffix(r"\b").join((r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"))
 
 
 def concepts(docs: DataFrame, top: int = TOP) -> DataFrame:
     """docs (document_id, text): the ``top`` most frequent terms of each, capitalised phrases before technical terms on ties."""
     get = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(1))
     common = F.array(*[F.lit(w) for w in COMMON])
-    phrases = F.filter(get(PHRASE), lambda t: (F.length(t) > 3) & ~F.array_contains(common, t))
-    technical = F.filter(get(TECHNICAL), lambda t: F.length(t) > 4)
+    phrases = F.filter(get(ascii_borders(PHRASE)), lambda t: (F.length(t) > 3) & ~F.array_contains(common, t))
+    technical = F.filter(get(ascii_borders(TECHNICAL)), lambda t: F.length(t) > 4)
     counts = docs.select("document_id", F.posexplode(F.concat(phrases, technical)).alias("pos", "term")).groupBy("document_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     order = Window.partitionBy("document_id").orderBy(F.desc("n"), "pos")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("document_id", "term", "n", "rank")
@@ -42,33 +52,75 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.regexp_replace("name", r"\.pdf$", "").alias("label"), F.least(F.lit(30.0), 10 + F.col("chunk_count") / 5).alias("size"))
 
 
-def match_by_author(cited: DataFrame, docs: DataFrame) -> DataFrame:
-    """cited (doc_id, ordinal, authors), docs (document, name, ord): the first document whose name holds the first author's last word.
+def name_words(names: DataFrame, words: DataFrame) -> DataFrame:
+    """names (document, ord, name), words (word): (word, document, ord) where the name holds the word.
+
+    Words and names meet in the word's first three letters, by equality; then the whole word is looked for."""
+    words = words.where("word <> ''").distinct().withColumn("gram", F.left("word", F.lit(3)))
+    low = names.select("document", "ord", F.lower("name").alias("low"))
+    spots = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr("low", i, n)))))
+    pairs = low.withColumn("gram", F.explode(grams)).join(words, "gram")
+    return pairs.where(F.contains("low", "word")).select("word", "document", "ord")
 
-    Names are cut into words, which join with the authors by equality."""
-    last = F.lower(F.element_at(F.split(F.get("authors", F.lit(0)), " "), -1))
-    asked = cited.where(F.size("authors") > 0).select("doc_id", "ordinal", last.alias("word"))
-    words = docs.select("document", "ord", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z]+"))).alias("word")).where("word <> ''")
-    first = words.groupBy("word").agg(F.min_by("document", "ord").alias("document"))  # before the join: a word may be in very many names
-    return asked.join(first, "word").select("doc_id", "ordinal", "document")
+
+def match_documents(cited: DataFrame, docs: DataFrame) -> DataFrame:
+    """cited (doc_id, kind, ordinal, authors, title), docs (document, ord, name): the first document whose name holds the
+    first author's last word, or at least two of the title's words of more than four letters."""
+    cited = cited.withColumn("last", F.lower(F.element_at(F.split(F.get("authors", F.lit(0)), " "), -1)))
+    by_author = name_words(docs, cited.select(F.col("last").alias("word"))).groupBy("word").agg(F.min(F.struct("ord", "document")).alias("a"))
+    titles = cited.where("title IS NOT NULL").select("title").distinct()
+    words = titles.select("title", F.explode(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) > 4)).alias("word"))
+    twice = words.join(name_words(docs, words.select("word")), "word").groupBy("title", "document", "ord").agg(F.count("*").alias("n")).where("n >= 2")
+    by_title = twice.groupBy("title").agg(F.min(F.struct("ord", "document")).alias("t"))
+    both = cited.join(by_author.withColumnRenamed("word", "last"), "last", "left").join(by_title, "title", "left")
+    first = F.least("a", "t")
+    return both.where(first.isNotNull()).select("doc_id", "kind", "ordinal", first["document"].alias("document"))
 
 
 def cites_edges(matched: DataFrame) -> DataFrame:
     return matched.where("doc_id <> document").select(F.col("doc_id").alias("source"), F.col("document").alias("target"))
 
 
+def related_edges(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, score) of similar documents to edges with weight and label."""
+    return pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("score").alias("weight"), F.concat(F.format_string("%.0f", 100 * F.col("score")), F.lit("% similar")).alias("label"))
+
+
+def build(document_nodes: DataFrame, found: DataFrame, related: DataFrame, cited: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (kind, id, label, size) and edges (kind, source, target, weight) of the whole graph.
+
+    document_nodes (document_id, label, size); found: concepts of documents; related (source, target, weight); cited (source, target)."""
+    concepts_ = concept_nodes(found)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    nodes = document_nodes.select(F.lit("document").alias("kind"), F.col("document_id").cast("string").alias("id"), "label", F.col("size").cast("double").alias("size"))
+    nodes = nodes.unionByName(concepts_.select(F.lit("concept").alias("kind"), F.col("concept").alias("id"), F.col("concept").alias("label"), F.col("size").cast("double").alias("size")))
+    one = F.lit(1.0).alias("weight")
+    edges = concept_edges(found, concepts_).select(F.lit("shares_concept").alias("kind"), text("source"), text("target"), one)
+    edges = edges.unionByName(related.select(F.lit("related").alias("kind"), text("source"), text("target"), F.col("weight").cast("double").alias("weight")))
+    return nodes, edges.unionByName(cited.select(F.lit("cites").alias("kind"), text("source"), text("target"), one))
+
+
+# Where years stand in a text.
+YEAR = r"\b(19[89]\d|20[0-2]\d)\b"
+PUBLISHED = r"(?i)(?:published|publication date|date)[:\s]*(\d{4})"
+SIGNED = (r"©\s*(\d{4})", r"(?i)copyright\s*(\d{4})")
+
+
 def publication_year(docs: DataFrame, as_of: int) -> DataFrame:
-    """docs (document_id, text): the most frequent year from 2000 to ``as_of`` in the first 2000 characters, the
-    first seen on ties, else the latest of 1980 to ``as_of`` + 1."""
+    """docs (document_id, text, stored, indexed): the stored year; else, of the years in the first 2000 characters, the
+    most frequent one from 2000 to ``as_of``, the first seen on ties; else the latest of 1980 to ``as_of`` + 1; else the
+    year of indexing.  Documents without text and stored year have none."""
     head = F.left("text", F.lit(2000))
-    patterns = ((r"\b(19[89]\d|20[0-2]\d)\b", 1), (r"(?i)(?:published|publication date|date)[:\s]*(\d{4})", 1), (r"©\s*(\d{4})", 1), (r"(?i)copyright\s*(\d{4})", 1))
-    years = F.concat(*[F.regexp_extract_all(head, F.lit(p), F.lit(g)) for p, g in patterns])
+    years = F.concat(*[F.regexp_extract_all(head, F.lit(p), F.lit(1)) for p in (ascii_borders(YEAR), PUBLISHED, *SIGNED)])
     rows = docs.select("document_id", F.posexplode(years).alias("pos", "y")).select("document_id", "pos", F.col("y").cast("int").alias("year"))
     rows = rows.where((F.col("year") >= 1980) & (F.col("year") <= as_of + 1))
     valid = (F.col("year") >= 2000) & (F.col("year") <= as_of)
     per = rows.groupBy("document_id", "year").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).withColumn("valid", valid)
     order = Window.partitionBy("document_id").orderBy(F.desc("valid"), F.when(F.col("valid"), -F.col("n")), F.when(F.col("valid"), F.col("pos")), F.desc("year"))
-    return per.withColumn("k", F.row_number().over(order)).where("k = 1").select("document_id", "year")
+    found = per.withColumn("k", F.row_number().over(order)).where("k = 1").select("document_id", F.col("year").alias("found"))
+    out = docs.select("document_id", "stored", "indexed", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("some")).join(found, "document_id", "left")
+    return out.select("document_id", F.coalesce("stored", F.when(F.col("some"), F.coalesce("found", "indexed"))).alias("year"))
 
 
 def cited_by_years(edges: DataFrame, years: DataFrame) -> DataFrame:
@@ -96,20 +148,31 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
 
 
-def chains(spark: SparkSession, nodes: DataFrame, edges: DataFrame, top: int = 20) -> DataFrame:
-    """From each root the citer of the earliest year, and so on until none or a repeat; the ``top`` longest of two or more."""
+def chains(nodes: DataFrame, edges: DataFrame, top: int = 20) -> DataFrame:
+    """From each root the citer of the earliest year, and so on until none or a repeat; the ``top`` longest of two or more.
+
+    Each node leads to one citer, so chains are followed by pointer jumping: a round joins every node's path with the
+    way ahead of its last node.  The ways double in each round up to WAY nodes, so ten rounds follow chains of a
+    thousand nodes, and each further round another thousand."""
     dated = dated_edges(nodes, edges).where("year IS NOT NULL AND dst_year IS NOT NULL")
     order = Window.partitionBy("dst").orderBy("year", "src")
-    step = dated.withColumn("k", F.row_number().over(order)).where("k = 1").select("dst", "src")
-    step.createOrReplaceTempView("chain_steps")
-    roots(dated.select("src", "dst")).createOrReplaceTempView("chain_roots")
-    walked = spark.sql("""
-        WITH RECURSIVE walk (root, node, path) AS (
-            SELECT id, id, array(id) FROM chain_roots
-            UNION ALL
-            SELECT w.root, s.src, array_append(w.path, s.src) FROM walk w JOIN chain_steps s ON s.dst = w.node WHERE NOT array_contains(w.path, s.src)
-        ) SELECT root, max_by(path, size(path)) AS path FROM walk GROUP BY root""")
-    return walked.where("size(path) >= 2").orderBy(F.desc(F.size("path")), "root").limit(top).select("root", F.size("path").alias("length"), "path")
+    step = dated.withColumn("k", F.row_number().over(order)).where("k = 1").select(F.col("dst").alias("node"), F.col("src").alias("next"))
+    jump = written(step.select("node", F.array("next").alias("way")), "jump")
+    path = written(roots(dated.select("src", "dst")).select(F.col("id").alias("root"), F.array("id").alias("path"), F.lit(False).alias("done")), "path")
+    while True:
+        ends = path.where("NOT done").withColumn("node", F.element_at("path", -1)).join(jump, "node", "left")
+        joined = F.concat("path", F.coalesce("way", F.array().cast(dict(jump.dtypes)["way"])))
+        # a repeat ends a chain before the first node that it holds already; all that follow are repeats too
+        fresh = F.array_distinct(joined)
+        moved = ends.select("root", fresh.alias("path"), (F.col("way").isNull() | (F.size(fresh) < F.size(joined))).alias("done"))
+        path = written(path.where("done").unionByName(moved), "path")
+        if path.where("NOT done").isEmpty():
+            break
+        far = jump.select(F.col("node").alias("last"), F.col("way").alias("more"))
+        longer = jump.withColumn("last", F.element_at("way", -1)).join(far, "last", "left")
+        whole = F.array_distinct(F.concat("way", F.coalesce("more", F.array().cast(dict(jump.dtypes)["way"]))))
+        jump = written(longer.select("node", F.when(F.size("way") < WAY, whole).otherwise(F.col("way")).alias("way")), "jump")
+    return path.where("size(path) >= 2").orderBy(F.desc(F.size("path")), "root").limit(top).select("root", F.size("path").alias("length"), "path")
 
 
 def yearly_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

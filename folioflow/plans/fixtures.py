@@ -70,13 +70,27 @@ def citing(spark: SparkSession, d: str) -> DataFrame:
     cit = cit.when(F.col("form") == 1, F.concat(F.lit("("), "s1", F.lit(", "), "s2", F.lit(" & "), "s3", F.lit(" "), y, F.lit(")")))
     cit = cit.when(F.col("form") == 2, F.lit("[1], [1-2]")).otherwise(F.concat(F.lit("("), "s1", F.lit(" 45)")))
     key = F.col("doc_id").cast("string")
-    ref = lambda n, s, a, year, title, link: F.concat(F.lit(f"\n{n}. "), s, F.lit(f", {a}. ("), year, F.lit("). "), title, F.lit(". "), F.lit(link), key)
+    number = lambda n: F.when(F.col("form") == 3, "\n").otherwise(f"\n{n}. ")  # the last form has entries by author and year
+    ref = lambda n, s, a, year, title, link: F.concat(number(n), s, F.lit(f", {a}. ("), year, F.lit("). "), title, F.lit(". "), F.lit(link), key)
     text = F.concat(
         F.lit("Earlier work "), cit, F.lit(" agrees. We extend "), cit, F.lit(".\nReferences"),
         ref(1, F.col("s1"), "A", y, F.concat(F.lit("Study of "), "o_orderpriority"), "10.1234/abc."),
         ref(2, F.col("s2"), "B", (F.col("yr") - 1).cast("string"), F.concat(F.lit("Notes on "), "o_orderstatus"), "https://example.org/"),
     )
-    return o.select("doc_id", F.concat(F.lower("s1"), F.lit("_"), key, F.lit(".pdf")).alias("name"), text.alias("text"))
+    # some names hold words of a title, and some documents a stored year
+    tail = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("_study_"), F.lower("o_orderpriority"))).otherwise("")
+    stored = F.when(F.col("doc_id") % 11 == 0, F.col("yr"))
+    return o.select("doc_id", F.concat(F.lower("s1"), F.lit("_"), key, tail, F.lit(".pdf")).alias("name"), text.alias("text"), stored.alias("stored"))
+
+
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of the documents, from the lines of orders: (image_id, document_id, page_number, width, height, full_page, ocr_text)."""
+    i = table(spark, d, "lineitem")
+    return i.select(
+        F.concat_ws("_", "l_orderkey", "l_linenumber").alias("image_id"), F.concat(F.lit("doc_"), F.col("l_partkey").cast("string")).alias("document_id"),
+        F.col("l_linenumber").alias("page_number"), (F.col("l_quantity") * 20).cast("int").alias("width"), (F.col("l_quantity") * 20 - F.col("l_linenumber") * 10).cast("int").alias("height"),
+        (F.col("l_returnflag") == "R").alias("full_page"), F.repeat(F.concat("l_linestatus", F.lit(" ")), F.col("l_quantity").cast("int")).alias("ocr_text"),
+    )
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:

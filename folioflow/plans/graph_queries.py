@@ -8,6 +8,7 @@ from folioflow.operators import citations as G
 from folioflow.operators import corpus as P
 from folioflow.operators import graph as R
 from folioflow.operators import grounding as S
+from folioflow.operators import vector as V
 from folioflow.plans import fixtures as X
 from folioflow.plans import oracle as O
 
@@ -73,11 +74,17 @@ def g2_places(spark, d):
     return G.with_places(X.citing(spark, d))
 
 
-REFS = f"""ref0 AS (SELECT doc_id, regexp_extract(text, '(?i)(?:References|Bibliography|Works\\s+Cited|Literature\\s+Cited)\\s*\\n([\\s\\S]*)$', 1) AS sec FROM citing),
+def _some(pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract(raw, {s(pattern)}, {group}), '')"
+
+
+REFS = f"""ref0 AS (SELECT doc_id, regexp_extract(text, {s(G.SECTION)}, 1) AS sec FROM citing),
 ref1 AS (SELECT doc_id, unnest(regexp_extract_all(sec, {s(G.REFERENCE_LINE)}, 1))::INT AS ref_no, unnest(regexp_extract_all(sec, {s(G.REFERENCE_LINE)}, 2)) AS raw FROM ref0),
-refs AS (SELECT doc_id, ref_no, raw, {_authors("regexp_extract(raw, '^(.*?)\\s*\\((\\d{4})\\)\\.\\s*([^.]+)', 1)")} AS authors,
-  nullif(regexp_extract(raw, '^(.*?)\\s*\\((\\d{{4}})\\)\\.\\s*([^.]+)', 2), '')::INT AS year, trim(nullif(regexp_extract(raw, '^(.*?)\\s*\\((\\d{{4}})\\)\\.\\s*([^.]+)', 3), '')) AS title,
-  nullif(regexp_extract(raw, {s(G.DOI)}, 1), '') AS doi, nullif(regexp_extract(raw, {s(G.URL)}, 0), '') AS url FROM ref1)"""
+ref2 AS (SELECT doc_id, unnest(range(1, len(regexp_extract_all(sec, {s(G.AUTHOR_YEAR)}, 0)) + 1))::INT AS ref_no, {", ".join(f"unnest(regexp_extract_all(sec, {s(G.AUTHOR_YEAR)}, {g})) AS {n}" for g, n in enumerate(("raw", "names", "y", "title")))}
+  FROM ref0 WHERE doc_id NOT IN (SELECT doc_id FROM ref1)),
+refs AS (SELECT doc_id, ref_no, raw, {_authors(f"regexp_extract(raw, {s(G.ENTRY)}, 1)")} AS authors,
+  {_some(G.ENTRY, 2)}::INT AS year, trim({_some(G.ENTRY, 3)}) AS title, {_some(G.DOI, 1)} AS doi, {_some(G.URL, 0)} AS url FROM ref1
+  UNION ALL SELECT doc_id, ref_no, raw, {_authors("names")}, y::INT, trim(title), NULL, NULL FROM ref2)"""
 
 
 @query("g4_references", O.with_(CIT, REFS, select="SELECT * FROM refs"))
@@ -118,81 +125,136 @@ def g12(spark, d):
     return G.bibtex(G.references(X.citing(spark, d))).select("doc_id", "ref_no", "entry")
 
 
-@query("g11_report", O.with_(CIT, STYLED, CITED, select="SELECT doc_id, author, n, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, author))::INT AS rank FROM (SELECT doc_id, author, count(*) AS n FROM (SELECT doc_id, unnest(authors) AS author FROM citedx) GROUP BY ALL) QUALIFY rank <= 10"))
+_SHOWN = "concat_ws(', ', CASE WHEN len(authors) > 2 THEN authors[1] || ' et al.' WHEN len(authors) > 0 THEN array_to_string(authors, ' & ') END, year::VARCHAR, {0})"
+
+
+@query(
+    "g7_statistics",
+    O.with_(CIT, STYLED, CITED, REFS, select="""SELECT 'citations' AS kind, '' AS key, count(*) AS n FROM citedx UNION ALL SELECT 'references', '', count(*) FROM refs
+UNION ALL SELECT 'author', author, count(*) FROM (SELECT unnest(authors) AS author FROM citedx) GROUP BY author UNION ALL SELECT 'year', year::VARCHAR, count(*) FROM citedx WHERE year IS NOT NULL GROUP BY year"""),
+)
+def g7_all(spark, d):
+    docs = X.citing(spark, d)
+    return G.statistics(G.in_text(docs), G.references(docs))
+
+
+@query(
+    "g11_report",
+    O.with_(
+        CIT, STYLED, CITED, REFS,
+        f"c0 AS (SELECT doc_id, {_SHOWN.format('NULL')} AS shown, row_number() OVER (PARTITION BY doc_id ORDER BY pattern, ordinal) AS k FROM citedx)",
+        "c1 AS (SELECT doc_id, count(*) AS n, list(shown ORDER BY k) FILTER (k <= 20) AS l FROM c0 GROUP BY doc_id)",
+        f"r0 AS (SELECT doc_id, {_SHOWN.format('title')} AS shown, row_number() OVER (PARTITION BY doc_id ORDER BY ref_no) AS k FROM refs)",
+        "r1 AS (SELECT doc_id, count(*) AS n, list(shown ORDER BY k) FILTER (k <= 20) AS l FROM r0 GROUP BY doc_id)",
+        "a0 AS (SELECT doc_id, author, count(*) AS n FROM (SELECT doc_id, unnest(authors) AS author FROM citedx) GROUP BY ALL)",
+        "a1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, author) AS rank FROM a0 QUALIFY rank <= 10)",
+        "a2 AS (SELECT doc_id, list(author || ': ' || n ORDER BY rank) AS l FROM a1 GROUP BY doc_id)",
+        select="""SELECT s.doc_id, style, coalesce(c1.n, 0) AS in_text_total, coalesce(r1.n, 0) AS reference_total, coalesce(c1.l, []) AS in_text, coalesce(r1.l, []) AS references, coalesce(a2.l, []) AS top_authors
+FROM styled s LEFT JOIN c1 USING (doc_id) LEFT JOIN r1 USING (doc_id) LEFT JOIN a2 USING (doc_id)""",
+    ),
+)
 def g11(spark, d):
-    return G.top_authors(G.in_text(X.citing(spark, d)), 10).select("doc_id", "author", "n", "rank")
+    return G.report(X.citing(spark, d).select("doc_id", "text"))
 
 
 _COMMON = "[" + ", ".join(f"'{w}'" for w in R.COMMON) + "]"
 CON = f"""con0 AS (SELECT document_id, list_concat(list_filter(regexp_extract_all(text, {s(R.PHRASE)}, 1), lambda t: len(t) > 3 AND NOT list_contains({_COMMON}, t)),
-  list_filter(regexp_extract_all(text, {s(R.TECHNICAL)}, 1), lambda t: len(t) > 4)) AS l FROM ascii),
+  list_filter(regexp_extract_all(text, {s(R.TECHNICAL)}, 1), lambda t: len(t) > 4)) AS l FROM corpus),
 con1 AS (SELECT document_id, unnest(range(len(l))) AS pos, unnest(l) AS term FROM con0),
 con2 AS (SELECT document_id, term, count(*) AS n, min(pos) AS pos FROM con1 GROUP BY ALL),
 con AS (SELECT document_id, term, n, (row_number() OVER (PARTITION BY document_id ORDER BY n DESC, pos))::INT AS rank FROM con2 QUALIFY rank <= 20),
 conodes AS (SELECT concept, n, least(25, 5 + 2 * n) AS size FROM (SELECT lower(term) AS concept, count(DISTINCT document_id) AS n FROM con GROUP BY 1) WHERE n >= 2)"""
-#: Word borders differ between the engines beside letters outside ASCII, which are blanked first.
-ASCII = "ascii AS (SELECT document_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM corpus)"
-
-
-def _ascii(spark, d):
-    return X.corpus(spark, d).select("document_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-
-
 @query("h1_document_nodes", O.with_(O.CORPUS, O.CHUNKS, select="SELECT document_id, regexp_replace(name, '\\.pdf$', '') AS label, least(30.0::DOUBLE, 10 + count(*) / 5) AS size FROM chunks JOIN corpus USING (document_id) GROUP BY ALL"))
 def h1(spark, d):
     return R.document_nodes(P.with_counts(X.corpus(spark, d), X.chunks(spark, d)))
 
 
-@query("h2_concepts", O.with_(O.CORPUS, ASCII, CON, select="SELECT * FROM con"))
+@query("h2_concepts", O.with_(O.CORPUS, CON, select="SELECT * FROM con"))
 def h2(spark, d):
-    return R.concepts(_ascii(spark, d))
+    return R.concepts(X.corpus(spark, d).select("document_id", "text"))
 
 
-@query("h3_concept_nodes", O.with_(O.CORPUS, ASCII, CON, select="SELECT * FROM conodes"))
+@query("h3_concept_nodes", O.with_(O.CORPUS, CON, select="SELECT * FROM conodes"))
 def h3(spark, d):
-    return R.concept_nodes(R.concepts(_ascii(spark, d)))
+    return R.concept_nodes(R.concepts(X.corpus(spark, d).select("document_id", "text")))
 
 
-@query("h4_concept_edges", O.with_(O.CORPUS, ASCII, CON, select="SELECT DISTINCT document_id AS source, lower(term) AS target FROM con JOIN conodes ON concept = lower(term)"))
+@query("h4_concept_edges", O.with_(O.CORPUS, CON, select="SELECT DISTINCT document_id AS source, lower(term) AS target FROM con JOIN conodes ON concept = lower(term)"))
 def h4(spark, d):
-    found = R.concepts(_ascii(spark, d))
+    found = R.concepts(X.corpus(spark, d).select("document_id", "text"))
     return R.concept_edges(found, R.concept_nodes(found))
 
 
-MATCH = """firsts AS (SELECT split_part(name, '_', 1) AS word, min(doc_id) AS document FROM citing GROUP BY 1),
-match0 AS (SELECT c.doc_id, c.ordinal, f.document FROM citedx c JOIN firsts f ON f.word = lower(string_split(c.authors[1], ' ')[-1]))"""
+MATCH = """every AS (SELECT doc_id, 'text' AS kind, pattern || ordinal AS place, authors, NULL AS title FROM citedx UNION ALL SELECT doc_id, 'reference', ref_no::VARCHAR, authors, title FROM refs),
+every1 AS (SELECT *, lower(string_split(authors[1], ' ')[-1]) AS word FROM every),
+byauthor AS (SELECT word, min(doc_id) AS a FROM (SELECT DISTINCT word FROM every1 WHERE word <> '') JOIN citing ON contains(lower(name), word) GROUP BY word),
+bytitle AS (SELECT title, min(doc_id) AS t FROM (SELECT DISTINCT title FROM every1) JOIN citing
+  ON len(list_filter(list_filter(string_split(lower(title), ' '), lambda w: len(w) > 4), lambda w: contains(lower(name), w))) >= 2 GROUP BY title),
+match0 AS (SELECT doc_id, kind, place, least(coalesce(a, t), coalesce(t, a)) AS document FROM every1 LEFT JOIN byauthor USING (word) LEFT JOIN bytitle USING (title) WHERE a IS NOT NULL OR t IS NOT NULL)"""
 
 
-@query("h6_match_documents", O.with_(CIT, STYLED, CITED, MATCH, select="SELECT * FROM match0"))
-def h6(spark, d):
+def _matched(spark, d):
     docs = X.citing(spark, d)
-    return R.match_by_author(G.in_text(docs), docs.select(F.col("doc_id").alias("document"), F.col("doc_id").alias("ord"), "name"))
+    cited = G.in_text(docs).select("doc_id", F.lit("text").alias("kind"), F.concat("pattern", F.col("ordinal").cast("string")).alias("ordinal"), "authors", F.lit(None).cast("string").alias("title"))
+    refs = G.references(docs).select("doc_id", F.lit("reference").alias("kind"), F.col("ref_no").cast("string").alias("ordinal"), "authors", "title")
+    return R.match_documents(cited.unionByName(refs), docs.select(F.col("doc_id").alias("document"), F.col("doc_id").alias("ord"), "name"))
 
 
-@query("h7_cites_edges", O.with_(CIT, STYLED, CITED, MATCH, select="SELECT doc_id AS source, document AS target FROM match0 WHERE doc_id <> document"))
+@query("h6_match_documents", O.with_(CIT, STYLED, CITED, REFS, MATCH, select="SELECT * FROM match0"))
+def h6(spark, d):
+    return _matched(spark, d).withColumnRenamed("ordinal", "place")
+
+
+@query("h7_cites_edges", O.with_(CIT, STYLED, CITED, REFS, MATCH, select="SELECT doc_id AS source, document AS target FROM match0 WHERE doc_id <> document"))
 def h7(spark, d):
-    return R.cites_edges(h6(spark, d))
+    return R.cites_edges(_matched(spark, d))
+
+
+#: Documents are alike above this cosine.
+ALIKE = 0.5
+_PAIRS = f"""pairs AS (SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS weight
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > {ALIKE})"""
+
+
+def _related(spark, d):
+    return R.related_edges(V.similar_pairs(X.vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding"), ALIKE))
+
+
+@query("h5_related_edges", "WITH " + _PAIRS + " SELECT source, target, weight, printf('%.0f', 100 * weight) || '% similar' AS label FROM pairs")
+def h5(spark, d):
+    return _related(spark, d)
 
 
 @query(
     "h8_build_graph",
-    O.with_(O.CORPUS, O.CHUNKS, ASCII, CON, select="SELECT 'document' AS kind, (SELECT count(*) FROM corpus) AS n UNION ALL SELECT 'concept', (SELECT count(*) FROM conodes) UNION ALL SELECT 'shares_concept', (SELECT count(*) FROM (SELECT DISTINCT document_id, lower(term) FROM con JOIN conodes ON concept = lower(term)))"),
+    O.with_(
+        O.CORPUS, O.CHUNKS, CON, CIT, STYLED, CITED, REFS, MATCH, _PAIRS,
+        select="""SELECT 'document' AS kind, count(*) AS n, sum(size) AS total FROM (SELECT least(30.0::DOUBLE, 10 + count(*) / 5) AS size FROM chunks GROUP BY document_id)
+UNION ALL SELECT 'concept', count(*), sum(size)::DOUBLE FROM conodes
+UNION ALL SELECT 'shares_concept', count(*), count(*)::DOUBLE FROM (SELECT DISTINCT document_id, lower(term) FROM con JOIN conodes ON concept = lower(term))
+UNION ALL SELECT 'related', count(*), round(sum(weight), 6) FROM pairs HAVING count(*) > 0
+UNION ALL SELECT 'cites', count(*), count(*)::DOUBLE FROM match0 WHERE doc_id <> document HAVING count(*) > 0""",
+    ),
 )
 def h8(spark, d):
-    found = R.concepts(_ascii(spark, d))
-    nodes = R.concept_nodes(found)
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"))
-    all_ = kind(R.document_nodes(P.with_counts(X.corpus(spark, d), X.chunks(spark, d))), "document").unionByName(kind(nodes, "concept")).unionByName(kind(R.concept_edges(found, nodes), "shares_concept"))
-    return all_.groupBy("kind").agg(F.count("*").alias("n"))
+    """How many nodes and edges of each kind the whole graph has, and their sizes or weights."""
+    c = X.corpus(spark, d)
+    nodes = R.document_nodes(P.with_counts(c, X.chunks(spark, d)).select("document_id", "name", "chunk_count"))
+    n, e = R.build(nodes.join(c.select("document_id"), "document_id"), R.concepts(c.select("document_id", "text")), _related(spark, d), R.cites_edges(_matched(spark, d)))
+    both = n.select("kind", F.col("size").alias("v")).unionByName(e.select("kind", F.col("weight").alias("v")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
 
-YEARS = f"""y0 AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l)::INT AS y FROM (SELECT doc_id, regexp_extract_all(left(text, 2000), '\\b(19[89]\\d|20[0-2]\\d)\\b', 1) AS l FROM citing)),
-y1 AS (SELECT doc_id, y, count(*) AS n, min(pos) AS pos, y BETWEEN 2000 AND {AS_OF} AS v FROM y0 WHERE y BETWEEN 1980 AND {AS_OF + 1} GROUP BY ALL)"""
+YEARS = f"""y0 AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l)::INT AS y FROM (SELECT doc_id, list_concat(regexp_extract_all(left(text, 2000), {s(R.YEAR)}, 1),
+  regexp_extract_all(left(text, 2000), {s(R.PUBLISHED)}, 1)) AS l FROM citing)),
+y1 AS (SELECT doc_id, y, count(*) AS n, min(pos) AS pos, y BETWEEN 2000 AND {AS_OF} AS v FROM y0 WHERE y BETWEEN 1980 AND {AS_OF + 1} GROUP BY ALL),
+y2 AS (SELECT doc_id, y FROM y1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, CASE WHEN v THEN -n END, CASE WHEN v THEN pos END, y DESC) = 1)"""
 
 
-@query("i1_publication_year", O.with_(CIT, YEARS, select="SELECT doc_id AS document_id, y AS year FROM y1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, CASE WHEN v THEN -n END, CASE WHEN v THEN pos END, y DESC) = 1"))
+@query("i1_publication_year", O.with_(CIT, YEARS, select="SELECT doc_id AS document_id, coalesce(stored, CASE WHEN len(text) > 0 THEN coalesce(y, 2024) END)::INT AS year FROM citing LEFT JOIN y2 USING (doc_id)"))
 def i1(spark, d):
-    return R.publication_year(X.citing(spark, d).select(F.col("doc_id").alias("document_id"), "text"), AS_OF)
+    docs = X.citing(spark, d).select(F.col("doc_id").alias("document_id"), "text", "stored", F.lit(2024).alias("indexed"))
+    return R.publication_year(docs, AS_OF)
 
 
 @query("i2_documents_by_year", O.with_(PAP, select="SELECT year, list(id ORDER BY id) AS ids FROM papers GROUP BY year"))
@@ -231,7 +293,7 @@ def i6(spark, d):
         select="SELECT root, len(max_by(path, len(path)))::INT AS length, max_by(path, len(path)) AS path FROM walk GROUP BY root HAVING max(len(path)) >= 2 ORDER BY length DESC, root LIMIT 20")[5:],
 )
 def i7(spark, d):
-    return R.chains(spark, X.papers(spark, d), X.cites(spark, d))
+    return R.chains(X.papers(spark, d), X.cites(spark, d))
 
 
 @query("i8_year_range", O.with_(PAP, select="SELECT min(year) AS first, max(year) AS last FROM papers"))
@@ -267,6 +329,11 @@ def i12(spark, d):
     return R.influence(X.papers(spark, d), X.cites(spark, d), AS_OF).orderBy(F.desc("influence"), "id").limit(10).select("id", "influence")
 
 
+@query("i13_documents_of_year", O.with_(PAP, select="SELECT id, label FROM papers WHERE year = 2005"))
+def i13(spark, d):
+    return X.papers(spark, d).where("year = 2005").select("id", "label")
+
+
 @query("i14_per_year", O.with_(PAP, EDG, "c AS (SELECT year, count(*) AS citations FROM cites JOIN papers ON src = id GROUP BY year)", select="SELECT year, count(*) AS papers, coalesce(any_value(citations), 0) AS citations FROM papers LEFT JOIN c USING (year) GROUP BY year"))
 def i14(spark, d):
     p = X.papers(spark, d)

@@ -91,10 +91,13 @@ CITING = f"""cited0 AS (SELECT o_orderkey AS doc_id, {_SUR}[o_custkey % 8 + 1] A
   year(o_orderdate) AS yr, o_orderkey % 4 AS form, o_orderpriority, o_orderstatus FROM orders),
 cited1 AS (SELECT *, CASE form WHEN 0 THEN '(' || s1 || ' & ' || s2 || ', ' || yr || ')' WHEN 1 THEN '(' || s1 || ', ' || s2 || ' & ' || s3 || ' ' || yr || ')'
   WHEN 2 THEN '[1], [1-2]' ELSE '(' || s1 || ' 45)' END AS cit FROM cited0),
-citing AS (SELECT doc_id, lower(s1) || '_' || doc_id || '.pdf' AS name, 'Earlier work ' || cit || ' agrees. We extend ' || cit || '.' || chr(10) || 'References' || chr(10)
-  || '1. ' || s1 || ', A. (' || yr || '). Study of ' || o_orderpriority || '. 10.1234/abc.' || doc_id || chr(10)
-  || '2. ' || s2 || ', B. (' || (yr - 1) || '). Notes on ' || o_orderstatus || '. https://example.org/' || doc_id AS text FROM cited1)"""
+citing AS (SELECT doc_id, lower(s1) || '_' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '_study_' || lower(o_orderpriority) ELSE '' END || '.pdf' AS name,
+  CASE WHEN doc_id % 11 = 0 THEN yr END AS stored, 'Earlier work ' || cit || ' agrees. We extend ' || cit || '.' || chr(10) || 'References' || chr(10)
+  || CASE form WHEN 3 THEN '' ELSE '1. ' END || s1 || ', A. (' || yr || '). Study of ' || o_orderpriority || '. 10.1234/abc.' || doc_id || chr(10)
+  || CASE form WHEN 3 THEN '' ELSE '2. ' END || s2 || ', B. (' || (yr - 1) || '). Notes on ' || o_orderstatus || '. https://example.org/' || doc_id AS text FROM cited1)"""
 
+IMAGES = """images AS (SELECT l_orderkey || '_' || l_linenumber AS image_id, 'doc_' || l_partkey AS document_id, l_linenumber AS page_number, (l_quantity * 20)::INT AS width,
+  (l_quantity * 20 - l_linenumber * 10)::INT AS height, l_returnflag = 'R' AS full_page, repeat(l_linestatus || ' ', l_quantity::INT) AS ocr_text FROM lineitem)"""
 PAPERS = "papers AS (SELECT p_partkey AS id, p_name AS label, (1990 + p_partkey % 30)::INT AS year FROM part)"
 CITES = """cites AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
   AND a.l_linenumber = b.l_linenumber + 1 AND a.l_partkey > b.l_partkey)"""

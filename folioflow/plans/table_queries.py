@@ -217,9 +217,9 @@ def f6(spark, d):
     return V.similar_passages(q, _items(spark, d), out, 5).select("query_id", "id", "score", "rank")
 
 
-@query("f9_similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.3")
+@query("f9_similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.5")
 def f9(spark, d):
-    return V.similar_pairs(_items(spark, d), 0.3)
+    return V.similar_pairs(_items(spark, d), 0.5)
 
 
 _HASHED = f"""terms0 AS (SELECT chunk_id, unnest({O.tokens("CASE WHEN len(string_split_regex(text, '\\s+')) <= 500 THEN text ELSE array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 500), ' ') END")}) AS term FROM chunks),

@@ -65,15 +65,34 @@ def test_citation_places(spark):
 
 
 def test_publication_years(spark):
-    docs = spark.createDataFrame([(1, "Published: 2019. © 2019, data from 2004"), (2, "in 1985 and 1990"), (3, "none")], "document_id int, text string")
-    assert {r.document_id: r.year for r in R.publication_year(docs, 2020).collect()} == {1: 2019, 2: 1990}
+    rows = [(1, "Published: 2019. © 2019, data from 2004", None), (2, "in 1985 and 1990", None), (3, "none", None), (4, "in 2011", 2001), (5, "", None), (6, None, 2002), (7, None, None)]
+    docs = spark.createDataFrame(rows, "document_id int, text string, stored int").withColumn("indexed", F.lit(2024))
+    got = {r.document_id: r.year for r in R.publication_year(docs, 2020).collect()}
+    assert got == {1: 2019, 2: 1990, 3: 2024, 4: 2001, 5: None, 6: 2002, 7: None}
 
 
 def test_influence_and_chains_with_a_cycle(spark):
     nodes = spark.createDataFrame([(1, "a", 2014), (2, "b", 2015), (3, "c", 2018), (4, "d", 2019), (5, "e", 2001), (6, "f", 2002)], "id long, label string, year int")
     edges = spark.createDataFrame([(2, 1), (3, 1), (4, 1), (5, 6), (6, 5)], "src long, dst long")
     assert {r.id: r.influence for r in R.influence(nodes, edges, 2020).collect()}[1] == 11.5
-    assert [r.path for r in R.chains(spark, nodes, edges).collect()] == [[1, 2]]
+    assert [r.path for r in R.chains(nodes, edges).collect()] == [[1, 2]]
+
+
+def test_chains_longer_than_ways_and_into_a_cycle(spark, monkeypatch):
+    monkeypatch.setattr(R, "WAY", 8)
+    far = 150  # longer than what recursive SQL follows
+    chain = [(i + 1, i) for i in range(far)] + [(1001, 1000), (1002, 1001), (1003, 1002), (1001, 1003)]
+    nodes = spark.createDataFrame([(i, "", 2000) for i in [*range(far + 1), *range(1000, 1004)]], "id long, label string, year int")
+    got = {r.root: r.path for r in R.chains(nodes, spark.createDataFrame(chain, "src long, dst long")).collect()}
+    assert got == {0: list(range(far + 1)), 1000: [1000, 1001, 1002, 1003]}
+
+
+def test_documents_match_by_parts_of_names_and_title_words(spark):
+    docs = spark.createDataFrame([(1, 1, "Smithson_deep.pdf"), (2, 2, "neural ranking of graphs.pdf"), (3, 3, "müller.pdf"), (4, 4, "li.pdf")], "document int, ord int, name string")
+    cited = [(9, ["A. Smith"], None), (8, ["Nobody"], "Ranking graphs"), (7, [], "Ranking of lists"), (6, ["Müller"], None), (5, ["Li"], "ranking neural things"), (4, None, None), (3, ["Zed"], "Graphs graphs")]
+    rows = spark.createDataFrame([(d, "text", str(d), a, t) for d, a, t in cited], "doc_id int, kind string, ordinal string, authors array<string>, title string")
+    got = {r.doc_id: r.document for r in R.match_documents(rows, docs).collect()}
+    assert got == {9: 1, 8: 2, 6: 3, 5: 2, 3: 2}
 
 
 def test_merged_rectangles(spark):
