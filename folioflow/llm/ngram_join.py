@@ -184,7 +184,7 @@ def connecting_pairs(ids: list[int], n: np.ndarray, pos: np.ndarray, signatures:
     found = []
     for i in range(len(ids) - 1):
         end = np.searchsorted(n, n[i] * 100 // percent, side="right")
-        if end <= i + 1:
+        if end <= i + 1 or (label[i + 1 : end] == label[i]).all():
             continue
         need = -(-(percent * (n[i] + n[i + 1 : end])) // (100 + percent))
         near = np.flatnonzero((np.minimum(left[i], left[i + 1 : end]) >= need) & (label[i + 1 : end] != label[i])) + i + 1
@@ -224,26 +224,36 @@ def group_pairs(groups: DataFrame, signatures: DataFrame, percent: int = PERCENT
     all candidates.  The postings of a shingle are one run, of which a task holds a few numbers for each group."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def ended() -> list[tuple[int, int]]:
-            run = pd.concat(parts) if len(parts) > 1 else parts[0]
-            if len(run) < 2:
-                return []
-            return connecting_pairs(run["gid"].tolist(), run["n"].to_numpy(), run["pos"].to_numpy(), run["signature"].tolist(), percent)
-
-        parts: list[pd.DataFrame] = []
-        found: list[tuple[int, int]] = []
-        for _, begins, part in sorted_runs(batches, ["token"]):
-            if begins and parts:
-                found += ended()
-                parts = []
-                if len(found) >= BATCH:
-                    yield pd.DataFrame(found, columns=["a", "b"])
-                    found = []
-            parts.append(part)
-        if parts:
-            found += ended()
-        if found:
-            yield pd.DataFrame(found, columns=["a", "b"])
+        def runs(parts: list[pd.DataFrame], starts: np.ndarray) -> Iterator[tuple[int, int]]:
+            """Pairs of the runs that begin at the starts but the last, which is the end."""
+            b = pd.concat(parts) if len(parts) > 1 else parts[0]
+            gid, n, pos, signed = b["gid"].tolist(), b["n"].to_numpy(), b["pos"].to_numpy(), b["signature"].tolist()
+            left, two = n - pos, starts[:-1][np.diff(starts) == 2]
+            need = -(-(percent * (n[two] + n[two + 1])) // (100 + percent))
+            for i in two[np.minimum(left[two], left[two + 1]) >= need].tolist():
+                if may_link(int(n[i]), signed[i], int(n[i + 1]), signed[i + 1], percent):
+                    yield gid[i], gid[i + 1]
+            for i in np.flatnonzero(np.diff(starts) > 2):
+                at, to = starts[i], starts[i + 1]
+                yield from connecting_pairs(gid[at:to], n[at:to], pos[at:to], signed[at:to], percent)
+
+        tail: list[pd.DataFrame] = []  # the last shingle's rows so far: a batch may end within them
+        for b in batches:
+            if not len(b):
+                continue
+            token = b["token"].to_numpy()
+            if tail and tail[0]["token"].iat[0] == token[0] == token[-1]:
+                tail.append(b)
+                continue
+            held = sum(map(len, tail))
+            token = np.concatenate([t["token"].to_numpy() for t in [*tail, b]])
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            found = set(runs([*tail, b], starts))
+            tail = [b.iloc[max(0, starts[-1] - held) :]]
+            if found:
+                yield pd.DataFrame(list(found), columns=["a", "b"])
+        if tail and (found := set(runs(tail, np.array([0, sum(map(len, tail))])))):
+            yield pd.DataFrame(list(found), columns=["a", "b"])
 
     met = meeting(groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos"), percent)
     signed = met.join(signatures, "gid", "left").select("token", "gid", "n", "pos", "signature")
