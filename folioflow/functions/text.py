@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that searches leave out.
+# fmt: off
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were been be have has had do does did will would could should "
-    "may might must shall can need that this these those it its they them their we our you your he she his her him"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "been", "be", "have", "has", "had",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "that", "this", "these", "those", "it", "its", "they", "them",
+    "their", "we", "our", "you", "your", "he", "she", "his", "her", "him",
+)
+# fmt: on
 SENTENCE = r"[^.!?]*[.!?]+"
 # Typographic ligatures and their letters.
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
@@ -172,10 +175,12 @@ def escape_html(text: Column) -> Column:
     return replaced(text, HTML)
 
 
-def escape_latex(text: Column) -> Column:
+def escape_latex(text: Column, angles: bool = False) -> Column:
+    """Reserved characters escaped; with ``angles`` also < and >."""
     out = F.replace(text, F.lit("\\"), F.lit("\\textbackslash{}"))
-    out = F.regexp_replace(out, r"([&%$#_])", r"\\$1")
-    return F.replace(F.replace(out, F.lit("~"), F.lit("\\textasciitilde{}")), F.lit("^"), F.lit("\\textasciicircum{}"))
+    out = F.regexp_replace(out, r"([&%$#_{}])", r"\\$1")
+    out = F.replace(F.replace(out, F.lit("~"), F.lit("\\textasciitilde{}")), F.lit("^"), F.lit("\\textasciicircum{}"))
+    return F.replace(F.replace(out, F.lit("<"), F.lit("\\textless{}")), F.lit(">"), F.lit("\\textgreater{}")) if angles else out
 
 
 def normalized(text: Column) -> Column:
@@ -210,3 +215,24 @@ def overlap_share(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     either = F.size(F.array_union(a, b))
     return F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(0.0)
+
+
+def percent(share: Column, digits: int = 0) -> Column:
+    return F.format_string(f"%.{digits}f%%", 100 * share)
+
+
+def title_case(identifier: Column) -> Column:
+    """``related_work`` to ``Related work``."""
+    return F.concat(F.upper(F.left(identifier, F.lit(1))), F.replace(F.substr(identifier, F.lit(2)), F.lit("_"), F.lit(" ")))
+
+
+# Titles of kinds of sections, and bibliography styles of citation styles.
+SECTION_TITLES = {
+    "literature_review": "Literature Review", "abstract": "Abstract", "introduction": "Introduction", "methodology": "Methodology",
+    "discussion": "Discussion", "conclusion": "Conclusion", "custom": "Content",
+}
+BIB_STYLES = {"apa": "apalike", "mla": "plain", "chicago": "chicago", "ieee": "ieeetr", "bibtex": "plain"}
+
+
+def looked_up(key: Column, values: dict[str, str], otherwise: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in values.items() for x in p]), key), F.lit(otherwise))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,14 @@ def match_files(files: DataFrame, docs: DataFrame) -> DataFrame:
     left = files.select("file", F.explode(keys(F.col("file"))).alias("key"))
     right = docs.select("document_id", "ord", F.explode(F.array_distinct(F.concat(keys(F.col("path")), keys(F.col("name"))))).alias("key"))
     return latest(left.join(right, "key"), "file", F.col("ord")).select("file", "document_id")
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """No rows of the same columns; written over a table, it empties it."""
+    return table.limit(0)
+
+
+def reindexed(docs: DataFrame, chunks: DataFrame, changed: DataFrame, chunker: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks after the changed documents (columns of docs) are deleted with their chunks and added again."""
+    kept = delete(docs, changed, "document_id")
+    return kept.unionByName(changed), cascade(chunks, kept, "document_id").unionByName(chunker(changed))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from folioflow.sources.shared import written
 
 # Capitalised words that are no concepts.
+# fmt: off
 COMMON = (
-    "The This That These Those There Where When What Which Who How Why However Therefore Figure Table Section Chapter Page Reference "
-    "Abstract Introduction Conclusion Results Discussion Methods Materials Data Analysis Study Research"
-).split()
+    "The", "This", "That", "These", "Those", "There", "Where", "When", "What", "Which", "Who", "How", "Why", "However", "Therefore", "Figure", "Table", "Section", "Chapter",
+    "Page", "Reference", "Abstract", "Introduction", "Conclusion", "Results", "Discussion", "Methods", "Materials", "Data", "Analysis", "Study", "Research",
+)
+# fmt: on
 # What reads as a concept.
 PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
 TECHNICAL = r"\b([a-z]+(?:-[a-z]+)+|[a-z]*[A-Z]+[a-z]*)\b"

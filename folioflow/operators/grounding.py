@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 
+# Fixed value: how an answer names its source.
 MARKER = r"\[SOURCE\s*(\d+)\]"
 
 
@@ -57,3 +58,36 @@ def formatted(answers: DataFrame, sources: DataFrame) -> DataFrame:
 def summary(answers: DataFrame, sources: DataFrame) -> DataFrame:
     c = confidence(answers, sources).groupBy("answer_id").agg(F.countDistinct("document_id").alias("documents"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
     return answers.select("answer_id").join(c, "answer_id", "left").fillna(0, ["documents"]).fillna(0.0, ["mean_confidence"])
+
+
+def chosen_sources(hits: DataFrame, allowed: DataFrame | None, n: int) -> DataFrame:
+    """hits (query_id, document_id, rank, ...): the first n of each query, of the allowed (document_id) only if given; n counts from 1."""
+    if allowed is not None:
+        hits = hits.join(allowed.select("document_id").distinct(), "document_id", "left_semi")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+
+
+def context_block(sources: DataFrame, width: int = 500) -> DataFrame:
+    """sources (query_id, n, name, page_number, text) to one numbered text per query, with the beginning of each source."""
+    head = F.concat(F.lit("[SOURCE "), F.col("n").cast("string"), F.lit("] ("), "name", F.lit(", p."), F.col("page_number").cast("string"), F.lit(")\n"))
+    block = F.concat(head, F.left("text", F.lit(width)), F.lit("\n\n"))
+    per = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))).alias("l"))
+    return per.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "").alias("context"))
+
+
+def markdown(answers: DataFrame, sources: DataFrame, width: int = 200) -> DataFrame:
+    """Formatted answers with the list of the sources that they cite; sources (answer_id, n, name, page_number, text)."""
+    used = cited_sentences(answers, sources).select("answer_id", "n", "number").distinct().join(sources, ["answer_id", "n"])
+    number = F.col("number").cast("string")
+    line = F.concat(F.lit("["), number, F.lit("] **"), "name", F.lit("**, p."), F.col("page_number").cast("string"), F.lit("\n> "), F.left("text", F.lit(width)), F.lit("\n\n"))
+    lists = used.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))).alias("l"))
+    text = F.concat("answer", F.lit("\n\n---\n\n## References\n\n"), F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("")))
+    return formatted(answers, sources).join(lists, "answer_id", "left").select("answer_id", text.alias("markdown"))
+
+
+def used_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources (answer_id, n, document_id, name, page_number, text): of each cited one its key, the first 100 characters and its citation."""
+    used = markers(answers, sources).select("answer_id", "n").distinct().join(sources, ["answer_id", "n"])
+    shown = F.concat(F.lit("("), F.regexp_replace("name", r"\.pdf", ""), F.lit(", p. "), F.col("page_number").cast("string"), F.lit(")"))
+    return used.select("answer_id", F.concat(F.lit("cite"), F.col("n").cast("string")).alias("key"), "document_id", "page_number", F.left("text", F.lit(100)).alias("text"), shown.alias("formatted"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as T
+
 # Marks of the colours.
 EMOJI = {"yellow": "🟡", "green": "🟢", "blue": "🔵", "pink": "🩷", "purple": "🟣", "orange": "🟠"}
+NO_EMOJI = "⚪"
+# Shades of the colours.
+SHADES = {"yellow": "#fff59d", "green": "#a5d6a7", "blue": "#90caf9", "pink": "#f48fb1", "purple": "#ce93d8", "orange": "#ffcc80"}
 
 
 def folded(changes: DataFrame) -> DataFrame:
@@ -54,3 +59,31 @@ def markdown(highlights: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), mark, F.lit(" "), F.col("text"), F.coalesce(F.concat(F.lit(" — "), "note"), F.lit("")))
     per = highlights.select("document_id", F.struct("start_offset", "ord", line.alias("line")).alias("l")).groupBy("document_id").agg(F.array_sort(F.collect_list("l")).alias("l"))
     return per.select("document_id", F.concat(F.lit("## Document "), F.col("document_id").cast("string"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("markdown"))
+
+
+def html(highlights: DataFrame) -> DataFrame:
+    """One HTML section per document, in order of offset."""
+    shade = T.looked_up(F.col("color"), SHADES, "")
+    some = lambda name, c, inner: F.when(c, F.concat(F.lit(f'<div class="{name}">'), inner, F.lit("</div>"))).otherwise("")
+    note = some("note", F.coalesce(F.length("note"), F.lit(0)) > 0, F.concat(F.lit("<strong>Note:</strong> "), T.escape_html(F.col("note"))))
+    tags = some("tags", F.size("tags") > 0, F.array_join(F.transform("tags", lambda t: F.concat(F.lit('<span class="tag">'), t, F.lit("</span>"))), ""))
+    quote = F.concat(F.lit('<div class="quote">"'), T.escape_html(F.col("text")), F.lit('"</div>'))
+    page = F.concat(F.lit('<div class="meta">Page '), F.col("page_number").cast("string"), F.lit("</div>"))
+    item = F.concat(F.lit('<div class="highlight" style="background-color: '), shade, F.lit('">'), page, quote, F.coalesce(note, F.lit("")), tags, F.lit("</div>"))
+    per = highlights.select("document_id", F.struct("start_offset", "ord", item.alias("item")).alias("l")).groupBy("document_id").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    head = F.concat(F.lit("<h2>"), T.escape_html(F.col("document_id").cast("string")), F.lit("</h2>\n"))
+    return per.select("document_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["item"]), "\n")).alias("html"))
+
+
+def report(highlights: DataFrame, document: Column | None = None, tag: str | None = None, color: str | None = None, first: int = 20, width: int = 200) -> DataFrame:
+    """Highlights of a document, else with a tag, else of a colour, else all: how many, and the first ones with cut texts."""
+    if document is not None:
+        highlights = highlights.where(document)
+    elif tag is not None:
+        highlights = highlights.where(F.array_contains("tags", tag))
+    elif color is not None:
+        highlights = highlights.where(F.col("color") == color)
+    n = highlights.agg(F.count("*").alias("n"))  # one row
+    some = highlights.orderBy("ord").limit(first)
+    place = F.row_number().over(Window.orderBy("ord"))  # of a few rows
+    return some.withColumn("place", place).join(F.broadcast(n)).select("id", T.ellipsis(F.col("text"), width).alias("text"), "n", "place")

@@ -52,12 +52,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def base_scores(ix: Index, queries: DataFrame) -> DataFrame:
+def base_scores(ix: Index, queries: DataFrame, within: bool = False) -> DataFrame:
     """(query_id, chunk_id, base, missing): sum of tf * idf over the query's terms, and how many of them the chunk lacks.
 
-    The index is cut to the queries' terms before their frequencies are looked up."""
+    The index is cut to the queries' terms before their frequencies are looked up; ``within`` also to the document_id
+    that each query names."""
     asked = query_terms(queries)
-    hits = ix.posted.join(asked.join(ix.idf, "term"), "term")
+    posted, on = ix.posted, ["term"]
+    if within:
+        posted, on = posted.join(ix.chunks.select("chunk_id", "document_id"), "chunk_id"), ["term", "document_id"]
+        asked = asked.join(queries.select("query_id", "document_id"), "query_id")
+    hits = posted.join(asked.join(ix.idf, "term"), on)
     base = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("base"), F.count("*").alias("hits"))
     terms = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
     return base.join(terms, "query_id").select("query_id", "chunk_id", "base", (F.col("terms") - F.col("hits")).alias("missing"))
@@ -89,16 +94,17 @@ def top_ranked(scored: DataFrame, k: int, score: str = "score", tie: str = "chun
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(ix: Index, queries: DataFrame, k: int = K, names: DataFrame | None = None) -> DataFrame:
+def search(ix: Index, queries: DataFrame, k: int = K, names: DataFrame | None = None, within: bool = False) -> DataFrame:
     """Keyword search: (query_id, rank, chunk_id, document_id, score) with the best score of a query as 1.
 
-    queries (query_id, query, optionally document_filter); names (document_id, name) for filters.
+    queries (query_id, query, optionally document_filter); names (document_id, name) for filters; ``within``: only in the
+    document_id of the query.
     Before texts are joined for the boosts, chunks that no boost could lift into the first k are
     left out: their base times the most that they can be boosted by stays under the k-th best base.
     A chunk holds the phrase only if it has all terms but the first and the last, which may be
     parts of longer words there.
     """
-    base = base_scores(ix, queries)
+    base = base_scores(ix, queries, within)
     if names is not None:
         base = base.join(ix.chunks.select("chunk_id", "document_id"), "chunk_id").join(names, "document_id").join(queries.select("query_id", "document_filter"), "query_id")
         base = base.where(name_matches(F.col("name"), F.col("document_filter"))).select("query_id", "chunk_id", "base", "missing")
@@ -139,3 +145,12 @@ def related(ix: Index, summaries: DataFrame, k: int = 5) -> DataFrame:
     docs = found.where("query_id <> document_id").groupBy("query_id", "document_id").agg(F.min("rank").alias("first"))
     place = Window.partitionBy("query_id").orderBy("first")
     return docs.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "document_id", "rank")
+
+
+def section_lookup(ix: Index, asked: DataFrame, k: int = 3) -> DataFrame:
+    """asked (document_id, section, name, summary), one row per document: the k best chunks of the document for its name and
+    the section, joined; the stored summary where there are none."""
+    queries = asked.select(F.col("document_id").alias("query_id"), "document_id", F.concat_ws(" ", "section", "name").alias("query"))
+    hits = search(ix, queries, k, within=True).select("chunk_id", "rank").join(ix.chunks, "chunk_id")
+    per = hits.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l"))
+    return asked.join(per, "document_id", "left").select("document_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["text"]), "\n\n"), "summary").alias("content"))

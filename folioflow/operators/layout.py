@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as T
+
 #: Positions of a page are compared within buckets of so many characters.
 BUCKET = 2000
 
@@ -41,7 +43,8 @@ def assembled(items: DataFrame, gap: float = 5.0) -> DataFrame:
 def matches(pages: DataFrame, phrases: DataFrame) -> DataFrame:
     """phrases (document_id, phrase): (document_id, page_number, phrase, start, stop) of all exact, non-overlapping places."""
     rows = pages.join(phrases, "document_id")
-    pieces = F.split("page_text", F.concat(F.lit(r"\Q"), F.col("phrase"), F.lit(r"\E")), -1)
+    literal = F.regexp_replace("phrase", r"([^A-Za-z0-9\s])", r"\\$1")
+    pieces = F.split("page_text", literal, -1)
     n = F.length("phrase")
     at = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("out")), lambda a, p: F.struct((a["end"] + F.length(p) + n).alias("end"), F.concat(a["out"], F.array(a["end"] + F.length(p))).alias("out")), lambda a: a["out"])
     return rows.where(n > 0).select("document_id", "page_number", "phrase", F.explode(at).alias("start"), n.alias("n")).select("document_id", "page_number", "phrase", "start", (F.col("start") + F.col("n")).alias("stop"))
@@ -69,3 +72,63 @@ def merged_lines(rects: DataFrame, keys: list[str], y_gap: float = 5.0, x_gap: f
 
 def normalised(c: Column, extent: float) -> Column:
     return F.round(c / extent, 6)
+
+
+#: Characters that may stand between two words of a phrase, besides the length of the second.
+LOOSE = 50
+
+
+def loose_matches(pages: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrases (document_id, phrase), of pages and phrases in the form for comparisons: places as ``matches``; of phrases
+    that a page does not hold exactly, the places where their words of more than two letters follow each other closely.
+
+    A word may stand up to its length and LOOSE characters behind the end of the one before it."""
+    exact = matches(pages, phrases)
+    key = ["document_id", "page_number", "phrase"]
+    rest = pages.join(phrases, "document_id").join(exact.select(*key).distinct(), key, "left_anti")
+    rest = rest.withColumn("w", F.filter(F.split("phrase", r"\s+"), lambda x: F.length(x) > 2)).where(F.size("w") > 1)
+    first = F.col("w")[0]
+    pieces = F.split("page_text", F.regexp_replace(first, r"([^A-Za-z0-9])", r"\\$1"), -1)
+    starts = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("out")),
+        lambda a, p: F.struct((a["end"] + F.length(p) + F.length(first)).alias("end"), F.concat(a["out"], F.array(a["end"] + F.length(p))).alias("out")), lambda a: a["out"],
+    )
+    spots = rest.select(*key, "page_text", "w", F.explode(starts).alias("start"))
+
+    def follow(at: Column, word: Column) -> Column:
+        # the end of the next word, or -1 where it does not follow closely
+        found = F.position(word, F.substr("page_text", at + 1, F.lit(LOOSE) + 2 * F.length(word)))
+        return F.when((at >= 0) & (found > 0), at + found - 1 + F.length(word)).otherwise(-1)
+
+    end = F.aggregate("w", F.col("start"), follow)
+    near = spots.withColumn("end", end).where("end >= 0")
+    return exact.unionByName(near.select(*key, "start", (F.col("start") + F.length("phrase")).alias("stop")))
+
+
+def chunk_places(chunks: DataFrame, pages: DataFrame, head: int = 100) -> DataFrame:
+    """chunks (document_id, chunk_id, page_number, text) to their (start, stop) in the page's text; of those that the page
+    does not hold whole, the place of their first ``head`` characters."""
+
+    def places(phrase: Column, rows: DataFrame) -> DataFrame:
+        asked = rows.withColumn("phrase", phrase)
+        at = F.position(F.col("phrase"), F.col("page_text"))
+        both = asked.join(pages, ["document_id", "page_number"]).withColumn("at", at).where((F.length("phrase") > 0) & (F.col("at") > 0))
+        return both.select("document_id", "chunk_id", "page_number", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("phrase")).alias("stop"))
+
+    whole = places(F.col("text"), chunks)
+    rest = chunks.join(whole.select("chunk_id"), "chunk_id", "left_anti")
+    return whole.unionByName(places(F.left("text", F.lit(head)), rest))
+
+
+def best_pages(chunks: DataFrame, pages: DataFrame, sure: float = 0.8, least: float = 0.3) -> DataFrame:
+    """chunks (document_id, chunk_id, hint, text), pages (document_id, page_number, page_text): (chunk_id, page_number, score) of
+    the page with most words in common with the chunk's beginning (Jaccard); the hinted page if it is ``sure`` enough or
+    ties; none under ``least``."""
+    words = lambda c: F.array_distinct(F.split(T.normalized(c), r"\s+"))
+    asked = chunks.select("document_id", "chunk_id", "hint", words(F.left("text", F.lit(200))).alias("a"))
+    rows = asked.join(pages.select("document_id", "page_number", words(F.col("page_text")).alias("b")), "document_id")
+    hinted = F.col("page_number") == F.col("hint")
+    rows = rows.select("chunk_id", "page_number", hinted.alias("hinted"), T.jaccard(F.col("a"), F.col("b")).alias("score"))
+    order = Window.partitionBy("chunk_id").orderBy(F.desc(F.col("hinted") & (F.col("score") > sure)), F.desc("score"), F.desc("hinted"), "page_number")
+    best = rows.withColumn("k", F.row_number().over(order)).where("k = 1")
+    return best.where(F.col("score") >= least).select("chunk_id", "page_number", "score")

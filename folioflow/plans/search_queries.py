@@ -202,7 +202,8 @@ def c11(spark, d):
     "n_scalar_functions",
     "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml,"
     " replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html,"
-    " replace(replace(regexp_replace(replace(text, '\\', '\\textbackslash{}'), '([&%$#_])', '\\\\\\1', 'g'), '~', '\\textasciitilde{}'), '^', '\\textasciicircum{}') AS latex,"
+    " replace(replace(regexp_replace(replace(text, '\\', '\\textbackslash{}'), '([&%$#_{}])', '\\\\\\1', 'g'), '~', '\\textasciitilde{}'), '^', '\\textasciicircum{}') AS latex,"
+    " replace(replace(replace(replace(regexp_replace(replace(text, '\\', '\\textbackslash{}'), '([&%$#_{}])', '\\\\\\1', 'g'), '~', '\\textasciitilde{}'), '^', '\\textasciicircum{}'), '<', '\\textless{}'), '>', '\\textgreater{}') AS latex_angles,"
     f" {O.trimmed('regexp_replace(regexp_replace(regexp_replace(lower(text), ' + chr(39) + chr(92) + 'n+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '[^' + chr(92) + 'w' + chr(92) + 's]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS norm,"
     " CASE WHEN len(text) > 100 THEN left(text, 100) || '...' ELSE text END AS short, lower(regexp_replace(source || '_' || lang, '[^a-zA-Z0-9]', '', 'g')) AS key,"
     " CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576 * 10 + 0.5) / 10) END AS size FROM documents",
@@ -210,6 +211,6 @@ def c11(spark, d):
 def n_scalars(spark, d):
     part = F.col("text")
     return X.table(spark, d, "documents").select(
-        "doc_id", T.escape_xml(part).alias("xml"), T.escape_html(part).alias("html"), T.escape_latex(part).alias("latex"), T.normalized(part).alias("norm"),
+        "doc_id", T.escape_xml(part).alias("xml"), T.escape_html(part).alias("html"), T.escape_latex(part).alias("latex"), T.escape_latex(part, angles=True).alias("latex_angles"), T.normalized(part).alias("norm"),
         T.ellipsis(F.col("text"), 100).alias("short"), T.cite_key(F.concat("source", F.lit("_"), "lang")).alias("key"), T.human_size(F.col("n_chars")).alias("size"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import corpus as P
 from folioflow.operators import highlights as J
+from folioflow.operators import images as I
 from folioflow.operators import keyword as K
 from folioflow.operators import vector as V
 from folioflow.plans import fixtures as X
@@ -161,10 +162,48 @@ def c14(spark, d):
     return X.corpus(spark, d).orderBy(F.desc("indexed_minute")).limit(5).select("document_id", "indexed_minute")
 
 
-@query("d1_totals", O.with_(C, CH, select="SELECT count(*) AS documents, sum(page_count)::BIGINT AS pages, (SELECT count(*) FROM chunks) AS chunks, sum(file_size)::BIGINT AS bytes FROM corpus"))
-def d1(spark, d):
+_IMAGES = "pics AS (SELECT document_id, count(*) AS image_count FROM images GROUP BY document_id)"
+
+
+def _with_images(spark, d):
     docs = P.with_counts(X.corpus(spark, d), X.chunks(spark, d))
-    return docs.agg(F.count("*").alias("documents"), F.sum("page_count").alias("pages"), F.sum("chunk_count").alias("chunks"), F.sum("file_size").alias("bytes"))
+    return docs.join(I.counts(X.images(spark, d)), "document_id", "left").fillna(0, ["image_count"])
+
+
+@query("d1_totals", O.with_(C, CH, O.IMAGES, _IMAGES, select="SELECT count(*) AS documents, sum(page_count)::BIGINT AS pages, (SELECT count(*) FROM chunks) AS chunks, coalesce(sum(image_count), 0)::BIGINT AS images, sum(file_size)::BIGINT AS bytes FROM corpus LEFT JOIN pics USING (document_id)"))
+def d1(spark, d):
+    total = _with_images(spark, d).agg(F.count("*").alias("documents"), F.sum("page_count").alias("pages"), F.sum("chunk_count").alias("chunks"), F.sum("image_count").alias("images"), F.sum("file_size").alias("bytes"))
+    return total
+
+
+@query("d2_document_cards", O.with_(C, CH, _COUNTS, O.IMAGES, _IMAGES, select="SELECT document_id, name, page_count, chunk_count, coalesce(image_count, 0) AS image_count, indexed_minute FROM corpus JOIN counts USING (document_id) LEFT JOIN pics USING (document_id)"))
+def d2(spark, d):
+    return _with_images(spark, d).select("document_id", "name", "page_count", "chunk_count", "image_count", "indexed_minute")
+
+
+@query("b13_kept_images", O.with_(O.IMAGES, select="SELECT image_id, width, height FROM images WHERE width >= 50 AND height >= 50 AND (NOT full_page OR len(trim(ocr_text)) > 50)"))
+def b13(spark, d):
+    return I.kept(X.images(spark, d)).select("image_id", "width", "height")
+
+
+@query("c5_all_images", O.with_(C, O.IMAGES, select="SELECT document_id, image_id, page_number FROM images SEMI JOIN corpus USING (document_id)"))
+def c5(spark, d):
+    return I.of_documents(X.images(spark, d), X.corpus(spark, d)).select("document_id", "image_id", "page_number")
+
+
+@query("c10_document_images", O.with_(C, O.IMAGES, select="SELECT document_id, image_id FROM images SEMI JOIN (SELECT * FROM corpus WHERE lang = 'en') USING (document_id) WHERE page_number = 2"))
+def c10(spark, d):
+    """Pictures on the second page of the English documents."""
+    return I.of_documents(X.images(spark, d), X.corpus(spark, d).where("lang = 'en'"), F.lit(2)).select("document_id", "image_id")
+
+
+@query("f4_vector_upkeep", "SELECT vec_id AS id, round(embedding[1]::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 6) AS first FROM embeddings WHERE vec_id % 7 <> 0")
+def f4(spark, d):
+    """A batch of new versions replaces those of its ids, then a batch of ids is removed."""
+    v = _items(spark, d)
+    new = v.where("id % 3 = 0").select("id", F.transform("embedding", lambda x: (2 * x).cast("float")).alias("embedding"))
+    left = P.delete(P.upsert(v, new, "id"), v.where("id % 7 = 0"), "id")
+    return left.select("id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
 @query("d4_vector_stats", "SELECT count(*) AS n, max(len(embedding))::INT AS dims FROM embeddings")
@@ -331,13 +370,55 @@ def j8(spark, d):
     return J.markdown(X.highlights(spark, d))
 
 
-@query("j9_report", O.with_(H, select="SELECT id, left(text, 200) AS text, count(*) OVER () AS n, (row_number() OVER (ORDER BY ord))::INT AS place FROM highlights WHERE color = 'blue' QUALIFY place <= 20"))
+_REPORT = "SELECT '{0}' AS report, id, CASE WHEN len(text) > 200 THEN left(text, 200) || '...' ELSE text END AS text, count(*) OVER () AS n, (row_number() OVER (ORDER BY ord))::INT AS place FROM highlights WHERE {1} QUALIFY place <= 20"
+_REPORTS = {"document": "document_id = (SELECT min(document_id) FROM highlights)", "tag": "list_contains(tags, 'review')", "color": "color = 'blue'", "all": "true"}
+
+
+@query("j9_report", O.with_(H, select=" UNION ALL ".join(f"SELECT * FROM ({_REPORT.format(*r)})" for r in _REPORTS.items())))
 def j9(spark, d):
-    blue = X.highlights(spark, d).where("color = 'blue'")
-    n = blue.groupBy("color").agg(F.count("*").alias("n"))
-    first = blue.orderBy("ord").limit(20)
-    place = F.row_number().over(Window.partitionBy("color").orderBy("ord"))
-    return first.join(F.broadcast(n), "color").select("id", F.left("text", F.lit(200)).alias("text"), "n", place.alias("place"))
+    h = X.highlights(spark, d)
+    least = h.agg(F.min("document_id").alias("least"))
+    one = h.join(F.broadcast(least)).where("document_id = least")
+    reports = {"document": J.report(one), "tag": J.report(h, tag="review"), "color": J.report(h, color="blue"), "all": J.report(h)}
+    out = None
+    for name, r in reports.items():
+        r = r.select(F.lit(name).alias("report"), "id", "text", "n", "place")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_SHADE = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in J.SHADES.items()) + "}[color]"
+_ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(
+    "j8_html",
+    O.with_(H, select=f"""SELECT document_id, '<h2>' || document_id || '</h2>' || chr(10) || string_agg('<div class="highlight" style="background-color: ' || {_SHADE} || '"><div class="meta">Page ' || page_number || '</div><div class="quote">"'
+|| {_ESC.format("text")} || '"</div>' || coalesce('<div class="note"><strong>Note:</strong> ' || {_ESC.format("note")} || '</div>', '')
+|| CASE WHEN len(tags) > 0 THEN '<div class="tags">' || array_to_string(list_transform(tags, lambda t: '<span class="tag">' || t || '</span>'), '') || '</div>' ELSE '' END || '</div>', chr(10) ORDER BY start_offset, ord) AS html FROM highlights GROUP BY document_id"""),
+)
+def j8_html(spark, d):
+    return J.html(X.highlights(spark, d))
+
+
+_TITLES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.SECTION_TITLES.items()) + "}"
+_BIBS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.BIB_STYLES.items()) + "}"
+_KINDS, _STYLES = [*T.SECTION_TITLES, "related_work"], [*T.BIB_STYLES, "other"]
+
+
+@query(
+    "n_lookups",
+    O.with_(H, f"k AS (SELECT *, {_KINDS}[ord % {len(_KINDS)} + 1] AS kind, {_STYLES}[ord % {len(_STYLES)} + 1] AS style FROM highlights)",
+            select=f"""SELECT id, printf('%.1f%%', floor(start_offset / 50 * 10 + 0.5) / 10) AS percent1, floor(start_offset / 50 + 0.5)::INT || '%' AS percent0, {_SHADE} AS shade,
+upper(kind[1]) || replace(kind[2:], '_', ' ') AS title, coalesce({_TITLES}[kind], 'Content') AS section, coalesce({_BIBS}[style], 'plain') AS bib FROM k"""),
+)
+def n_lookups(spark, d):
+    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), (F.col("ord") % len(names)).cast("int"))
+    share, kind = F.col("start_offset") / 5000, pick(_KINDS)
+    return X.highlights(spark, d).select(
+        "id", T.percent(share, 1).alias("percent1"), T.percent(share).alias("percent0"), T.looked_up(F.col("color"), J.SHADES, "").alias("shade"),
+        T.title_case(kind).alias("title"), T.looked_up(kind, T.SECTION_TITLES, "Content").alias("section"), T.looked_up(pick(_STYLES), T.BIB_STYLES, "plain").alias("bib"),
+    )
 
 
 @query("j10_digest", O.with_(H, select="SELECT document_id, (row_number() OVER w)::INT AS place, id, greatest(count(*) OVER (PARTITION BY document_id) - 5, 0) AS more FROM highlights WINDOW w AS (PARTITION BY document_id ORDER BY start_offset, ord) QUALIFY row_number() OVER w <= 5"))

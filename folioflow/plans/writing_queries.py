@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as T
 from folioflow.operators import assembly as L
 from folioflow.operators import citations as G
 from folioflow.operators import layout as M
@@ -109,10 +110,27 @@ def l5(spark, d):
     return L.replace_markers(a, targets)
 
 
-@query("l7_corpus_digest", O.with_(O.CORPUS, O.CHUNKS, select="SELECT document_id, left(string_agg(text, chr(10) ORDER BY chunk_index), 15000) AS digest FROM chunks WHERE chunk_index < 10 GROUP BY document_id"))
+SUMMARIES = (
+    f"cl AS (SELECT document_id, {O.clean('text')} AS c FROM corpus)",
+    "pa AS (SELECT document_id, c, list_filter(list_slice(list_filter(string_split(c, chr(10) || chr(10)), lambda p: len(p) > 50), 1, 5), lambda p: len(p) > 100 AND NOT regexp_matches(p, '^[0-9\\s.]+$') AND len(string_split(p, ' ')) > 15)[1] AS p FROM cl)",
+    "summaries AS (SELECT document_id, CASE WHEN p IS NULL THEN left(c, 500) || '...' ELSE left(p, 600) || CASE WHEN len(p) > 600 THEN '...' ELSE '' END END AS summary FROM pa)",
+)
+
+
+def summarised(spark, d):
+    return X.corpus(spark, d).withColumn("summary", T.smart_summary(F.col("text")))
+
+
+@query(
+    "l7_corpus_digest",
+    O.with_(
+        O.CORPUS, O.CHUNKS, *SUMMARIES, "parts AS (SELECT document_id, string_agg(text || chr(10) || chr(10), '' ORDER BY chunk_index) AS body FROM chunks WHERE chunk_index < 10 GROUP BY document_id)",
+        "dig AS (SELECT document_id, chr(10) || chr(10) || '=== Document: ' || name || ' ===' || chr(10) || chr(10) || 'Summary: ' || summary || chr(10) || chr(10) || coalesce(body, '') AS t FROM corpus JOIN summaries USING (document_id) LEFT JOIN parts USING (document_id))",
+        select="SELECT document_id, CASE WHEN len(t) > 15000 THEN left(t, 15000) || chr(10) || chr(10) || '[Content truncated for processing...]' ELSE t END AS digest FROM dig",
+    ),
+)
 def l7(spark, d):
-    per = X.chunks(spark, d).where("chunk_index < 10").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("l"))
-    return per.select("document_id", F.left(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit(15000)).alias("digest"))
+    return L.digest(summarised(spark, d).select("document_id", "name", "summary"), X.chunks(spark, d))
 
 
 @query("l8_dialogue_check", "SELECT conv_id, count(*) AS n, bool_and(role IS NOT NULL AND text IS NOT NULL AND trim(text) <> '') AS valid FROM conversations GROUP BY conv_id")
