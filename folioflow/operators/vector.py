@@ -27,6 +27,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(same & (size > 0), dot(a, b) / size).otherwise(0.0)
 
 
+def comparable(vector: str) -> Column:
+    """Not null, and without null, NaN or infinite components."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, bad), F.lit(True))
+
+
 def hash_encode(chunks: DataFrame, dims: int = DIMS, words: int = 500) -> DataFrame:
     """(chunk_id, embedding): signed feature hashing of the first ``words`` words, unit length; no model needed."""
     terms = chunks.select("chunk_id", F.explode(T.tokens(T.truncated(F.col("text"), words))).alias("term"))
@@ -52,7 +58,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries (query_id, embedding), vectors (id, embedding): the k most similar rows of each query, exactly.
 
     Rows of both sides are dealt to blocks of bounded size; each pair of blocks is one matrix product,
-    of which k rows per query are kept."""
+    of which k rows per query are kept.  Vectors that are null or hold null, NaN or infinite components take no part."""
+    queries, vectors = queries.where(comparable("embedding")), vectors.where(comparable("embedding"))
     counts = vectors.agg(F.count("*").alias("n")).first()["n"], queries.agg(F.count("*").alias("n")).first()["n"]
     v_blocks, q_blocks = (max(1, -(-n // BLOCK)) for n in counts)
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -64,7 +71,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         x, y = (np.stack(s["embedding"].to_numpy()).astype(np.float64) for s in (left, right))
-        with np.errstate(all="ignore"):
+        with np.errstate(all="ignore"):  # a zero vector is like none
             x, y = (np.nan_to_num(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y))
         score = np.round(x @ y.T, 6) + 0.0
         ids = right["id"].to_numpy()
@@ -96,7 +103,9 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, k: int, keyword_weight: floa
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """vectors (id, embedding): all pairs a < b with cosine above ``least``, by products of pairs of blocks."""
+    """vectors (id, embedding): all pairs a < b with cosine above ``least``, by products of pairs of blocks, without
+    those that are null or hold null, NaN or infinite components."""
+    vectors = vectors.where(comparable("embedding"))
     blocks = max(1, -(-vectors.count() // BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     dealt = vectors.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

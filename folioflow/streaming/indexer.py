@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from folioflow.operators.corpus import latest
 
+#: Parts of the state; a batch rewrites those that it touches.
+BUCKETS = 32
 CHANGES = "path string, op string, ts timestamp_ntz, event_id long, value double"
 
 
@@ -22,19 +24,50 @@ def current(state: DataFrame) -> DataFrame:
     return state.where("op <> 'delete'")
 
 
-def run(spark: SparkSession, source: str, schema: StructType | str, state: str, checkpoint: str, prepare=lambda df: df) -> None:
-    """Take in all files that are new in ``source`` and end; versions of the state are folders named by batch.
+def _with_bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int"))
+
+
+def _versions(spark: SparkSession, state: str, before: int) -> DataFrame:
+    """The last version of each bucket that a batch before the given one has written."""
+    stored = spark.read.schema(f"{CHANGES}, batch long, bucket int").option("basePath", state).parquet(state)
+    last = stored.where(F.col("batch") < before).groupBy("bucket").agg(F.max("batch").alias("batch"))  # of few buckets
+    return stored.join(F.broadcast(last), ["bucket", "batch"])
+
 
-    Each batch reads the version before its own and writes its own whole, so that a batch
-    that is tried again writes the same."""
+def _drop_superseded(spark: SparkSession, state: str, batch: int) -> None:
+    """Delete versions that neither readers nor a repeat of this batch need: all but the last two of each bucket."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(state)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen: dict[str, list[int]] = {}
+    for b in files.listStatus(root):
+        name = b.getPath().getName()
+        if name.startswith("batch="):
+            for k in files.listStatus(b.getPath()):
+                if k.getPath().getName().startswith("bucket="):
+                    seen.setdefault(k.getPath().getName(), []).append(int(name[6:]))
+    for bucket, batches in seen.items():
+        for old in sorted(n for n in batches if n <= batch)[:-2]:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch={old}/{bucket}"), True)
+
+
+def run(spark: SparkSession, source: str, schema: StructType | str, state: str, checkpoint: str, prepare=lambda df: df) -> None:
+    """Take in all files that are new in ``source`` and end.
 
-    def version(n: int) -> str:
-        return f"{state}/batch={n}"
+    The state is cut into buckets by the path's hash.  A batch reads and writes only the buckets that its changes touch,
+    in a folder of its own number, from versions before its number, so that a batch that is tried again writes the same."""
 
     def batch(changes: DataFrame, n: int) -> None:
         session = changes.sparkSession
-        before = session.read.schema(CHANGES).parquet(version(n - 1)) if n else session.createDataFrame([], CHANGES)
-        apply_changes(before, prepare(changes)).write.mode("overwrite").parquet(version(n))
+        new = _with_bucket(prepare(changes))
+        if n:
+            touched = new.select("bucket").distinct()  # at most BUCKETS rows
+            before = _versions(session, state, n).join(F.broadcast(touched), "bucket", "left_semi").select(*new.columns)
+        else:
+            before = new.limit(0)
+        after = apply_changes(before.drop("bucket"), new.drop("bucket"))
+        _with_bucket(after).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={n}")
+        _drop_superseded(session, state, n)
 
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -42,7 +75,5 @@ def run(spark: SparkSession, source: str, schema: StructType | str, state: str,
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
-    """The state after the last complete batch."""
-    all_ = spark.read.option("basePath", state).parquet(state)
-    last = all_.agg(F.max("batch").alias("b")).first()["b"]
-    return current(all_.where(F.col("batch") == F.lit(last)).drop("batch"))
+    """The state after the last batch."""
+    return current(_versions(spark, state, 2**62).drop("batch", "bucket"))

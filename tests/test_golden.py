@@ -111,3 +111,37 @@ def test_stream_replay(spark, tmp_path):
     indexer.run(spark, source, feed.schema, state, check)
     assert sorted(map(str, indexer.read_state(spark, state).collect())) == before
     assert [r.value for r in indexer.read_state(spark, state).collect()] == [3.0]
+
+
+def loose_loop(page, phrase):
+    places, at = [], page.find(phrase)
+    while at >= 0:
+        places.append(at)
+        at = page.find(phrase, at + len(phrase))
+    words = [w for w in phrase.split() if len(w) > 2]
+    if places or len(words) < 2:
+        return places
+    at = page.find(words[0])
+    while at >= 0:
+        end = at
+        for w in words:
+            spot = page.find(w, end)
+            if spot < 0 or spot - end > len(w) + 50:
+                break
+            end = spot + len(w)
+        else:
+            places.append(at)
+        at = page.find(words[0], at + len(words[0]))
+    return places
+
+
+def test_loose_matches_by_a_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    names = ["alpha", "beta", "gamma", "of", "x.y(z)", "delta"]
+    pages = [(f"d{i}", 1, " ".join(rng.choice(names) + "z" * rng.choice([0, 0, 0, 60]) for _ in range(30))) for i in range(25)]
+    phrases = [(d, " ".join(rng.choice(names) for _ in range(n))) for d, _, _ in pages for n in (1, 2, 3, 4)] + [("d0", "\\Ealpha\\Q"), ("d1", "")]
+    got = M.loose_matches(spark.createDataFrame(pages, "document_id string, page_number int, page_text string"), spark.createDataFrame(list(set(phrases)), "document_id string, phrase string")).collect()
+    texts = {d: t for d, _, t in pages}
+    assert sorted((r.document_id, r.phrase, r.start, r.stop) for r in got) == sorted((d, p, s, s + len(p)) for d, p in set(phrases) if p for s in loose_loop(texts[d], p))
