@@ -447,3 +447,70 @@ def test_pipeline_writes_its_stages(spark, monkeypatch):
     monkeypatch.setattr(C, "STAGES", [("one", lambda s, d, _: d.limit(3)), ("two", lambda s, d, _: d.select("doc_id"))])
     files = C.run(spark, DATA).inputFiles()
     assert files and all("stage2" in f for f in files)
+
+
+# --- pages: long, deep and broken markup; entropies by a loop
+
+
+def test_pages_long_deep_and_broken():
+    import time
+
+    from folioflow.llm import _dom
+
+    cases = {
+        "<a " * 60_000: "",
+        "<div>" * 20_000 + "text" + "</x>" * 20_000: "text",
+        "<div>" * 250 + "<nav>MENU</nav>text": "text",
+        '<article><p title="x>Hello</p></article>': "Hello",
+        '<article><p title="x>Hello</p><p class="y">World</p></article>': "Hello World",
+        '<article><p title="a > b">Hi</p></article>': "Hi",
+        "<nav>" * 10_000 + "x": "",
+        "<p><table><td>" + "<div>" * 10_000 + "a": "a",
+        "<article>" + "<p>a " * 5_000 + "</article>": ("a " * 5_000).strip(),
+        "1 < 2 <b>and</b> 3<": "1 < 2 and 3<",
+    }
+    for page, want in cases.items():
+        began = time.time()
+        assert html_extraction.page_text(page) == want
+        html_extraction.page_rows(page)
+        assert time.time() - began < 10
+    assert _dom.parse("").children == []
+
+
+def test_importance_by_a_loop(spark):
+    rng = random.Random(1)
+    pages = []
+    for i in range(60):
+        menu = "".join(f"<li>{w}</li>" for w in ("home", "news", rng.choice(["about", "contact"])))
+        extra = "<div class='box'><em>sale</em></div>" if rng.random() < 0.5 else "<div class='box'><i>sale</i>now</div>"
+        pages.append((f"h{i % 2}", f"<html><body><ul>{menu}</ul>{extra}<p>text {i}</p></body></html>"))
+    pages += pages[:5]  # equal pages count once
+    got = {(r.host, r.place): (r.pages, r.importance) for r in html_extraction.style_tree(spark.createDataFrame(pages, "host string, html string")).collect()}
+    seen = {}
+    for host, page in set(pages):
+        per = {}
+        for place, style, content in set(html_extraction.page_rows(page)):
+            s, c = per.get(place, (0, 0))
+            per[place] = (s + style, c + content)
+        for place, values in per.items():
+            seen.setdefault((host, place), []).append(values)
+
+    def entropy(values):
+        n = len(values)
+        counts = [values.count(v) for v in set(values)]
+        return -sum(c / n * np.log(c / n) for c in counts) / np.log(n) if n > 1 else 1.0
+
+    assert set(got) == set(seen)
+    for key, values in seen.items():
+        want = html_extraction.STYLE_WEIGHT * entropy([s for s, _ in values]) + (1 - html_extraction.STYLE_WEIGHT) * entropy([c for _, c in values])
+        assert got[key][0] == len(values) and got[key][1] == pytest.approx(want, abs=1e-9)
+
+
+def test_long_texts_without_blanks_as_the_library():
+    own = sentencepiece_codec.codec(open(sentencepiece_codec.MODEL_PATH, "rb").read())
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL_PATH)
+    rng = random.Random(2)
+    for text in ("".join(rng.choice("abcdefghéß日本語🙂") for _ in range(60_000)), "a" * 5_000, "ab" * 3_000 + "▁x", "the" * 4_000):
+        ids = own.encode(text)
+        assert ids == library.encode(text)
+        assert own.decode(ids) == library.decode(ids)
