@@ -409,7 +409,7 @@ _KINDS, _STYLES = [*T.SECTION_TITLES, "related_work"], [*T.BIB_STYLES, "other"]
 @query(
     "n_lookups",
     O.with_(H, f"k AS (SELECT *, {_KINDS}[ord % {len(_KINDS)} + 1] AS kind, {_STYLES}[ord % {len(_STYLES)} + 1] AS style FROM highlights)",
-            select=f"""SELECT id, printf('%.1f%%', floor(start_offset / 50 * 10 + 0.5) / 10) AS percent1, floor(start_offset / 50 + 0.5)::INT || '%' AS percent0, {_SHADE} AS shade,
+            select=f"""SELECT id, printf('%.1f%%', floor(100 * (start_offset / 5000) * 10 + 0.5) / 10) AS percent1, floor(100 * (start_offset / 5000) + 0.5)::INT || '%' AS percent0, {_SHADE} AS shade,
 upper(kind[1]) || replace(kind[2:], '_', ' ') AS title, coalesce({_TITLES}[kind], 'Content') AS section, coalesce({_BIBS}[style], 'plain') AS bib FROM k"""),
 )
 def n_lookups(spark, d):
