@@ -7,6 +7,8 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+#: Text and a whole tag whose quotes are plain, which most are: nothing is tried twice.
+_PLAIN = re.compile(r"([^<]*+)<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\"[^\"<>]*+\"|='[^'<>]*+'|=(?![\s\"']))*+)>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)[^>\"']*")
 _SPECIAL = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -33,7 +35,7 @@ class Node:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if "=" in raw or raw.strip(" /") else {}
 
 
 def _tag_end(text: str, at: int) -> int:
@@ -87,30 +89,39 @@ def parse(text: str) -> Node:
     opened, at, last = _Open(root), 0, text.rfind(">")
     stack = opened.stack
     while at < len(text):
-        start = text.find("<", at)
-        while 0 <= start and not (text[start + 1 : start + 2].isalpha() and text[start + 1] < "\x80" or text[start + 1 : start + 2] in ("/", "!", "?")):
-            start = text.find("<", start + 1)
-        if start < 0 or start > last:  # text to the end, or a tag that the end of the page cuts off
-            if rest := text[at:] if start < 0 else text[at:start]:
-                stack[-1].children.append(rest)
-            return root
-        if start > at:
-            stack[-1].children.append(text[at:start])
-        if text.startswith("<!--", start):
-            end = text.find("-->", start + 4)
-            at = end + 3 if end >= 0 else len(text)
-            continue
-        m = _TAG.match(text, start)
-        if m is None:  # a declaration, or no name after the slash: read as a comment
-            at = text.find(">", start) + 1
-            continue
-        end = _tag_end(text, m.end())
-        if end < 0:
-            return root
-        at = end + 1
-        tag = m[2].lower()
-        if m[1]:
-            opened.close({tag}, set())
+        m = _PLAIN.match(text, at)
+        if m is not None:
+            before, shuts, name, raw = m.groups()
+            if before:
+                stack[-1].children.append(before)
+            at = m.end()
+        else:
+            start = text.find("<", at)
+            while 0 <= start and not (text[start + 1 : start + 2].isalpha() and text[start + 1] < "\x80" or text[start + 1 : start + 2] in ("/", "!", "?")):
+                start = text.find("<", start + 1)
+            if start < 0 or start > last:  # text to the end, or a tag that the end of the page cuts off
+                if rest := text[at:] if start < 0 else text[at:start]:
+                    stack[-1].children.append(rest)
+                return root
+            if start > at:
+                stack[-1].children.append(text[at:start])
+            if text.startswith("<!--", start):
+                end = text.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(text)
+                continue
+            m = _TAG.match(text, start)
+            if m is None:  # a declaration, or no name after the slash: read as a comment
+                at = text.find(">", start) + 1
+                continue
+            end = _tag_end(text, m.end())
+            if end < 0:
+                return root
+            at = end + 1
+            shuts, name, raw = m[1], m[2], text[m.end(2) : end]
+        tag = name.lower()
+        if shuts:
+            if opened.tags[tag]:
+                opened.close({tag}, set())
             if tag == "p" or tag == "br":
                 stack[-1].children.append(Node("br", {}))
             continue
@@ -118,7 +129,6 @@ def parse(text: str) -> Node:
             opened.close(*_ENDS[tag])
         if opened.in_p[-1] and tag not in INLINE and tag not in ("br", "body", "html", "head"):
             opened.close({"p"}, _P_STOPS)
-        raw = text[m.end(2) : end]
         node = Node(tag, _attributes(raw))
         stack[-1].children.append(node)
         if tag in RAW:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, salted_join, table
+from ._common import BROADCAST_ROWS, salted_join, table, written
 from ._dom import INLINE, Node, blocks, parse
 from .url_filters import url_parts
 
@@ -256,6 +256,7 @@ def extract(pages: DataFrame) -> DataFrame:
     tree = style_tree(hosted.select(F.col("__host").alias("host"), "html"))
     low = tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD))
     low = low.groupBy("host").agg(F.collect_set("place").alias("__low")).withColumnRenamed("host", "__host")
+    low = written(low, "low")  # its size is looked at before it is used
     rows = low.limit(BROADCAST_ROWS + 1).select("__host", F.size("__low").alias("n")).agg(F.count("*"), F.sum("n")).first()
     if rows[0] <= BROADCAST_ROWS and (rows[1] or 0) <= 10 * BROADCAST_ROWS:
         joined = hosted.join(F.broadcast(low), "__host", "left")
