@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources.shared import shared_dir, written  # noqa: F401
+
 #: Words: what stands between these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many rows may be broadcast.
@@ -21,31 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the cluster names none."""
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def salt_of(*columns: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 

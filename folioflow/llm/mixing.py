@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, WORD, salted_join, table
+from ._common import BROADCAST_ROWS, WORD, salted_join, table, written
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
@@ -52,17 +52,14 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, max_
     return per.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def with_copies(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """All documents with size, source_size, target, rate and the number of copies the mix takes.
+def with_rates(sized: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """sized (doc_id, source, size, ...) with source_size, target, rate and the number of copies the mix takes.
 
     Rates are broadcast when a count shows at most BROADCAST_ROWS sources; else they are joined
     with salted keys, so that a source with a third of the rows is dealt to many tasks.
     """
-    docs = docs.drop(*ADDED)
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    rates = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), cycle, max_repeats)
-    few = docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:
+    rates = written(source_targets(sized.select("source", "size"), cycle, max_repeats), "rates")
+    if rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         right = rates.withColumnRenamed("source", "__source")
         out = sized.join(F.broadcast(right), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     else:
@@ -73,6 +70,11 @@ def with_copies(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, max_repe
     return out.withColumn("copies", whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0))
 
 
+def with_copies(docs: DataFrame, **options) -> DataFrame:
+    """All documents with size, source_size, target, rate and the number of copies the mix takes."""
+    return with_rates(docs.drop(*ADDED).withColumn("size", word_count(F.col("text"))), **options)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of the input."""
     kept = [c for c in docs.columns if c not in ADDED]
@@ -81,7 +83,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # without the texts, sizes are a small table: words are counted once
+    sized = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    out = with_rates(sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
