@@ -28,7 +28,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, salted_join, table
+from ._common import WORD, salted_join, table, written
 
 BUDGET = 1024
 HISTORY = 128
@@ -92,7 +92,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     formatted, and segments, an array of (number, repeated, start, length, loss_start, loss_length): where a
     turn stands in the text, and which of its code points carry loss (a length of 0 for none)."""
     span = span_tokens(budget, history, system_reserve)
-    t = placed_turns(turns, span)
+    t = written(placed_turns(turns, span), "turns")  # placed once; what follows reads the columns it needs
     own = t.withColumn("repeated", F.lit(False)).withColumn("system", F.lit(False))
     windows = t.groupBy("conv_id", "cell").agg(F.min("start").alias("from"), F.min("number").alias("first_number"))
     windows = windows.withColumn("near", F.floor(F.col("from") / span))
