@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import salted_join, table
+from ._common import salted_join, table, written
 
 #: (host, path, verdict); a rule also covers all subdomains of its host.
 RULES = (
@@ -91,7 +91,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     """
     domain, suffix = domain_parts(F.col("host"))
     per_host = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
-    per_host = per_host.withColumns({"domain": domain, "suffix": suffix, "root": F.lit("")})
+    per_host = written(per_host.withColumns({"domain": domain, "suffix": suffix, "root": F.lit("")}), "hosts")  # one row per host
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     per_domain = per_host.groupBy("domain", "suffix", "root").agg(*sums)
     per_suffix = per_domain.groupBy("suffix", "root").agg(*sums)
