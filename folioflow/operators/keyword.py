@@ -99,8 +99,8 @@ def search(ix: Index, queries: DataFrame, k: int = K, names: DataFrame | None =
 
     queries (query_id, query, optionally document_filter); names (document_id, name) for filters; ``within``: only in the
     document_id of the query.
-    Before texts are joined for the boosts, chunks that no boost could lift into the first k are
-    left out: their base times the most that they can be boosted by stays under the k-th best base.
+    The k chunks of the best base get their boosts first; the least of their scores is a floor.  Then texts are joined only
+    of chunks that a boost could lift there: their base times the most that they can be boosted by reaches the floor.
     A chunk holds the phrase only if it has all terms but the first and the last, which may be
     parts of longer words there.
     """
@@ -109,16 +109,21 @@ def search(ix: Index, queries: DataFrame, k: int = K, names: DataFrame | None =
         base = base.join(ix.chunks.select("chunk_id", "document_id"), "chunk_id").join(names, "document_id").join(queries.select("query_id", "document_filter"), "query_id")
         base = base.where(name_matches(F.col("name"), F.col("document_filter"))).select("query_id", "chunk_id", "base", "missing")
     base = written(base, "base")
-    kth = top_ranked(base, k, "base").groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("base")).otherwise(0.0).alias("kth"))
-    most = F.when(F.col("missing") <= 2, MAX_BOOST).otherwise(MAX_PROXIMITY)
-    near = base.join(kth, "query_id").where(F.col("base") * (most + 1e-6) >= F.col("kth"))
     # lower-cased and cut before the joins, so once per chunk and query and not once per pair
-    texts = near.join(ix.chunks.select("chunk_id", "document_id", F.lower("text").alias("low")), "chunk_id")
+    low = ix.chunks.select("chunk_id", "document_id", F.lower("text").alias("low"))
     asked = queries.select("query_id", F.lower("query").alias("phrase"), T.tokens(F.col("query")).alias("terms"))
-    full = texts.join(asked, "query_id")
-    phrase = F.when((F.col("missing") <= 2) & F.contains("low", "phrase"), 2.0).otherwise(1.0)
-    score = F.col("base") * phrase * (1 + proximity_boost(F.col("low"), F.col("terms")))
-    full = full.withColumn("score", F.round(score, 6)).where("score > 0")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(low, "chunk_id").join(asked, "query_id")
+        phrase = F.when((F.col("missing") <= 2) & F.contains("low", "phrase"), 2.0).otherwise(1.0)
+        score = F.col("base") * phrase * (1 + proximity_boost(F.col("low"), F.col("terms")))
+        return full.select("query_id", "chunk_id", "document_id", F.round(score, 6).alias("score"))
+
+    first = scored(top_ranked(base, k, "base"))
+    kth = written(first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth")), "kth")
+    most = F.when(F.col("missing") <= 2, MAX_BOOST).otherwise(MAX_PROXIMITY)
+    near = base.join(kth, "query_id").where(F.col("base") * most + 1e-5 >= F.col("kth"))
+    full = scored(near).where("score > 0")
     best = top_ranked(full, k)
     share = F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)
     return best.select("query_id", "rank", "chunk_id", "document_id", share.alias("score"))
