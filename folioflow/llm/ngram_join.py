@@ -59,8 +59,8 @@ STEPS = 8
 #: Shingles and sets in a block of a component; a cell holds a block and as many sets again at most.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 256
-#: Bits of the map of documents whose texts are read again.
-MAP_BITS = 23
+#: Bits of the map of documents that take part in a join, as a power of two.
+MAP_BITS = 25
 #: Documents turned into rows at a time.
 BATCH = 1000
 
@@ -70,27 +70,29 @@ def shingle_order(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     slots, parts = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_ROW
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(slots, np.uint32)
         held: list[np.ndarray] = []
         size = 0
 
         def taken() -> None:
             if held:
-                np.add(total, np.bincount((np.concatenate(held) & np.uint64(slots - 1)).astype(np.int64), minlength=slots), out=total)
+                at = (np.concatenate(held) & np.uint64(slots - 1)).astype(np.int64)
+                np.add.at(total, at, np.ones(len(at), np.uint32))
                 held.clear()
 
         for b in batches:
             for s in shingle_sets(b["text"], width):
                 held.append(s)
                 size += len(s)
-                if size > slots // 2:
+                if size > slots // 8:
                     taken()
                     size = 0
         taken()
         rows = total.reshape(parts, SKETCH_ROW)
         some = np.flatnonzero(rows.any(axis=1))
         if len(some):
-            yield pd.DataFrame({"part": some, "counts": [zlib.compress(rows[i].tobytes(), 1) for i in some]})
+            wide = np.uint8 if total.max() < 256 else np.uint32
+            yield pd.DataFrame({"part": some, "wide": np.dtype(wide).itemsize, "counts": [zlib.compress(rows[i].astype(wide).tobytes(), 1) for i in some]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def ended() -> pd.DataFrame:
@@ -102,12 +104,12 @@ def shingle_order(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
                 if part is not None:
                     yield ended()
                 part, total = k, np.zeros(SKETCH_ROW, np.int64)
-            for c in rows["counts"]:
-                total += np.frombuffer(zlib.decompress(c), np.int64)
+            for wide, c in zip(rows["wide"], rows["counts"]):
+                total += np.frombuffer(zlib.decompress(c), np.uint8 if wide == 1 else np.uint32)
         if part is not None:
             yield ended()
 
-    counted = docs.select("text").mapInPandas(count, "part int, counts binary")
+    counted = docs.select("text").mapInPandas(count, "part int, wide int, counts binary")
     sums = counted.repartition("part").sortWithinPartitions("part").mapInPandas(add, "part int, steps binary")
     out = np.zeros((parts, SKETCH_ROW), np.uint8)
     for r in sums.collect():  # a fixed number of rows
@@ -290,16 +292,22 @@ def linking_pairs(reps: np.ndarray, sets: list[np.ndarray], percent: int, labels
     return found
 
 
-def with_ids_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose rep is among the ids, and few others: a map of hashed ids, of fixed size, goes to the tasks, so that
-    the texts of other rows are not shuffled."""
-    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << MAP_BITS))
-    bits = ids.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit"))
-    bits = bits.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def parted_by_ids(docs: DataFrame, ids: DataFrame, column: str = "rep") -> tuple[DataFrame, DataFrame]:
+    """docs in two: the rows whose column is among the ids, with few others, and rows whose column surely is not.
+
+    A map of hashed ids, of fixed size, goes to the tasks, so that texts of rows that need no join are not shuffled."""
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << MAP_BITS))
+    bits = ids.select(F.bitmap_bucket_number(slot).alias("__part"), F.bitmap_bit_position(slot).alias("__bit"))
+    # in pieces of 64 bytes: a row that is looked up copies its piece
+    bits = bits.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits")).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    bits = bits.select((F.col("__part") * 64 + F.col("__i")).alias("__key"), F.substring("__bits", F.col("__i") * 64 + 1, F.lit(64)).alias("__piece"))
+    bits = written(bits, "map")
     at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    seen = docs.withColumn("part", F.bitmap_bucket_number(slot)).withColumn("bit", (at % 8).cast("int"))
-    return seen.join(F.broadcast(bits), "part").where(F.bit_get(byte, F.col("bit")) == 1).drop("part", "bit", "bits")
+    seen = docs.withColumn("__key", F.bitmap_bucket_number(slot) * 64 + F.floor(at / 512)).withColumn("__bit", at % 512)
+    byte = F.conv(F.hex(F.substring("__piece", (F.floor(F.col("__bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.bit_get(byte, (F.col("__bit") % 8).cast("int")), F.lit(0))
+    seen = seen.join(F.broadcast(bits), "__key", "left").withColumn("__in", inside)
+    return tuple(seen.where(F.col("__in") == k).drop("__key", "__bit", "__piece", "__in") for k in (1, 0))
 
 
 def cell_links(cells: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +356,7 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int
                 out = b.loc[same, ["cid", "blocks", "block", "first", "rep"]]
                 yield out.assign(shingles=[s.tobytes() for s, ok in zip(found, same) if ok])
 
-    texts = with_ids_of(docs.select(F.col("doc_id").alias("rep"), "text"), members).join(members, "rep")
+    texts = parted_by_ids(docs.select(F.col("doc_id").alias("rep"), "text"), members)[0].join(members, "rep")
     texts = texts.select("rep", "text", "set_key", "cid", "blocks", "block", "first")
     held = written(texts.mapInPandas(sets, "cid long, blocks int, block int, first long, rep long, shingles binary"), "members")
 
@@ -382,16 +390,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
     cls = sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("prefix_key").alias("prefix_key"))
     cls = cls.where("rep IS NOT NULL")
-    groups = cls.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
+    groups = cls.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.sum("copies").alias("rows"))
     groups = written(groups, "groups")
+    # a group of one row has its prefix there; of the others the first row is looked up
+    large = groups.where("rows > 1").select(F.col("n").alias("gn"), F.col("prefix_key").alias("gp"), "gid")
+    shared = known.select("n", "prefix_key", "doc_id").join(large, (F.col("n") == F.col("gn")) & (F.col("prefix_key") == F.col("gp")), "left_semi")
+    some, own = parted_by_ids(known.select("n", "doc_id", "prefix_key", "prefix"), shared, "doc_id")
+    groups_of = groups.select("gid", F.col("n").alias("gn"), F.col("prefix_key").alias("gp"))
     same = (F.col("doc_id") == F.col("gid")) & (F.col("n") == F.col("gn")) & (F.col("prefix_key") == F.col("gp"))
-    prefixes = known.select("n", "doc_id", "prefix_key", "prefix").join(groups.select("gid", F.col("n").alias("gn"), F.col("prefix_key").alias("gp")), same)
-    prefixes = prefixes.dropDuplicates(["gid", "n", "prefix_key"])
+    some = some.join(groups_of, same).dropDuplicates(["gid", "n", "prefix_key"]).select("gid", "n", "prefix")
+    prefixes = own.select(F.col("doc_id").alias("gid"), "n", "prefix").unionByName(some)
     # one signature speaks for a group of one set, and for an id that names one set
     signatures = known.groupBy(F.col("doc_id").alias("gid")).agg(F.min("set_key").alias("a"), F.max("set_key").alias("b"), F.first("signature").alias("signature"))
     several = groups.where("members > 1").select("gid").distinct()
     signatures = signatures.where("a = b").join(several, "gid", "left_anti").select("gid", "signature")
-    near = components(group_pairs(prefixes.select("gid", "n", "prefix"), signatures, percent))
+    near = components(group_pairs(prefixes, signatures, percent))
     alone = groups.where("members > 1").select(F.col("gid").alias("node"))
     near = near.unionByName(alone.join(near, "node", "left_anti").select("node", F.col("node").alias("component")))
     placed = groups.join(near, groups["gid"] == near["node"]).select("n", "prefix_key", F.col("component").alias("cid"))

@@ -106,8 +106,10 @@ def test_signatures_never_hide_a_link():
 def test_map_of_ids_keeps_every_id(spark):
     docs = spark.range(0, 40_000, 3).select(F.col("id").alias("rep"))
     ids = docs.where("rep % 7 = 0")
-    kept = {r.rep for r in ngram_join.with_ids_of(docs, ids).collect()}
+    some, rest = ngram_join.parted_by_ids(docs, ids)
+    kept, others = {r.rep for r in some.collect()}, {r.rep for r in rest.collect()}
     assert {r.rep for r in ids.collect()} <= kept and len(kept) < 4_000
+    assert not kept & others and len(kept) + len(others) == docs.count()
 
 
 def test_components_of_chains(spark):
