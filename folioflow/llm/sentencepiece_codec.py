@@ -44,9 +44,9 @@ SPACE = "▁"
 #: Steps between automaton nodes and pairs of pieces that a worker remembers.
 CACHE = 120_000
 #: Stretches, and ids of stretches, that a worker remembers before it forgets them all; longer ones it never remembers.
-STRETCHES, STRETCH_IDS, LONG = 400_000, 4_000_000, 200
+STRETCHES, STRETCH_IDS, LONG = 150_000, 1_500_000, 200
 #: Characters of the texts whose ids are held at a time (a longer text is held by itself).
-SLICE = 1_000_000
+SLICE = 500_000
 #: Texts decoded at a time.
 DECODED = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
