@@ -25,16 +25,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the least id stays (one with an id before one without).
 
-    Rows, not ids, are grouped: rows of one id that are no near copies all stay.  Rows without words are
-    copies of each other only where id and text are equal."""
-    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = ngram_join.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
-    groups = groups.select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
-    named = rows.join(groups, "row")
-    own = lambda c: F.when(F.col("blank"), F.col(c))
-    keys = [F.when(~F.col("blank"), F.col("component_id")).alias("a"), own("doc_id").alias("b"), own("text").alias("c")]
-    first = named.groupBy(*keys).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
-    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
+    Rows, told apart by id and text, are grouped, not ids: rows of one id that are no near copies all stay; of rows
+    that are equal in both, one stays.  Rows without words are copies of each other only where id and text are equal."""
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    groups = groups.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    ids = docs.select("row", "doc_id").distinct()
+    named = written(groups.join(ids, "row"), "groups")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
+    first = first.select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    # texts are joined only where a row goes or is there more than once
+    judged = written(named.join(first, "row", "left").where("stays IS NULL OR n > 1").select("row", F.coalesce("stays", F.lit(False)).alias("stays")), "judged")
+    some, alone = ngram_join.parted_by_ids(docs, judged, "row")
+    some = some.dropDuplicates(["row"]).join(judged, "row", "left").where("coalesce(stays, true)")
+    return alone.select(*COLUMNS).unionByName(some.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
