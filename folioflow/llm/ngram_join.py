@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, salted_join, table, written
+from ._common import WORD, salted_join, small_batches, table, written
 from ._graph import components
 from ._shingles import shingle_sets
 from ._vectors import sorted_runs
@@ -384,6 +384,7 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) to one row per row: doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(set_table(docs, shingle_order(docs, width), width, percent), "sets")
     key = ["n", "set_key"]

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import small_batches, table
 from ._shingles import block_words, blocks
 
 #: Bound of the labelled documents that are fitted on the driver.
@@ -256,6 +256,7 @@ def with_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
         for b in batches:
             yield pd.Series(score_texts(model, b), dtype="float64")
 
+    small_batches(docs.sparkSession)
     out = docs.withColumn("score", score(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

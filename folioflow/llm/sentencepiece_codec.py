@@ -37,16 +37,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import small_batches, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Steps between automaton nodes and pairs of pieces that a worker remembers.
-CACHE = 120_000
+CACHE = 60_000
 #: Stretches, and ids of stretches, that a worker remembers before it forgets them all; longer ones it never remembers.
-STRETCHES, STRETCH_IDS, LONG = 150_000, 1_500_000, 200
+STRETCHES, STRETCH_IDS, LONG = 100_000, 1_000_000, 200
 #: Characters of the texts whose ids are held at a time (a longer text is held by itself).
-SLICE = 500_000
+SLICE = 250_000
 #: Texts decoded at a time.
 DECODED = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -417,6 +417,8 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, column: str = "text",
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("struct<ids: array<int>, round_trip: boolean>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model.value)
@@ -425,6 +427,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, column: str = "text",
                 ids, ends, same = own.encode_all(texts)
                 lists = pd.Series([*np.split(ids, ends)[:-1]], dtype=object)
                 yield pd.DataFrame({"ids": lists, "round_trip": pd.Series(same if verify else [None] * len(same), dtype="boolean")})
+        own.forget()  # the worker lives on and does other work
 
     out = docs.withColumn("__encoded", encoded(F.col(column))).withColumn("ids", F.col("__encoded.ids"))
     out = out.withColumn("n_tokens", F.size("ids"))
