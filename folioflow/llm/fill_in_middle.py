@@ -38,7 +38,7 @@ RATE, SPM_RATE = 50, 80
 FORMS = ("plain", "psm", "spm")
 #: The sentinels, each of three bytes: "<", a letter, ">".
 SENTINELS = np.array([list(b"<P>"), list(b"<S>"), list(b"<M>")], np.uint8)
-ADDED = T.StructType.fromDDL("n long, form string, prefix_chars long, middle_chars long, output string")
+ADDED = T.StructType().add("n", "long").add("form", "string").add("prefix_chars", "long").add("middle_chars", "long").add("output", "string")
 
 
 def token_cuts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
