@@ -42,10 +42,10 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def block_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the number of words of each text."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
+    low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw) if lower else raw
     space = (low == 32) | ((low >= 9) & (low <= 13))
     edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -72,6 +72,15 @@ def blocks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
         yield held
 
 
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of so many words; polynomial over the words, by prefix sums."""
+    up, down = _power_table(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    n = max(0, len(words) - width + 1)
+    return mix64((total[width : width + n] - total[:n]) * down[:n])
+
+
 def block_shingles(words: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
     n = len(words)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, fill_in_middle, html_extraction, mixing, ngram_join, quality, sentencepiece_codec, topk_search, url_filters, warc
+from . import ann, chat, fill_in_middle, html_extraction, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_mixing": mixing.op10_mixing,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
 }
 
@@ -29,5 +30,6 @@ SQL: dict[str, str] = {
     "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_topk_search": topk_search.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_substring_dedup": substring_dedup.OP11_SQL,
     "op12_fill_in_middle": fill_in_middle.OP12_SQL,
 }
