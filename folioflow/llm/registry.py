@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, fill_in_middle, html_extraction, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
+from . import ann, chat, divergence, fill_in_middle, html_extraction, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.op10_mixing,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -32,4 +33,5 @@ SQL: dict[str, str] = {
     "op10_mixing": mixing.OP10_SQL,
     "op11_substring_dedup": substring_dedup.OP11_SQL,
     "op12_fill_in_middle": fill_in_middle.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }

@@ -4,8 +4,8 @@ A window is so many consecutive words of one document.  Each word goes that is c
 whose words, in order, also start anywhere else, in the same document or another.
 
 1. Recompression names runs and pairs of symbols, round by round (``_recompression``).  Names are
-   hashes, so all tasks name alike.  Of each document the highest symbols are taken whose context
-   has at most ``LIMIT`` words; equal windows hold the same symbols wherever the context lies within.
+   hashes, so all tasks name alike.  Of each document those symbols are taken that are the first to cover
+   ``LEAST`` words, if their context has at most ``LIMIT`` words; equal windows hold the same of them.
 2. Symbols are counted over the whole corpus, pre-aggregated by name.  One that stands at a single
    place shows that no window around its context repeats.  These contexts go back to their documents.
 3. Windows that hold no such context are candidates; documents without candidates are done.
@@ -203,13 +203,13 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT id, unnest(range(1, len(w) - {WINDOW} + 2)) AS at, w FROM d WHERE len(w) >= {WINDOW}),
-h AS (SELECT id, at, array_to_string(w[at:at + {WINDOW} - 1], ' ') AS words FROM s),
-r AS (SELECT id, at FROM (SELECT id, at, count(*) OVER (PARTITION BY words) AS n FROM h) WHERE n > 1),
-g AS (SELECT DISTINCT id, unnest(range(at, at + {WINDOW})) AS at FROM r),
-n AS (SELECT id, count(*) AS n_removed, list(at) AS gone FROM g GROUP BY id)
+s AS (SELECT id, unnest(range(1, len(w) - {WINDOW} + 2)) AS pos, w FROM d WHERE len(w) >= {WINDOW}),
+h AS (SELECT id, pos, array_to_string(w[pos:pos + {WINDOW} - 1], ' ') AS words FROM s),
+r AS (SELECT id, pos FROM (SELECT id, pos, count(*) OVER (PARTITION BY words) AS n FROM h) WHERE n > 1),
+g AS (SELECT DISTINCT id, unnest(range(pos, pos + {WINDOW})) AS pos FROM r),
+n AS (SELECT id, count(*) AS n_removed, list(pos) AS gone FROM g GROUP BY id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
        sha256(CASE WHEN gone IS NULL THEN coalesce(array_to_string(w, ' '), '')
-                   ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(gone, i)), i -> w[i]), ' '), '') END) AS kept_sha256
+                   ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' '), '') END) AS kept_sha256
 FROM d LEFT JOIN n USING (id)
 """
