@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import keyword as K
+from folioflow.operators import stored
+from folioflow.sources.shared import shared_dir
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,8 +32,24 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.chunked(corpus(spark, d).select("document_id", F.lit(1).alias("page_number"), F.col("text").alias("page_text")))
 
 
-def index(spark: SparkSession, d: str) -> K.Index:
-    return K.index(chunks(spark, d))
+def snapshot(spark: SparkSession, d: str) -> str:
+    """Names the state of the documents' files: their paths, sizes and times."""
+    files = spark.read.parquet(f"{d}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, total = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    return f"{n}-{total}"
+
+
+def saved_index(spark: SparkSession, d: str) -> str:
+    """Where the index of these documents lies; it is built the first time it is asked for in the shared folder."""
+    path = f"{shared_dir(spark)}/indexes/{snapshot(spark, d)}"
+    if stored.last_batch(spark, path) < 0:
+        stored.save_index(corpus(spark, d).select("document_id", "text"), path)
+    return path
+
+
+def index(spark: SparkSession, d: str, terms: list[str] | None = None) -> K.Index:
+    """The saved index, or of it the postings of some terms."""
+    return stored.open_index(spark, saved_index(spark, d), terms)
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

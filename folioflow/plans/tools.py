@@ -1,4 +1,6 @@
-"""Query tools and chat verbs: each is a function of the session, the folder of tables and its parameters, and gives a DataFrame."""
+"""Query tools and chat verbs: each is a function of the session, the folder of tables and its parameters, and gives a DataFrame.
+
+Those that search open the saved index and read the postings of the question's words only."""
 
 from __future__ import annotations
 
@@ -14,6 +16,7 @@ from folioflow.operators import grounding as S
 from folioflow.operators import highlights as J
 from folioflow.operators import images as I
 from folioflow.operators import keyword as K
+from folioflow.operators import stored
 from folioflow.plans import fixtures as X
 from folioflow.plans import table_queries as TQ
 
@@ -30,13 +33,15 @@ def _asked(spark: SparkSession, query: str) -> DataFrame:
     return spark.createDataFrame([("q", query)], "query_id string, query string")
 
 
+def _index(spark: SparkSession, d: str, text: str) -> K.Index:
+    """The saved index with the postings of the words of one text."""
+    return X.index(spark, d, spark.range(1).select(T.tokens(F.lit(text)).alias("t")).first().t)
+
+
 def search_documents(spark: SparkSession, d: str, query: str, max_results: int = 5, document: str | None = None) -> DataFrame:
     """Ranked passages by keywords, of documents whose names hold one of the patterns if they are given."""
-    ix, asked = X.index(spark, d), _asked(spark, query)
-    names = None
-    if document is not None:
-        asked, names = asked.withColumn("document_filter", F.lit(document)), X.corpus(spark, d).select("document_id", "name")
-    hits = K.search(ix, asked, max_results, names).join(ix.chunks.select("chunk_id", "page_number", "text"), "chunk_id")
+    names = None if document is None else X.corpus(spark, d).select("document_id", "name")
+    hits = stored.search(spark, X.saved_index(spark, d), query, max_results, names, document)
     terms = T.tokens(F.lit(query))
     return hits.select("rank", "document_id", "page_number", T.percent(F.col("score"), 1).alias("relevance"), K.excerpt(F.col("text"), terms).alias("excerpt"))
 
@@ -67,12 +72,13 @@ def summarize_document(spark: SparkSession, d: str, document: str, section: str
     doc = _document(spark, d, document).select("document_id", "name", T.smart_summary(F.col("text")).alias("summary"))
     if section is None:
         return doc.select("document_id", F.col("summary").alias("content"))
-    return K.section_lookup(X.index(spark, d), doc.withColumn("section", F.lit(section)))
+    name = doc.first()
+    return K.section_lookup(_index(spark, d, f"{section} {name.name if name else ''}"), doc.withColumn("section", F.lit(section)))
 
 
 def semantic_search(spark: SparkSession, d: str, query: str, max_results: int = 5) -> DataFrame:
     """Ranked passages by keywords and vectors."""
-    ix = X.index(spark, d)
+    ix = _index(spark, d, query)
     hits = TQ.hybrid(ix, _asked(spark, query), max_results).select("rank", "chunk_id", "score")
     return hits.join(ix.chunks, "chunk_id").select("rank", "document_id", "page_number", "score", "text")
 
@@ -102,7 +108,7 @@ def highlight_digest(spark: SparkSession, d: str) -> DataFrame:
 
 def cited_context(spark: SparkSession, d: str, query: str, max_sources: int = 5) -> DataFrame:
     """The numbered sources that an answer to a question is to cite."""
-    ix = X.index(spark, d)
+    ix = _index(spark, d, query)
     hits = TQ.hybrid(ix, _asked(spark, query), 2 * max_sources).select("query_id", "chunk_id", "rank").join(ix.chunks, "chunk_id")
     return S.context_block(S.chosen_sources(hits, None, max_sources).join(X.corpus(spark, d).select("document_id", "name"), "document_id"))
 

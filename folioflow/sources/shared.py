@@ -32,6 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this session's jobs have written between their steps; results that still read them fail."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
