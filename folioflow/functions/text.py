@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """Join hyphenated line breaks, unwrap lines, squeeze blanks, resolve ligatures, drop lone page numbers."""
     out = F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2")
@@ -134,13 +141,17 @@ def smart_summary(text: Column) -> Column:
     """Abstract, else introduction, else the first substantial of the first five paragraphs, else the beginning."""
     abstract = F.regexp_extract(text, r"(?i)(?:abstract|summary)[:\s]*\n?([\s\S]{100,1000}?)(?:\n\n|introduction|keywords|1\.|1\s)", 1)
     intro = F.regexp_extract(text, r"(?i)(?:introduction|1\.?\s*introduction)[:\s]*\n?([\s\S]{100,800}?)(?:\n\n|[0-9]+\.)", 1)
-    cleaned = clean(text)
-    first = F.slice(F.filter(F.split(cleaned, "\n\n"), lambda p: F.length(p) > 50), 1, 5)
-    good = F.filter(first, lambda p: (F.length(p) > 100) & ~p.rlike(r"^[0-9\s.]+$") & (F.size(F.split(p, " ")) > 15))
-    para = F.get(good, F.lit(0))
-    para = F.concat(F.left(para, F.lit(600)), F.when(F.length(para) > 600, "...").otherwise(""))
-    return F.when(abstract != "", F.left(clean(abstract), F.lit(600))).when(intro != "", F.left(clean(intro), F.lit(600))).otherwise(
-        F.coalesce(para, F.concat(F.left(cleaned, F.lit(500)), F.lit("..."))))
+
+    def short(p: Column) -> Column:
+        return F.concat(F.left(p, F.lit(600)), F.when(F.length(p) > 600, "...").otherwise(""))
+
+    def shown(cleaned: Column) -> Column:
+        first = F.slice(F.filter(F.split(cleaned, "\n\n"), lambda p: F.length(p) > 50), 1, 5)
+        good = F.filter(first, lambda p: (F.length(p) > 100) & ~p.rlike(r"^[0-9\s.]+$") & (F.size(F.split(p, " ")) > 15))
+        return F.coalesce(let(F.get(good, F.lit(0)), short), F.concat(F.left(cleaned, F.lit(500)), F.lit("...")))
+
+    named = let(abstract, lambda a: let(intro, lambda i: F.left(clean(F.when(a != "", a).when(i != "", i)), F.lit(600))))
+    return F.coalesce(named, let(clean(text), shown))
 
 
 def basic_summary(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from folioflow.functions import text as T
 from folioflow.sources.shared import written
 
 K = 10
+#: Chunks and queries of a cell, in which all are scored against all.
+CELL_CHUNKS, CELL_QUERIES = 8192, 2048
 #: The most that proximity, and proximity with the phrase, can multiply a score by.
 MAX_PROXIMITY, MAX_BOOST = 1.5, 3.0
 
@@ -30,11 +34,12 @@ def index(chunks: DataFrame) -> Index:
     return Index(chunks, posted, idf(posted, chunks))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf): counts over the count of the chunk's most frequent term; all of a chunk after one shuffle."""
-    words = chunks.select("chunk_id", F.explode(T.words(F.col("text"))).alias("term")).where(T.counts_as_token(F.col("term")))
-    terms = words.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
-    return terms.select("chunk_id", "term", (F.col("n") / F.max("n").over(Window.partitionBy("chunk_id"))).alias("tf"))
+def postings(chunks: DataFrame, *carried: str) -> DataFrame:
+    """(chunk_id, term, tf), with columns of the chunk that are carried: counts over the count of the chunk's most frequent term; all of
+    a chunk after one shuffle."""
+    words = chunks.select("chunk_id", *carried, F.explode(T.words(F.col("text"))).alias("term")).where(T.counts_as_token(F.col("term")))
+    terms = words.repartition("chunk_id").groupBy("chunk_id", *carried, "term").agg(F.count("*").alias("n"))
+    return terms.select("chunk_id", *carried, "term", (F.col("n") / F.max("n").over(Window.partitionBy("chunk_id"))).alias("tf"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -75,8 +80,12 @@ def phrase_boost(text: Column, query: Column) -> Column:
 def min_distance(low: Column, terms: Column) -> Column:
     """Least distance between the first places of any two terms in a lower-case text; null if fewer than two occur."""
     found = F.array_sort(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0))
-    gaps = F.zip_with(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), lambda b, a: b - a)
-    return F.array_min(gaps)
+
+    def least(f: Column) -> Column:
+        rest = F.greatest(F.size(f) - 1, F.lit(0))
+        return F.array_min(F.zip_with(F.slice(f, F.lit(2), rest), F.slice(f, F.lit(1), rest), lambda b, a: b - a))
+
+    return T.let(found, least)
 
 
 def proximity_boost(low: Column, terms: Column) -> Column:
@@ -94,6 +103,67 @@ def top_ranked(scored: DataFrame, k: int, score: str = "score", tie: str = "chun
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def term_vectors(rows: DataFrame, key: str, weight: str) -> DataFrame:
+    """(key, term, weight) to (key, terms, weights): one row per key; terms are 64-bit hashes."""
+    pairs = F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col(weight).alias("w")))
+    return rows.groupBy(key).agg(pairs.alias("v")).select(key, F.col("v.t").alias("terms"), F.col("v.w").alias("weights"))
+
+
+def _postings_of(terms: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors to postings: distinct terms, where their postings begin (with the end), rows and weights."""
+    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    term, weight = np.concatenate(terms), np.concatenate(weights)
+    order = np.argsort(term, kind="stable")
+    term, row, weight = term[order], row[order], weight[order]
+    begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    return term[begins], np.r_[begins, len(term)], row, weight
+
+
+def _cell(key: tuple, queries: pd.DataFrame, chunks: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Base scores of a cell: of each query the k best chunks, or, where it has a floor, all chunks that a boost could lift there.
+
+    The greatest weight of each term in the cell bounds what its chunks can score: a query that can't reach its floor is passed over."""
+    found: list[tuple] = []
+    if len(queries) and len(chunks):
+        terms, begins, row, weight = _postings_of(list(chunks["terms"]), list(chunks["weights"]))
+        most = np.maximum.reduceat(weight, begins[:-1])
+        n, ids = len(chunks), chunks["chunk_id"].to_numpy()
+        for query, asked, times, floor in zip(queries["query_id"], queries["terms"], queries["weights"], queries["floor"]):
+            at = np.minimum(np.searchsorted(terms, asked), len(terms) - 1)
+            known = terms[at] == asked
+            at, times = at[known], times[known]
+            if not len(at) or (floor == floor and (times * most[at]).sum() * MAX_BOOST + 1e-5 < floor):
+                continue
+            size = begins[at + 1] - begins[at]
+            of = np.repeat(begins[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            base = np.bincount(row[of], np.repeat(times, size) * weight[of], n)
+            missing = len(asked) - np.bincount(row[of], minlength=n)
+            if floor == floor:
+                chosen = np.flatnonzero((base > 0) & (base * np.where(missing <= 2, MAX_BOOST, MAX_PROXIMITY) + 1e-5 >= floor))
+            else:
+                chosen = np.argpartition(-base, min(k, n) - 1)[:k]
+                chosen = chosen[base[chosen] > 0]
+            found.append(([query] * len(chosen), ids[chosen], base[chosen], missing[chosen]))
+    columns = zip(*found) if found else [[[]]] * 4
+    return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("query_id", "chunk_id", "base", "missing"), columns)})
+
+
+def cell_scores(vectors: DataFrame, queries: DataFrame, n_chunks: int, n_queries: int, k: int) -> DataFrame:
+    """vectors (chunk_id, terms, weights), queries (query_id, terms, weights, floor) to (query_id, chunk_id, base, missing): blocks of queries
+    against blocks of chunks; pairs leave their cell only if they can be among the first k."""
+    rows, columns = -(-n_queries // CELL_QUERIES) or 1, -(-n_chunks // CELL_CHUNKS) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("i", block("query_id", rows)).withColumn("j", every(columns))
+    held = vectors.withColumn("j", block("chunk_id", columns)).withColumn("i", every(rows))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def cell(key: tuple, queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        return _cell(key, queries, chunks, k)
+
+    return asked.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInPandas(cell, f"query_id {kind}, chunk_id string, base double, missing long")
+
+
 def search(ix: Index, queries: DataFrame, k: int = K, names: DataFrame | None = None, within: bool = False) -> DataFrame:
     """Keyword search: (query_id, rank, chunk_id, document_id, score) with the best score of a query as 1.
 
@@ -103,28 +173,48 @@ def search(ix: Index, queries: DataFrame, k: int = K, names: DataFrame | None =
     of chunks that a boost could lift there: their base times the most that they can be boosted by reaches the floor.
     A chunk holds the phrase only if it has all terms but the first and the last, which may be
     parts of longer words there.
+
+    Base scores are summed in cells of chunks and queries, of which only such pairs come back; searches within documents, and those with
+    filters, join the postings instead, as few of them meet.
     """
-    base = base_scores(ix, queries, within)
-    if names is not None:
-        base = base.join(ix.chunks.select("chunk_id", "document_id"), "chunk_id").join(names, "document_id").join(queries.select("query_id", "document_filter"), "query_id")
-        base = base.where(name_matches(F.col("name"), F.col("document_filter"))).select("query_id", "chunk_id", "base", "missing")
-    base = written(base, "base")
     # lower-cased and cut before the joins, so once per chunk and query and not once per pair
     low = ix.chunks.select("chunk_id", "document_id", F.lower("text").alias("low"))
+    queries = written(queries, "queries")  # they may be costly to make, and are read several times
     asked = queries.select("query_id", F.lower("query").alias("phrase"), T.tokens(F.col("query")).alias("terms"))
+    # boosts cost far more than bytes tell, so their tasks are not put together by size
+    tasks = max(2 * queries.sparkSession.sparkContext.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(low, "chunk_id").join(asked, "query_id")
+        full = pairs.join(low, "chunk_id").repartition(tasks, "query_id").join(asked, "query_id")
         phrase = F.when((F.col("missing") <= 2) & F.contains("low", "phrase"), 2.0).otherwise(1.0)
         score = F.col("base") * phrase * (1 + proximity_boost(F.col("low"), F.col("terms")))
         return full.select("query_id", "chunk_id", "document_id", F.round(score, 6).alias("score"))
 
-    first = scored(top_ranked(base, k, "base"))
-    kth = written(first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth")), "kth")
-    most = F.when(F.col("missing") <= 2, MAX_BOOST).otherwise(MAX_PROXIMITY)
-    near = base.join(kth, "query_id").where(F.col("base") * most + 1e-5 >= F.col("kth"))
-    full = scored(near).where("score > 0")
-    best = top_ranked(full, k)
+    def floors(first: DataFrame) -> DataFrame:
+        first = scored(top_ranked(first, k, "base"))
+        return written(first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth")), "kth")
+
+    if names is None and not within:
+        weighed = query_terms(queries).join(ix.idf, "term").withColumn("weight", F.col("times") * F.col("idf"))
+        weighed = written(term_vectors(weighed, "query_id", "weight"), "asked")
+        wanted = weighed.select(F.explode("terms").alias("t")).distinct()
+        posted = ix.posted.withColumn("t", F.xxhash64("term")).join(wanted, "t", "left_semi")
+        vectors = written(term_vectors(posted, "chunk_id", "tf"), "vectors")
+        n_chunks, n_queries = vectors.count(), weighed.count()
+        none = weighed.withColumn("floor", F.lit(None).cast("double"))
+        kth = floors(cell_scores(vectors, none, n_chunks, n_queries, k))
+        # a query without a floor has found nothing
+        above = weighed.join(kth.withColumnRenamed("kth", "floor"), "query_id")
+        near = cell_scores(vectors, above, n_chunks, n_queries, k)
+    else:
+        base = base_scores(ix, queries, within)
+        if names is not None:
+            base = base.join(ix.chunks.select("chunk_id", "document_id"), "chunk_id").join(names, "document_id").join(queries.select("query_id", "document_filter"), "query_id")
+            base = base.where(name_matches(F.col("name"), F.col("document_filter"))).select("query_id", "chunk_id", "base", "missing")
+        base = written(base, "base")
+        most = F.when(F.col("missing") <= 2, MAX_BOOST).otherwise(MAX_PROXIMITY)
+        near = base.join(floors(base), "query_id").where(F.col("base") * most + 1e-5 >= F.col("kth"))
+    best = top_ranked(scored(near), k).where("score > 0")
     share = F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)
     return best.select("query_id", "rank", "chunk_id", "document_id", share.alias("score"))
 

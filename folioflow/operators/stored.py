@@ -58,7 +58,7 @@ def _write(rows: DataFrame, path: str, log: str, batch: int, key: str | None, so
     if key is None:
         rows.coalesce(1).write.mode("overwrite").parquet(target)
         return
-    dealt = rows.withColumn("bucket", bucket(F.col(key))).repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(8)))
+    dealt = rows.withColumn("bucket", bucket(F.col(key))).hint("rebalance", "bucket")  # a bucket of more than a task's bytes is split
     dealt.sortWithinPartitions("bucket", key, *sort).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(target)
 
 
@@ -94,8 +94,7 @@ def apply_changes(spark: SparkSession, path: str, changes: DataFrame, batch: int
     new = _read(spark, path, "documents").where(F.col("batch") == batch)
     _write(chunker(new.where("op <> 'delete'")), path, "chunks", batch, "chunk_id")
     added = _read(spark, path, "chunks").where(F.col("batch") == batch)
-    own = added.select("chunk_id", "document_id")
-    _write(K.postings(added).join(own, "chunk_id"), path, "postings", batch, "term", ["chunk_id"])
+    _write(K.postings(added, "document_id"), path, "postings", batch, "term", ["chunk_id"])
     signed = _read(spark, path, "postings").where(F.col("batch") == batch).groupBy("term").agg(F.count("*").alias("df"))
     total = added.agg(F.count("*").alias("chunks"))
     if gone is not None:

@@ -186,9 +186,30 @@ def e8(spark, d):
     return hits.select("query_id", "chunk_id", K.excerpt(F.col("text"), T.tokens(F.col("query"))).alias("excerpt"))
 
 
-@query("e10_related_documents")
+_SUMMARY = (
+    f"cl AS (SELECT document_id, {O.clean('text')} AS c FROM corpus)",
+    "pa AS (SELECT document_id, c, list_filter(list_slice(list_filter(string_split(c, chr(10) || chr(10)), lambda p: len(p) > 50), 1, 5), lambda p: len(p) > 100 AND NOT regexp_matches(p, '^[0-9\\s.]+$') AND len(string_split(p, ' ')) > 15)[1] AS p FROM cl)",
+    "asked AS (SELECT document_id AS query_id, CASE WHEN p IS NULL THEN left(c, 500) || '...' ELSE left(p, 600) || CASE WHEN len(p) > 600 THEN '...' ELSE '' END END AS query FROM pa)",
+)
+#: A boost is one and a half at most, and three with the phrase, for which two terms may be missing; so a chunk whose
+#: base can't be boosted to the sixth base is not among the first six.
+_NEAR = (
+    "asks AS (SELECT query_id, count(*) AS terms FROM qterms GROUP BY ALL)",
+    "sixth AS (SELECT query_id, base AS kth FROM base QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY base DESC) = 6)",
+    "near AS (SELECT b.* FROM base b JOIN asks USING (query_id) LEFT JOIN sixth USING (query_id) WHERE base * CASE WHEN terms - hits <= 2 THEN 3 ELSE 1.5::DOUBLE END + 1e-5 >= coalesce(kth, 0))",
+)
+
+
+@query(
+    "e10_related_documents",
+    O.with_(
+        C, CH, *_SUMMARY, O.POSTINGS, O.base("asked").replace("AS base FROM", "AS base, count(*) AS hits FROM"), *_NEAR, O.boosted("asked").replace("FROM base b", "FROM near b"), O.ranked(6),
+        "firsts AS (SELECT query_id, document_id, min(rank) AS first FROM found WHERE query_id <> document_id GROUP BY ALL)",
+        select="SELECT * FROM (SELECT query_id, document_id, (row_number() OVER (PARTITION BY query_id ORDER BY first))::INT AS rank FROM firsts) WHERE rank <= 5",
+    ),
+)
 def e10(spark, d):
-    """Every document's whole summary is a query over all chunks, which takes SQL too long; tested against brute force."""
+    """Every document's whole summary is a query over all chunks."""
     return K.related(X.index(spark, d), X.corpus(spark, d).select("document_id", T.smart_summary(F.col("text")).alias("summary")))
 
 
