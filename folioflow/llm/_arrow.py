@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled together; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -45,3 +49,34 @@ def is_space(raw: np.ndarray) -> np.ndarray:
 def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in added}
     return pa.RecordBatch.from_pydict(kept | added)
+
+
+def map_frames(df: DataFrame, column: str, rows: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType, limit: int = 4 * BLOCK_BYTES) -> DataFrame:
+    """As ``mapInPandas``, but frames hold at most ``limit`` bytes in a column (or one row), however many rows a batch has."""
+    arrow = to_arrow_schema(schema)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in rows(part.to_pandas() for batch in batches for part in sliced(batch, column, limit)):
+            yield pa.RecordBatch.from_pandas(frame, arrow, preserve_index=False)
+
+    return df.mapInArrow(mapped, schema)
+
+
+def map_slices(df: DataFrame, column: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, pa.Array]]], added: StructType, limit: int = BLOCK_BYTES) -> DataFrame:
+    """df with columns that ``rows`` makes of slices of at most ``limit`` bytes in a column; they replace those of their names."""
+    kept = df.drop(*added.names)
+    schema = StructType(kept.schema.fields + added.fields)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in sliced(batch, column, limit):
+                    held.append(part)
+                    yield part
+
+        for made in rows(parts()):
+            yield with_columns(held.pop(), made).select(schema.names)
+
+    return kept.mapInArrow(mapped, schema)

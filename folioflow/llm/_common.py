@@ -13,8 +13,6 @@ from folioflow.sources.shared import shared_dir, written  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many rows may be broadcast.
 BROADCAST_ROWS = 10_000
-#: Texts are long: so many rows go to Python at a time (Spark's own default is 10,000).
-ARROW_ROWS = 2000
 #: A key's rows are dealt to so many tasks in salted joins.
 SALTS = 16
 
@@ -23,11 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on in this session, rows go to Python in batches whose texts leave its memory free."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
     shared_dir(df.sparkSession)

@@ -43,8 +43,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from ._common import WORD, salted_join, small_batches, table, written
+from ._arrow import map_frames
+from ._common import WORD, salted_join, table, written
 from ._graph import components
 from ._shingles import shingle_sets
 from ._vectors import sorted_runs
@@ -61,7 +63,7 @@ BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 256
 #: Bits of the map of documents that take part in a join, as a power of two.
 MAP_BITS = 25
-#: Documents turned into rows at a time.
+#: Runs turned into rows at a time.
 BATCH = 1000
 
 
@@ -109,7 +111,7 @@ def shingle_order(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         if part is not None:
             yield ended()
 
-    counted = docs.select("text").mapInPandas(count, "part int, wide int, counts binary")
+    counted = map_frames(docs.select("text"), "text", count, StructType().add("part", "integer").add("wide", "integer").add("counts", "binary"))
     sums = counted.repartition("part").sortWithinPartitions("part").mapInPandas(add, "part int, steps binary")
     out = np.zeros((parts, SKETCH_ROW), np.uint8)
     for r in sums.collect():  # a fixed number of rows
@@ -157,25 +159,23 @@ def set_table(docs: DataFrame, steps: np.ndarray, width: int = WIDTH, percent: i
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order, mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
-        for whole in batches:
-            for at in range(0, len(whole), BATCH):
-                b = whole.iloc[at : at + BATCH]
-                n, keys, prefix_keys, prefixes, signatures = [], [], [], [], []
-                for s in shingle_sets(b["text"], width):
-                    n.append(len(s))
-                    head = s[:0]
-                    if len(s):
-                        # s is sorted, so equal steps stay in the order of the hashes
-                        head = s[np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[: prefix_size(len(s), percent)]]
-                    keys.append(digest(s))
-                    prefix_keys.append(digest(head))
-                    prefixes.append(head.view(np.int64))
-                    signatures.append(signature(s, percent))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "set_key": keys, "prefix_key": prefix_keys, "prefix": prefixes, "signature": signatures})
+        for b in batches:
+            n, keys, prefix_keys, prefixes, signatures = [], [], [], [], []
+            for s in shingle_sets(b["text"], width):
+                n.append(len(s))
+                head = s[:0]
+                if len(s):
+                    # s is sorted, so equal steps stay in the order of the hashes
+                    head = s[np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[: prefix_size(len(s), percent)]]
+                keys.append(digest(s))
+                prefix_keys.append(digest(head))
+                prefixes.append(head.view(np.int64))
+                signatures.append(signature(s, percent))
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "set_key": keys, "prefix_key": prefix_keys, "prefix": prefixes, "signature": signatures})
 
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = named.mapInPandas(rows, "doc_id string, n long, set_key binary, prefix_key binary, prefix array<long>, signature binary")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = StructType().add("doc_id", "string").add("n", "long").add("set_key", "binary").add("prefix_key", "binary").add("prefix", ArrayType(LongType())).add("signature", "binary")
+    return map_frames(named, "text", rows, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def connecting_pairs(ids: list[int], n: np.ndarray, pos: np.ndarray, signatures: list[bytes | None], percent: int) -> list[tuple[int, int]]:
@@ -348,17 +348,16 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int
     members = written(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), BATCH):
-                b = whole.iloc[at : at + BATCH]
-                found = list(shingle_sets(b["text"], width))
-                same = np.array([digest(s) == bytes(k) for s, k in zip(found, b["set_key"])], bool)  # doc ids may repeat
-                out = b.loc[same, ["cid", "blocks", "block", "first", "rep"]]
-                yield out.assign(shingles=[s.tobytes() for s, ok in zip(found, same) if ok])
+        for b in batches:
+            found = list(shingle_sets(b["text"], width))
+            same = np.array([digest(s) == bytes(k) for s, k in zip(found, b["set_key"])], bool)  # doc ids may repeat
+            out = b.loc[same, ["cid", "blocks", "block", "first", "rep"]]
+            yield out.assign(shingles=[s.tobytes() for s, ok in zip(found, same) if ok])
 
     texts = parted_by_ids(docs.select(F.col("doc_id").alias("rep"), "text"), members)[0].join(members, "rep")
     texts = texts.select("rep", "text", "set_key", "cid", "blocks", "block", "first")
-    held = written(texts.mapInPandas(sets, "cid long, blocks int, block int, first long, rep long, shingles binary"), "members")
+    schema = StructType().add("cid", "long").add("blocks", "integer").add("block", "integer").add("first", "long").add("rep", "long").add("shingles", "binary")
+    held = written(map_frames(texts, "text", sets, schema), "members")
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = held.withColumn("label", F.col("rep")).withColumn("i", F.col("block")).withColumn("j", F.lit(0))
@@ -384,7 +383,6 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) to one row per row: doc_id, n_shingles, component_id."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(set_table(docs, shingle_order(docs, width), width, percent), "sets")
     key = ["n", "set_key"]

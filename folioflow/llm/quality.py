@@ -25,11 +25,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._common import small_batches, table
+from ._arrow import map_slices
+from ._common import table
 from ._shingles import block_words, blocks
 
 #: Bound of the labelled documents that are fitted on the driver.
@@ -251,13 +253,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> M
 def with_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted (1: good) for the whole text of every row."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(score_texts(model, b), dtype="float64")
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+        for part in parts:
+            yield {"score": pa.array(score_texts(model, part.column("text").to_pylist()), pa.float64())}
 
-    small_batches(docs.sparkSession)
-    out = docs.withColumn("score", score(F.col("text")))
+    out = map_slices(docs, "text", score, StructType().add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -34,10 +34,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from ._common import small_batches, table
+from ._arrow import map_slices
+from ._common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -389,16 +392,6 @@ class Codec:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-def slices(texts: pd.Series) -> Iterator[pd.Series]:
-    """Runs of texts of about SLICE characters."""
-    size = texts.str.len().fillna(0).to_numpy().cumsum()
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right")))
-        yield texts.iloc[at:to]
-        at = to
-
-
 _codecs: dict[bytes, Codec] = {}
 
 
@@ -417,21 +410,17 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, column: str = "text",
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf("struct<ids: array<int>, round_trip: boolean>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(parts: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         own = codec(model.value)
-        for b in batches:
-            for texts in slices(b):
-                ids, ends, same = own.encode_all(texts)
-                lists = pd.Series([*np.split(ids, ends)[:-1]], dtype=object)
-                yield pd.DataFrame({"ids": lists, "round_trip": pd.Series(same if verify else [None] * len(same), dtype="boolean")})
+        for part in parts:
+            ids, ends, same = own.encode_all(part.column(column).to_pylist())
+            made = {"ids": pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids, pa.int32()))}
+            yield made | ({"round_trip": pa.array(same, pa.bool_())} if verify else {})
         own.forget()  # the worker lives on and does other work
 
-    out = docs.withColumn("__encoded", encoded(F.col(column))).withColumn("ids", F.col("__encoded.ids"))
-    out = out.withColumn("n_tokens", F.size("ids"))
-    return (out.withColumn("round_trip", F.col("__encoded.round_trip")) if verify else out).drop("__encoded")
+    added = StructType().add("ids", ArrayType(IntegerType()))
+    out = map_slices(docs, column, encoded, added.add("round_trip", "boolean") if verify else added, SLICE)
+    return out.withColumn("n_tokens", F.size("ids"))
 
 
 def decode(rows: DataFrame, model_path: str = MODEL_PATH, column: str = "ids") -> DataFrame:
