@@ -67,7 +67,8 @@ def with_places(docs: DataFrame) -> DataFrame:
 
 # The heading of a reference section, a numbered entry, the parts of an entry, an entry by author and year.
 SECTION = r"(?i)(?:References|Bibliography|Works\s+Cited|Literature\s+Cited)\s*\n([\s\S]*)$"
-REFERENCE_LINE = r"(?m)^[\[(]?(\d+)[\]).]\s*([A-Z][^\n]*?\(\d{4}\)[^\n]*)$"
+ENTRY_START = r"(?m)^([\[(]?\d+[\]).]\s)"
+REFERENCE = r"^[\[(]?(\d+)[\]).]\s*([A-Z].*?\(\d{4}\).*)$"
 ENTRY = r"^(.*?)\s*\((\d{4})\)\.\s*([^.]+)"
 AUTHOR_YEAR = (
     r"(?m)^([A-Z][a-zA-Z\-']+(?:,\s*[A-Z]\.(?:\s*[A-Z]\.)*)?(?:(?:,\s*&?\s*|\s+(?:&|and)\s+)[A-Z][a-zA-Z\-']+(?:,\s*[A-Z]\.(?:\s*[A-Z]\.)*)?)*)"
@@ -82,10 +83,13 @@ def references(docs: DataFrame) -> DataFrame:
     section = F.regexp_extract("text", SECTION, 1)
     get = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
     cut = docs.select("doc_id", F.when(section != "", section).otherwise(F.col("text")).alias("section"))
-    numbered = F.arrays_zip(get("section", REFERENCE_LINE, 1).alias("n"), get("section", REFERENCE_LINE, 2).alias("raw"))
-    cut = cut.withColumn("numbered", numbered)
-    some = lambda p, g: F.when(F.regexp_extract("raw", p, g) != "", F.regexp_extract("raw", p, g))
-    rows = cut.select("doc_id", F.explode("numbered").alias("r")).select("doc_id", F.col("r.n").cast("int").alias("ref_no"), "r.raw")
+    # an entry goes from its number to the next one or to an empty line, over as many lines as it takes
+    pieces = F.split(F.regexp_replace("section", ENTRY_START, "\u001e$1"), "\u001e")
+    lines = F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.get(F.split(p, r"\n\s*\n"), F.lit(0)), r"\s+", " ")))
+    cut = cut.withColumn("numbered", F.filter(lines, lambda line: line.rlike(REFERENCE)))
+    some = lambda p, g: F.nullif(F.regexp_extract("raw", p, g), F.lit(""))
+    part = lambda g: F.regexp_extract("r", REFERENCE, g)
+    rows = cut.select("doc_id", F.explode("numbered").alias("r")).select("doc_id", part(1).cast("int").alias("ref_no"), part(2).alias("raw"))
     rows = rows.select("doc_id", "ref_no", "raw", authors(F.regexp_extract("raw", ENTRY, 1)).alias("authors"), some(ENTRY, 2).cast("int").alias("year"), F.trim(some(ENTRY, 3)).alias("title"), some(DOI, 1).alias("doi"), some(URL, 0).alias("url"))
     found = F.arrays_zip(*[get("section", AUTHOR_YEAR, g).alias(n) for g, n in enumerate(("raw", "names", "year", "title"))])
     named = cut.where(F.size("numbered") == 0).select("doc_id", F.posexplode(found).alias("i", "r"))

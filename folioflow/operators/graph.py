@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folioflow.sources.shared import written
 
+#: Letters of the grams by which names are looked up.
+GRAM = 3
+
 # Capitalised words that are no concepts.
 # fmt: off
 COMMON = (
@@ -54,15 +57,28 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.regexp_replace("name", r"\.pdf$", "").alias("label"), F.least(F.lit(30.0), 10 + F.col("chunk_count") / 5).alias("size"))
 
 
+def rarest_grams(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """words (word), grams (gram) of all names: (word, gram), the gram of each word that fewest names hold; words with a gram that no name
+    holds are left out, as no name holds them."""
+    size = F.least(F.length("word"), F.lit(GRAM))
+    of = F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda i: F.substr("word", i, size))
+    held = grams.groupBy("gram").agg(F.count("*").alias("names"))
+    each = words.select("word", F.explode(F.array_distinct(of)).alias("gram")).join(held, "gram", "left")
+    least = each.groupBy("word").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("g"))
+    return least.where("g.names > 0").select("word", F.col("g.gram").alias("gram"))
+
+
 def name_words(names: DataFrame, words: DataFrame) -> DataFrame:
     """names (document, ord, name), words (word): (word, document, ord) where the name holds the word.
 
-    Words and names meet in the word's first three letters, by equality; then the whole word is looked for."""
-    words = words.where("word <> ''").distinct().withColumn("gram", F.left("word", F.lit(3)))
+    A name's grams of up to three letters are an index of it; a word is looked up by its rarest gram, by equality, and
+    only then looked for as a whole."""
+    words = written(words.where("word <> ''").distinct(), "words")
     low = names.select("document", "ord", F.lower("name").alias("low"))
     spots = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr("low", i, n)))))
-    pairs = low.withColumn("gram", F.explode(grams)).join(words, "gram")
+    grams = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr("low", i, n)))))
+    held = written(low.withColumn("gram", F.explode(grams)), "grams")
+    pairs = held.join(rarest_grams(words, held), "gram")
     return pairs.where(F.contains("low", "word")).select("word", "document", "ord")
 
 
@@ -103,6 +119,19 @@ def build(document_nodes: DataFrame, found: DataFrame, related: DataFrame, cited
     return nodes, edges.unionByName(cited.select(F.lit("cites").alias("kind"), text("source"), text("target"), one))
 
 
+def valid_years(papers: DataFrame) -> DataFrame:
+    """Papers with the snapshots that hold them, as an interval: from their year to the last year of all."""
+    last = papers.agg(F.max("year").alias("valid_to"))  # one row
+    return papers.where("year IS NOT NULL").join(F.broadcast(last)).withColumn("valid_from", F.col("year"))
+
+
+def at_snapshots(held: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows with an interval (valid_from, valid_to), once for each of its years, or of those of them that are asked for."""
+    begin = F.col("valid_from") if first is None else F.greatest("valid_from", F.lit(first))
+    end = F.col("valid_to") if last is None else F.least("valid_to", F.lit(last))
+    return held.where(begin <= end).withColumn("snapshot", F.explode(F.sequence(begin, end)))
+
+
 # Where years stand in a text.
 YEAR = r"\b(19[89]\d|20[0-2]\d)\b"
 PUBLISHED = r"(?i)(?:published|publication date|date)[:\s]*(\d{4})"

@@ -79,7 +79,9 @@ def _some(pattern: str, group: int) -> str:
 
 
 REFS = f"""ref0 AS (SELECT doc_id, regexp_extract(text, {s(G.SECTION)}, 1) AS sec FROM citing),
-ref1 AS (SELECT doc_id, unnest(regexp_extract_all(sec, {s(G.REFERENCE_LINE)}, 1))::INT AS ref_no, unnest(regexp_extract_all(sec, {s(G.REFERENCE_LINE)}, 2)) AS raw FROM ref0),
+pieces AS (SELECT doc_id, unnest(string_split(regexp_replace(sec, {s(G.ENTRY_START)}, chr(30) || '\\1', 'g'), chr(30))) AS p FROM ref0),
+entries AS (SELECT doc_id, trim(regexp_replace(string_split_regex(p, '\\n\\s*\\n')[1], '\\s+', ' ', 'g')) AS l FROM pieces),
+ref1 AS (SELECT doc_id, regexp_extract(l, {s(G.REFERENCE)}, 1)::INT AS ref_no, regexp_extract(l, {s(G.REFERENCE)}, 2) AS raw FROM entries WHERE regexp_matches(l, {s(G.REFERENCE)})),
 ref2 AS (SELECT doc_id, unnest(range(1, len(regexp_extract_all(sec, {s(G.AUTHOR_YEAR)}, 0)) + 1))::INT AS ref_no, {", ".join(f"unnest(regexp_extract_all(sec, {s(G.AUTHOR_YEAR)}, {g})) AS {n}" for g, n in enumerate(("raw", "names", "y", "title")))}
   FROM ref0 WHERE doc_id NOT IN (SELECT doc_id FROM ref1)),
 refs AS (SELECT doc_id, ref_no, raw, {_authors(f"regexp_extract(raw, {s(G.ENTRY)}, 1)")} AS authors,
@@ -314,9 +316,7 @@ def i10(spark, d):
 @query("i9_timeline", O.with_(PAP, "spine AS (SELECT unnest(range(min(year), max(year) + 1))::INT AS snapshot FROM papers)", select="SELECT snapshot, id FROM spine JOIN papers ON year <= snapshot"))
 def i9(spark, d):
     p = X.papers(spark, d)
-    last = p.agg(F.min("year").alias("a"), F.max("year").alias("b"))
-    every = p.join(F.broadcast(last)).select("id", "year", F.explode(F.sequence("a", "b")).alias("snapshot"))
-    return every.where("year <= snapshot").select("snapshot", "id")
+    return R.at_snapshots(R.valid_years(p)).select("snapshot", "id")
 
 
 @query("i11_within_years", O.with_(PAP, EDG, select="SELECT src, dst FROM cites JOIN papers a ON a.id = src JOIN papers b ON b.id = dst WHERE a.year BETWEEN 2000 AND 2010 AND b.year BETWEEN 2000 AND 2010"))
