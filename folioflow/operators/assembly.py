@@ -56,6 +56,23 @@ def missing_sections(papers: DataFrame, required: DataFrame) -> DataFrame:
     return all_.join(papers.select("paper_id", "section"), ["paper_id", "section"], "left_anti").select("paper_id", "section")
 
 
+def validated(papers: DataFrame, sections: DataFrame, templates: DataFrame) -> DataFrame:
+    """papers (paper_id, template_id, title, authors, abstract), sections (paper_id, title), templates (template_id, required): (paper_id, error), a
+    row per thing that is wrong; of a paper whose template is unknown nothing else is judged."""
+    known = papers.join(templates.select("template_id", "required"), "template_id", "left")
+    none = F.col("required").isNull()
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    checks = (
+        (none, F.concat(F.lit("Template "), F.coalesce("template_id", F.lit("null")), F.lit(" not found"))), (~none & empty("title"), F.lit("Title is required")),
+        (~none & (F.coalesce(F.size("authors"), F.lit(0)) <= 0), F.lit("At least one author is required")), (~none & empty("abstract"), F.lit("Abstract is required")),
+    )
+    fields = known.select("paper_id", F.explode(F.filter(F.array(*[F.when(wrong, text) for wrong, text in checks]), lambda e: e.isNotNull())).alias("error"))
+    asked = known.select("paper_id", F.explode("required").alias("section"))
+    given = sections.select("paper_id", F.regexp_replace(F.lower("title"), r"\s+", "_").alias("section"))
+    lacking = asked.join(given, ["paper_id", "section"], "left_anti")
+    return fields.unionByName(lacking.select("paper_id", F.concat(F.lit("Required section missing: "), "section").alias("error")))
+
+
 def filled(papers: DataFrame, templates: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Each paper's template with {{NAME}} replaced by its field of that name."""
     out = papers.join(templates, "template_id")

@@ -263,3 +263,85 @@ _N = "(len({0}) - len(replace({0}, '{1}', '')))"
 @query("p3_encoder", O.with_(O.CORPUS, f"c AS (SELECT document_id, {_CUT} AS t FROM corpus)", select="SELECT document_id AS chunk_id, [len(t)::FLOAT, " + ", ".join(f"{_N.format('t', x)}::FLOAT" for x in "aeo") + "] AS embedding FROM c"))
 def p3(spark, d):
     return V.encode(X.corpus(spark, d).select(F.col("document_id").alias("chunk_id"), "text"), letter_shares)
+
+
+_PARTS = """parts AS (SELECT document_id, p::INT AS page_number, substr(text, floor((p - 1) * w)::INT + 1, floor(p * w)::INT - floor((p - 1) * w)::INT) AS t
+  FROM (SELECT document_id, text, greatest(len(text) / page_count, 100) AS w, unnest(range(1, page_count + 1)) AS p FROM corpus))"""
+
+
+@query(
+    "a12_document_markdown",
+    O.with_(
+        O.CORPUS, O.IMAGES, *WQ.SUMMARIES, _PARTS,
+        "body AS (SELECT document_id, string_agg('### Page ' || page_number || chr(10) || chr(10) || t || chr(10) || chr(10), '' ORDER BY page_number) AS b FROM parts WHERE t <> '' GROUP BY document_id)",
+        "shown AS (SELECT document_id, '---' || chr(10) || chr(10) || '## Images' || chr(10) || chr(10) || string_agg('### Image from Page ' || page_number || chr(10) || chr(10) || '![Image](' || image_id || '.png)' || chr(10) || chr(10) || CASE WHEN ocr_text <> '' THEN '**OCR Text:** ' || ocr_text || chr(10) || chr(10) ELSE '' END, '' ORDER BY page_number, image_id || '.png', ocr_text) AS i FROM images GROUP BY document_id)",
+        select="""SELECT document_id, name, '# ' || name || chr(10) || chr(10) || '> **Indexed:** ' || indexed_minute || chr(10) || '> **Pages:** ' || page_count || chr(10) || '> **File Size:** ' || printf('%.1f', floor(file_size / 1024 * 10 + 0.5) / 10) || ' KB'
+  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || summary || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Full Content' || chr(10) || chr(10) || coalesce(b, '') || coalesce(i, '') AS markdown
+FROM corpus JOIN summaries USING (document_id) LEFT JOIN body USING (document_id) LEFT JOIN shown USING (document_id)""",
+    ),
+)
+def a12(spark, d):
+    """Every document's text with summary, pages and pictures, written as JSON lines and read back."""
+    c = WQ.summarised(spark, d).withColumn("indexed_at", F.col("indexed_minute"))
+    pages = c.select("document_id", F.posexplode(T.pages(F.col("text"), F.col("page_count"))).alias("i", "page_text")).withColumn("page_number", F.col("i") + 1)
+    pictures = X.images(spark, d).select("document_id", "page_number", F.concat("image_id", F.lit(".png")).alias("path"), F.lit(None).cast("string").alias("description"), "ocr_text")
+    made, path = sinks.document_markdown(c, pages, pictures), new_path(spark, "markdown")
+    sinks.write_json(made, path)
+    return spark.read.schema(made.schema).json(path)
+
+
+@query(
+    "a14_graph_json",
+    O.with_(O.PAPERS, O.CITES, select="""SELECT 'node' AS part, '{"id":' || id || ',"label":"' || label || '","type":"document"}' AS json FROM papers UNION ALL SELECT 'edge', '{"source":' || src || ',"target":' || dst || ',"weight":1.0}' FROM cites"""),
+)
+def a14_graph(spark, d):
+    """The graph of papers as JSON, an object per node and edge."""
+    nodes = X.papers(spark, d).select(F.lit("node").alias("part"), F.to_json(F.struct("id", "label", F.lit("document").alias("type"))).alias("json"))
+    edges = X.cites(spark, d).select(F.lit("edge").alias("part"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(1.0).alias("weight"))).alias("json"))
+    return nodes.unionByName(edges)
+
+
+@query(
+    "a14_answer_json",
+    O.with_(
+        GQ.ANS, GQ.SRC, GQ.SENT, GQ.CONF, "mk AS (SELECT answer_id, sentence_index, ' ' || string_agg('[' || number || ']', '' ORDER BY number) AS m FROM (SELECT DISTINCT m.answer_id, m.sentence_index, x.number FROM mark m JOIN numbered x USING (answer_id, n)) GROUP BY ALL)",
+        "fmt AS (SELECT answer_id, string_agg(text || coalesce(m, ''), ' ' ORDER BY sentence_index) AS answer FROM sent LEFT JOIN mk USING (answer_id, sentence_index) GROUP BY answer_id)",
+        "sums AS (SELECT a.answer_id, count(DISTINCT document_id) AS documents, coalesce(round(avg(confidence), 6), 0) AS mean FROM answers a LEFT JOIN conf USING (answer_id) GROUP BY a.answer_id)",
+        select="SELECT answer_id, to_json({'formattedAnswer': answer, 'rawAnswer': a.text, 'metadata': {'documents': documents, 'confidence': round(100 * mean)::BIGINT}})::VARCHAR AS json FROM fmt JOIN answers a USING (answer_id) JOIN sums USING (answer_id)",
+    ),
+)
+def a14_answer(spark, d):
+    """Every cited answer as JSON: formatted, raw, documents used and confidence in per cent."""
+    a, sources = X.answers(spark, d), X.answer_sources(spark, d)
+    rows = S.formatted(a, sources).join(a.select("answer_id", F.col("text").alias("rawAnswer")), "answer_id").join(S.summary(a, sources), "answer_id")
+    about = F.struct("documents", F.round(100 * F.col("mean_confidence")).cast("long").alias("confidence")).alias("metadata")
+    return rows.select("answer_id", F.to_json(F.struct(F.col("answer").alias("formattedAnswer"), "rawAnswer", about)).alias("json"))
+
+
+_TEMPLATES = "[" + ", ".join(f"'{t[0]}'" for t in L.TEMPLATES) + ", 'no-such']"
+_REQUIRED = "required AS (SELECT * FROM (VALUES " + ", ".join(f"('{t[0]}', '{r}')" for t in L.TEMPLATES for r in t[3]) + ") v(template_id, section))"
+_HEADINGS = ("Abstract", "Introduction", "Related  Work", "Results", "Conclusion")
+
+
+@query(
+    "l10_validation",
+    O.with_(
+        f"p AS (SELECT DISTINCT conv_id AS paper_id, {_TEMPLATES}[conv_id % 6 + 1] AS template_id, conv_id % 5 = 0 AS untitled, conv_id % 3 = 0 AS unsigned, conv_id % 4 = 0 AS plain FROM conversations)",
+        f"s AS (SELECT DISTINCT conv_id AS paper_id, regexp_replace(lower([{', '.join(repr(h) for h in _HEADINGS)}][turn % 5 + 1]), '\\s+', '_', 'g') AS section FROM conversations)", _REQUIRED,
+        "k AS (SELECT * FROM p WHERE template_id <> 'no-such')",
+        select="""SELECT paper_id, 'Template ' || template_id || ' not found' AS error FROM p WHERE template_id = 'no-such' UNION ALL SELECT paper_id, 'Title is required' FROM k WHERE untitled
+UNION ALL SELECT paper_id, 'At least one author is required' FROM k WHERE unsigned UNION ALL SELECT paper_id, 'Abstract is required' FROM k WHERE plain
+UNION ALL SELECT paper_id, 'Required section missing: ' || section FROM k JOIN required USING (template_id) WHERE (paper_id, section) NOT IN (SELECT (paper_id, section) FROM s)""",
+    ),
+)
+def l10_validation(spark, d):
+    """Papers with the turns of a conversation as sections, checked against their templates, of which one is unknown."""
+    c = X.table(spark, d, "conversations")
+    pick = lambda names, i: F.get(F.array(*[F.lit(n) for n in names]), i.cast("int"))
+    n = F.col("conv_id")
+    papers = c.select("conv_id").distinct().select(
+        n.alias("paper_id"), pick([*(t[0] for t in L.TEMPLATES), "no-such"], n % 6).alias("template_id"), F.when(n % 5 != 0, "A title").alias("title"),
+        F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("A. Author"))).alias("authors"), F.when(n % 4 == 0, "").otherwise("It is about").alias("abstract"),
+    )
+    sections = c.select(n.alias("paper_id"), pick(_HEADINGS, F.col("turn") % 5).alias("title"))
+    return L.validated(papers, sections, L.templates(spark))

@@ -13,6 +13,8 @@ from folioflow.operators import keyword as K
 from folioflow.operators import vector as V
 from folioflow.plans import fixtures as X
 from folioflow.plans import oracle as O
+from folioflow.sources import discovery, sinks
+from folioflow.sources.shared import new_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -71,25 +73,52 @@ def a7(spark, d):
     return P.patch(docs, new, "document_id").drop("ord")
 
 
-@query("a10_batch_outcome", "SELECT CASE WHEN length(text) < 200 THEN 'failed' ELSE 'processed' END AS status, count(*) AS n FROM documents GROUP BY 1")
-def a10(spark, d):
-    status = F.when(F.length("text") < 200, "failed").otherwise("processed")
-    return X.table(spark, d, "documents").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+_BEFORE = """listed AS (SELECT '/corpus/' || source || '/' || doc_id AS path, doc_id AS modified, n_chars AS length, lang FROM documents),
+old AS (SELECT path, CASE WHEN lang = 'en' THEN modified - 1 ELSE modified END AS m, length AS l FROM listed WHERE lang <> 'de' UNION ALL SELECT path || '.old', modified, length FROM listed WHERE lang = 'fr')"""
 
 
-@query("a11_vector_export", "SELECT vec_id AS id, len(embedding)::INT AS dims FROM embeddings")
-def a11(spark, d):
-    both = X.vectors(spark, d).withColumn("version", F.lit(1)).unionByName(X.vectors(spark, d).withColumn("version", F.lit(2)))
-    return P.latest(both, "vec_id", F.desc("version")).select(F.col("vec_id").alias("id"), F.size("embedding").alias("dims"))
+@query(
+    "a2_file_changes",
+    O.with_(_BEFORE, select="""SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'gone' ELSE 'changed' END AS change, coalesce(length, l) AS length
+FROM listed n FULL JOIN old o ON n.path = o.path WHERE o.path IS NULL OR n.path IS NULL OR m <> modified OR l <> length"""),
+)
+def a2(spark, d):
+    """Two listings of the documents: English ones have changed since the first, German ones have come, some others have gone."""
+    now = X.table(spark, d, "documents").select(F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("modified"), F.col("n_chars").alias("length"), "lang")
+    old = now.where("lang <> 'de'").withColumn("modified", F.col("modified") - F.when(F.col("lang") == "en", 1).otherwise(0))
+    gone = now.where("lang = 'fr'").withColumn("path", F.concat("path", F.lit(".old")))
+    return discovery.difference(old.unionByName(gone), now).select("path", "change", "length")
+
+
+#: The files of the batch: whole documents, without their text in one language, and cut within a letter in another.
+_FILES = """files AS (SELECT doc_id, lang, CASE lang WHEN 'es' THEN NULL WHEN 'de' THEN '  ' ELSE text END AS t, strlen(text) AS length FROM documents)"""
 
 
 @query(
-    "a12_document_markdown",
-    O.with_(C, select="SELECT document_id, '# ' || name || chr(10) || 'Pages: ' || page_count || chr(10) || chr(10) || text AS markdown FROM corpus"),
-)
-def a12(spark, d):
-    c = X.corpus(spark, d)
-    return c.select("document_id", F.concat(F.lit("# "), "name", F.lit("\nPages: "), F.col("page_count").cast("string"), F.lit("\n\n"), "text").alias("markdown"))
+    "a10_batch_outcome",
+    O.with_(_FILES, """judged AS (SELECT CASE WHEN length > 20971 THEN 'larger than 0.02 MB' WHEN t IS NULL THEN 'can''t be read' WHEN NOT regexp_matches(t, '\\S') THEN 'holds no text'
+  WHEN lang = 'fr' AND contains(t, 'é') THEN 'is no UTF-8 text' END AS reason FROM files)""", select="SELECT CASE WHEN reason IS NULL THEN 'processed' ELSE 'failed' END AS status, reason, count(*) AS n FROM judged GROUP BY ALL"),
+)
+def a10(spark, d):
+    """A batch in which files are too large, unreadable, empty or broken: each is refused with its reason, the rest goes on."""
+    docs = X.table(spark, d, "documents")
+    # letters of French files are broken: what follows the first byte of a letter is lost
+    broken = F.unhex(F.replace(F.hex(F.col("text").cast("binary")), F.lit("C3A9"), F.lit("C3")))
+    content = F.when(F.col("lang") == "es", F.lit(None)).when(F.col("lang") == "de", F.encode(F.lit("  "), "UTF-8")).when((F.col("lang") == "fr") & F.contains("text", F.lit("é")), broken).otherwise(F.encode("text", "UTF-8"))
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("length"), content.alias("content"))
+    good, bad = discovery.take_in(files, 0.02)
+    quarantine = new_path(spark, "quarantine")
+    bad.write.parquet(quarantine)
+    return discovery.outcome(good, spark.read.schema(bad.schema).parquet(quarantine))
+
+
+@query("a11_vector_export", "SELECT vec_id AS id, len(embedding)::INT AS dims, round(embedding[1]::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 6) AS first FROM embeddings")
+def a11(spark, d):
+    """Every third vector is written to files in a new version, and read back into the table of all."""
+    v, path = _items(spark, d), new_path(spark, "vectors")
+    sinks.export_vectors(v.where("id % 3 = 0").select("id", F.transform("embedding", lambda x: (2 * x).cast("float")).alias("embedding")), path)
+    both = sinks.import_vectors(spark, path, v)
+    return both.select("id", F.size("embedding").alias("dims"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
 @query("a14_json_export", O.with_(H, select="SELECT id, '{\"id\":\"' || id || '\",\"page\":' || page_number || ',\"color\":\"' || color || '\"}' AS json FROM highlights"))

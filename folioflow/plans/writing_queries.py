@@ -47,26 +47,39 @@ def a15(spark, d):
 _XML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
+def _line_rows(parts: tuple[str | None, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{line}'" for part in parts if part for line in part.split("\n"))
+
+
+_EDGES = "numbered AS (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS n FROM cites)"
+
+
 @query(
     "a18_graphml",
-    O.with_(O.PAPERS, O.CITES, select=f"""SELECT '<node id="' || id || '"><data key="label">' || {_XML.format("label")} || '</data></node>' AS line FROM papers
-UNION ALL SELECT '<edge id="' || src || '-' || dst || '" source="' || src || '" target="' || dst || '"><data key="type">cites</data></edge>' FROM cites"""),
-)
+    O.with_(O.PAPERS, O.CITES, _EDGES, select=f"""SELECT '<node id="' || id || '"><data key="label">' || {_XML.format("label")} || '</data><data key="type">document</data></node>' AS line FROM papers
+UNION ALL SELECT '<edge id="e' || n || '" source="' || src || '" target="' || dst || '"><data key="weight">1.0</data></edge>' FROM numbered UNION ALL {_line_rows(sinks.GRAPHML)}"""),
+)
 def a18(spark, d):
-    path = new_path(spark, "graphml")
-    e = X.cites(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("cites").alias("kind"))
-    sinks.write_xml_body(sinks.graphml(X.papers(spark, d), e), path)
+    """The graph of papers as one file, read back line by line."""
+    path = new_path(spark, "graph") + ".graphml"
+    sinks.write_single(sinks.graphml(*_paper_graph(spark, d)), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query(
     "a19_gexf",
-    O.with_(O.PAPERS, O.CITES, select=f"""SELECT '<node id="' || id || '" label="' || {_XML.format("label")} || '"/>' AS line FROM papers
-UNION ALL SELECT '<edge id="' || src || '-' || dst || '" source="' || src || '" target="' || dst || '"/>' FROM cites"""),
-)
+    O.with_(O.PAPERS, O.CITES, _EDGES, select=f"""SELECT '<node id="' || id || '" label="' || {_XML.format("label")} || '"/>' AS line FROM papers
+UNION ALL SELECT '<edge id="' || n || '" source="' || src || '" target="' || dst || '" weight="1.0"/>' FROM numbered UNION ALL {_line_rows(sinks.GEXF)}"""),
+)
 def a19(spark, d):
-    e = X.cites(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"))
-    return sinks.gexf(X.papers(spark, d), e).select("line")
+    path = new_path(spark, "graph") + ".gexf"
+    sinks.write_single(sinks.gexf(*_paper_graph(spark, d)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _paper_graph(spark, d):
+    edges = X.cites(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(1.0).alias("weight"))
+    return X.papers(spark, d).select("id", "label", F.lit("document").alias("kind")), edges
 
 
 def _hits(spark, d, k):
