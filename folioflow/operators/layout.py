@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.sources.shared import written
 
 #: Positions of a page are compared within buckets of so many characters.
 BUCKET = 2000
@@ -120,13 +121,29 @@ def chunk_places(chunks: DataFrame, pages: DataFrame, head: int = 100) -> DataFr
     return whole.unionByName(places(F.left("text", F.lit(head)), rest))
 
 
+def page_candidates(asked: DataFrame, pages: DataFrame, least: float) -> DataFrame:
+    """asked (document_id, chunk_id, a), pages (document_id, page_number, b), arrays of distinct words: (document_id, chunk_id, page_number) of
+    all pairs that can reach a Jaccard similarity of ``least``, with few others.
+
+    Of n words at least n * least are on such a page, so one of the others and one more: the rarest of them in
+    the document are looked up.  A page of very many more or fewer words can't reach it either."""
+    spread = pages.select("document_id", "page_number", F.size("b").alias("nb"), F.explode("b").alias("word"))
+    often = spread.groupBy("document_id", "word").agg(F.count("*").alias("often"))
+    words = asked.select("document_id", "chunk_id", F.size("a").alias("na"), F.explode("a").alias("word")).join(often, ["document_id", "word"], "left")
+    place = F.row_number().over(Window.partitionBy("document_id", "chunk_id").orderBy(F.coalesce("often", F.lit(0)), "word"))
+    prefix = words.withColumn("place", place).where(F.col("place") <= F.col("na") - F.ceil(F.col("na") * least - 1e-9) + 1).where("often IS NOT NULL")
+    near = prefix.join(spread, ["document_id", "word"]).where((F.col("nb") >= F.col("na") * least - 1e-9) & (F.col("nb") * least <= F.col("na") + 1e-9))
+    return near.select("document_id", "chunk_id", "page_number").distinct()
+
+
 def best_pages(chunks: DataFrame, pages: DataFrame, sure: float = 0.8, least: float = 0.3) -> DataFrame:
     """chunks (document_id, chunk_id, hint, text), pages (document_id, page_number, page_text): (chunk_id, page_number, score) of
     the page with most words in common with the chunk's beginning (Jaccard); the hinted page if it is ``sure`` enough or
     ties; none under ``least``."""
     words = lambda c: F.array_distinct(F.split(T.normalized(c), r"\s+"))
-    asked = chunks.select("document_id", "chunk_id", "hint", words(F.left("text", F.lit(200))).alias("a"))
-    rows = asked.join(pages.select("document_id", "page_number", words(F.col("page_text")).alias("b")), "document_id")
+    asked = written(chunks.select("document_id", "chunk_id", "hint", words(F.left("text", F.lit(200))).alias("a")), "asked")
+    own = written(pages.select("document_id", "page_number", words(F.col("page_text")).alias("b")), "pages")
+    rows = page_candidates(asked, own, least).join(asked, ["document_id", "chunk_id"]).join(own, ["document_id", "page_number"])
     hinted = F.col("page_number") == F.col("hint")
     rows = rows.select("chunk_id", "page_number", hinted.alias("hinted"), T.jaccard(F.col("a"), F.col("b")).alias("score"))
     order = Window.partitionBy("chunk_id").orderBy(F.desc(F.col("hinted") & (F.col("score") > sure)), F.desc("score"), F.desc("hinted"), "page_number")

@@ -136,5 +136,8 @@ def answer_sources(spark: SparkSession, d: str) -> DataFrame:
     (an answer whose document is not there has none)."""
     last = table(spark, d, "documents").agg(F.max("doc_id").alias("last"))  # one row
     a = answers(spark, d).join(F.broadcast(last)).select("answer_id", F.concat(F.lit("doc_"), (F.col("conv_id") * 7 % (F.col("last") + 1)).cast("string")).alias("document_id"))
-    first = chunks(spark, d).where("chunk_index < 3").select("document_id", (F.col("chunk_index") + 1).alias("n"), "chunk_id", "text")
+    # only documents that are asked for are cut
+    wanted = corpus(spark, d).join(a.select("document_id").distinct(), "document_id", "left_semi")
+    cut = T.chunked(wanted.select("document_id", F.lit(1).alias("page_number"), F.col("text").alias("page_text")))
+    first = cut.where("chunk_index < 3").select("document_id", (F.col("chunk_index") + 1).alias("n"), "chunk_id", "text")
     return a.join(first, "document_id").select("answer_id", "n", "document_id", "chunk_id", "text")
