@@ -47,7 +47,7 @@ SPACE = "▁"
 #: Steps between automaton nodes and pairs of pieces that a worker remembers.
 CACHE = 60_000
 #: Stretches, and ids of stretches, that a worker remembers before it forgets them all; longer ones it never remembers.
-STRETCHES, STRETCH_IDS, LONG = 100_000, 1_000_000, 200
+STRETCHES, STRETCH_IDS, LONG = 300_000, 3_000_000, 200
 #: Characters of the texts whose ids are held at a time (a longer text is held by itself).
 SLICE = 250_000
 #: Texts decoded at a time.
