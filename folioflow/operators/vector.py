@@ -1,8 +1,9 @@
-"""Vectors: cosine, exact nearest rows, hashing encoder, hybrid ranking, similar pairs by blocks."""
+"""Vectors: cosine, hashing encoder, hybrid ranking; exact nearest rows and similar pairs by cells that bounds leave out."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.sources.shared import written
 
 #: Rows of a block of vectors; a task holds two blocks and the product of them.
 BLOCK = 2048
 DIMS = 64
+#: Cells at most, rows of a cell on average at least, vectors that fit the centres at most.
+CELLS, LEAST, SAMPLE = 256, 512, 4096
+#: Bounds are held against scores of six decimals.
+SLACK = 2e-6
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,40 +60,153 @@ def encode(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray], words:
     return chunks.select("chunk_id", run(T.truncated(F.col("text"), words)).alias("embedding"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries (query_id, embedding), vectors (id, embedding): the k most similar rows of each query, exactly.
-
-    Rows of both sides are dealt to blocks of bounded size; each pair of blocks is one matrix product,
-    of which k rows per query are kept.  Vectors that are null or hold null, NaN or infinite components take no part."""
-    queries, vectors = queries.where(comparable("embedding")), vectors.where(comparable("embedding"))
-    counts = vectors.agg(F.count("*").alias("n")).first()["n"], queries.agg(F.count("*").alias("n")).first()["n"]
-    v_blocks, q_blocks = (max(1, -(-n // BLOCK)) for n in counts)
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = queries.select(every(v_blocks).alias("v"), deal("query_id", q_blocks).alias("q"), F.col("query_id"), "embedding")
-    b = vectors.select(deal("id", v_blocks).alias("v"), every(q_blocks).alias("q"), F.col("id"), "embedding")
-
-    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+@dataclass(frozen=True)
+class Cells:
+    """Vectors, each in the cell of its nearest centre; the last cell holds vectors of length zero."""
+
+    rows: DataFrame  # id, embedding, cell, angle
+    centres: np.ndarray
+    counts: np.ndarray  # rows of each cell
+    radii: np.ndarray  # largest angle between a centre and a row of its cell
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """For unit (or zero) rows and each cell, no cosine with a row of the cell is larger (triangle inequality of angles)."""
+        if not len(self.centres):
+            return np.zeros((len(x), 1))
+        angle = np.arccos(np.clip(x @ self.centres.T, -1, 1))
+        top = np.cos(np.clip(angle - self.radii[:-1], 0, np.pi))
+        top[~x.any(axis=1)] = 0
+        return np.hstack([top, np.zeros((len(x), 1))])
+
+
+def _units(embeddings: pd.Series) -> np.ndarray:
+    """Rows of length one in double precision; a zero vector stays zero."""
+    x = np.stack(embeddings.to_numpy()).astype(np.float64)
+    # scaled by powers of two first, which changes no digit, so that no square is too large or too small
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def _centres(x: np.ndarray, n: int) -> np.ndarray:
+    """At most n centres: each first one is the row farthest from those before it, then they move to the means of their rows."""
+    x = x[x.any(axis=1)]
+    if not len(x):
+        return x
+    picks, near = [0], x @ x[0]
+    while len(picks) < min(n, len(x)) and near.min() < 1 - 1e-9:
+        picks.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[picks[-1]])
+    c = x[picks]
+    for _ in range(5):
+        sums = np.zeros_like(c)
+        np.add.at(sums, (x @ c.T).argmax(axis=1), x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
+    return c
+
+
+def in_cells(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> Cells:
+    """vectors (id, embedding) in at most ``cells`` cells.  Centres are fitted on the driver on at most ``sample`` vectors, those
+    with the least hash of their id; every vector is in a cell.  Null vectors and those with null, NaN or infinite components are left out."""
+    held = written(vectors.where(comparable("embedding")).select("id", "embedding"), "vectors")
+    total = held.count()
+    chosen = held.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()["embedding"]
+    centres = _centres(_units(chosen), max(1, min(cells, total // LEAST))) if total else np.zeros((0, 0))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if not len(d):
+                continue
+            x = _units(d["embedding"])
+            cell, angle = np.full(len(x), len(centres)), np.zeros(len(x))
+            some = x.any(axis=1)
+            if some.any():
+                near = x[some] @ centres.T
+                cell[some], angle[some] = near.argmax(axis=1), np.arccos(np.clip(near.max(axis=1), -1, 1))
+            yield d.assign(cell=cell.astype(np.int32), angle=angle)
+
+    kinds = dict(held.dtypes)
+    rows = held.mapInPandas(place, f"id {kinds['id']}, embedding {kinds['embedding']}, cell int, angle double")
+    counts, radii = np.zeros(len(centres) + 1, np.int64), np.zeros(len(centres) + 1)
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # a row per cell
+        counts[r.cell], radii[r.cell] = r.n, r.radius
+    return Cells(rows, centres, counts, radii)
+
+
+def visits(rows: DataFrame, cells: Cells, choose: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """rows (with embedding) once for every ``cell`` that they must be compared with: ``choose`` says which, from the rows, the cells'
+    bounds and their counts."""
+    bounds, counts = replace(cells, rows=None).bounds, cells.counts  # tasks take no DataFrame
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                wanted = choose(d, bounds(_units(d["embedding"])), counts) & (counts > 0)
+                yield d.assign(visits=[np.flatnonzero(w).astype(np.int32) for w in wanted])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInPandas(run, f"{fields}, visits array<int>").select(*rows.columns, F.explode("visits").alias("cell"))
+
+
+def _meet(came: DataFrame, name: str, cells: Cells, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Compares visitors (name, embedding, cell, ...) with the rows of their cells.  Cells with many rows or visitors are split
+    by hashes, so a task holds two blocks of about BLOCK rows and their product."""
+    sizes = [(r.cell, -(-int(cells.counts[r.cell]) // BLOCK), -(-r.n // BLOCK)) for r in came.groupBy("cell").agg(F.count("*").alias("n")).collect()]  # a row per cell
+    parts = F.broadcast(came.sparkSession.createDataFrame(sizes, "cell int, parts int, shares int"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = [c for c in came.columns if c != "cell"]
+    a = came.join(parts, "cell").select("cell", every("parts").alias("part"), deal(name, "shares").alias("share"), *rest)
+    b = cells.rows.join(parts, "cell").select("cell", deal("id", "parts").alias("part"), every("shares").alias("share"), "id", "embedding")
+    key = ("cell", "part", "share")
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(compare, schema)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | Column) -> DataFrame:
+    """queries (query_id, embedding), vectors (id, embedding): the k most similar rows of each query, exactly; k may be a column of queries.
+
+    A query first meets the nearest cells that together hold k rows.  Its k-th score there is a floor: of the other cells it
+    meets those whose bound reaches the floor.  Vectors that are null or hold null, NaN or infinite components take no part;
+    a zero vector has the cosine 0 with all."""
+    cells = in_cells(vectors)
+    asked = written(queries.where(comparable("embedding")).select("query_id", "embedding", (k if isinstance(k, Column) else F.lit(k)).cast("int").alias("k")), "asked")
+    kinds = dict(asked.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+
+    def seeds(d: pd.DataFrame, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        before = np.cumsum(counts[order], axis=1) - counts[order]
+        taken = np.zeros(bounds.shape, bool)
+        np.put_along_axis(taken, order, before < d["k"].to_numpy()[:, None], axis=1)
+        return taken
+
+    def others(d: pd.DataFrame, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return ~seeds(d, bounds, counts) & (bounds >= d["floor"].fillna(-2).to_numpy()[:, None] - SLACK)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        x, y = (np.stack(s["embedding"].to_numpy()).astype(np.float64) for s in (left, right))
-        with np.errstate(all="ignore"):  # a zero vector is like none
-            x, y = (np.nan_to_num(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y))
-        score = np.round(x @ y.T, 6) + 0.0
+            return pd.DataFrame({"query_id": [], "id": [], "score": [], "k": []})
+        score = np.round(_units(left["embedding"]) @ _units(right["embedding"]).T, 6) + 0.0
         ids = right["id"].to_numpy()
-        best = [np.lexsort((ids, -s))[:k] for s in score]
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), [len(o) for o in best]), "id": np.concatenate([ids[o] for o in best]), "score": np.concatenate([s[o] for s, o in zip(score, best)])})
+        best = [np.lexsort((ids, -s))[:n] for s, n in zip(score, left["k"])]
+        sizes = [len(o) for o in best]
+        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), sizes), "id": np.concatenate([ids[o] for o in best]), "score": np.concatenate([s[o] for s, o in zip(score, best)]), "k": np.repeat(left["k"].to_numpy(), sizes)})
 
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
-    out = a.groupBy("v", "q").cogroup(b.groupBy("v", "q")).applyInPandas(pairs, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double, k int"
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = _meet(visits(asked, cells, seeds), "query_id", cells, compare, schema)
+    first = written(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")), "seeds")
+    floors = first.where("rank = k").select("query_id", F.col("score").alias("floor"))
+    rest = _meet(visits(asked.join(floors, "query_id", "left"), cells, others), "query_id", cells, compare, schema)
+    both = first.drop("rank").unionByName(rest)
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).drop("k")
 
 
 def similar_passages(queries: DataFrame, vectors: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
-    """The k nearest that are not among the query's excluded (query_id, id): k plus the exclusions are fetched."""
-    most = excluded.groupBy("query_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    found = nearest(queries, vectors, k + most).join(excluded, ["query_id", "id"], "left_anti").drop("rank")
+    """The k nearest that are not among the query's excluded (query_id, id): each query fetches k plus its own exclusions."""
+    more = excluded.groupBy("query_id").agg(F.count("*").alias("more"))
+    asked = queries.select("query_id", "embedding").join(more, "query_id", "left")
+    found = nearest(asked, vectors, k + F.coalesce("more", F.lit(0))).join(excluded, ["query_id", "id"], "left_anti").drop("rank")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -103,25 +222,23 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, k: int, keyword_weight: floa
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """vectors (id, embedding): all pairs a < b with cosine above ``least``, by products of pairs of blocks, without
-    those that are null or hold null, NaN or infinite components."""
-    vectors = vectors.where(comparable("embedding"))
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = vectors.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "embedding")
-
-    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(cell["embedding"].to_numpy()).astype(np.float64)
-        with np.errstate(all="ignore"):
-            x = np.nan_to_num(x / np.linalg.norm(x, axis=1, keepdims=True))
-        ids, own, i, j = (cell[c].to_numpy() for c in ("id", "own", "i", "j"))
-        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-        score = np.round(x[left] @ x[right].T, 6)
+    """vectors (id, embedding): all pairs a < b with cosine above ``least``, exactly.  A vector meets its own cell and the later
+    cells whose bound exceeds ``least``.  Vectors that are null or hold null, NaN or infinite components take no part."""
+    cells = in_cells(vectors)
+    rows = cells.rows.select(F.col("id").alias("other"), F.col("cell").alias("own"), "embedding")
+
+    def later(d: pd.DataFrame, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (bounds > least - SLACK) & (np.arange(bounds.shape[1]) >= d["own"].to_numpy()[:, None])
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "score": []})
+        score = np.round(_units(left["embedding"]) @ _units(right["embedding"]).T, 6)
         r, c = np.nonzero(score > least)
-        a, b, s = ids[left[r]], ids[right[c]], score[r, c]
-        keep = a < b if i[0] == j[0] else a != b
+        a, b, s = left["other"].to_numpy()[r], right["id"].to_numpy()[c], score[r, c]
+        # within a cell a pair is met from both sides
+        keep = np.where(left["own"].to_numpy()[r] == right["cell"].to_numpy()[c], a < b, a != b).astype(bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[keep]})
 
     kind = dict(vectors.dtypes)["id"]
-    return cells.groupBy("i", "j").applyInPandas(pairs, f"a {kind}, b {kind}, score double")
+    return _meet(visits(rows, cells, later), "other", cells, compare, f"a {kind}, b {kind}, score double")
