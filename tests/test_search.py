@@ -67,3 +67,12 @@ def test_capped_content_marks_what_is_cut(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.content for r in table_queries.QUERIES["c9_capped_content"](spark, str(tmp_path)).collect()}
     assert got == {0: texts[0], 1: "b" * 50_000 + "\n[truncated]", 2: "short"}
+
+
+def test_one_query_that_finds_nothing_in_some_cells(spark, monkeypatch):
+    """A cell in which no chunk reaches the floor of its only query gives no row, of the right types."""
+    monkeypatch.setattr(K, "CELL_CHUNKS", 4)
+    chunks = rows() + [(f"far{i}", "d9", "word3 " + " ".join(f"other{j}" for j in range(20))) for i in range(40)]
+    ix = K.index(spark.createDataFrame([(*c, 1) for c in chunks], "chunk_id string, document_id string, text string, page_number int"))
+    got = K.search(ix, spark.createDataFrame([("q", chunks[5][2])], "query_id string, query string"), 2).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == [c for _, c, _ in brute_search(chunks, chunks[5][2], 2)]

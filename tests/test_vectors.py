@@ -107,3 +107,11 @@ def test_bounds_leave_out_most_cells_of_clustered_vectors(spark, monkeypatch):
     compared = sum(r["count"] * int(cells.counts[r.cell]) for r in met)
     assert compared < 0.1 * len(x) ** 2, compared / len(x) ** 2
     assert cells.counts.sum() == len(x) and len(cells.centres) > 30
+
+
+def test_blocks_that_stay_empty_with_text_ids(spark, monkeypatch):
+    """Blocks of a cell to which hashes deal no row; ids are strings."""
+    monkeypatch.setattr(V, "BLOCK", 1)
+    rows = [(f"c{i}", [float(i % 3), 1.0]) for i in range(6)]
+    found = V.nearest(spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, embedding array<float>"), spark.createDataFrame(rows, "id string, embedding array<float>"), 2)
+    assert [r.id for r in found.orderBy("rank").collect()] == ["c1", "c4"]
