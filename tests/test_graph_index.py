@@ -50,3 +50,30 @@ def test_years_as_intervals(spark):
     at = lambda *y: sorted((r.snapshot, r.id) for r in R.at_snapshots(held, *y).collect())
     assert at() == [(2000, 1), (2001, 1), (2002, 1), (2002, 2), (2003, 1), (2003, 2), (2003, 4)]
     assert at(2001, 2002) == [(2001, 1), (2002, 1), (2002, 2)] and at(2010, 2011) == []
+
+
+def test_only_grams_that_words_hold_are_written(spark, monkeypatch):
+    kept, written = {}, R.written
+
+    def noted(df, name):
+        out = written(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(R, "written", noted)
+    names = [(i, i, f"{i:06d}_other.pdf") for i in range(300)] + [(900, 900, "Smith_1.pdf"), (901, 901, "ab")]
+    got = R.name_words(spark.createDataFrame(names, "document long, ord long, name string"), spark.createDataFrame([("smith",), ("b",)], "word string"))
+    assert sorted((r.word, r.document) for r in got.collect()) == [("b", 901), ("smith", 900)]
+    assert kept["grams"] == 4  # three of smith, one of b
+
+
+def test_texts_are_searched_in_one_step(spark):
+    texts = [(1, "A (Smith & Jones, 2001) b (Rossi 1999a). [1-2]\nReferences\nSmith, J. (2001). A title. x"), (2, "Only [1], [2, 3]."), (3, "x (Smith 45) (Jones 3-4)\nReferences\n1. Olsen, K. (1990). Work. 10.1234/a."), (4, None), (5, "nothing")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    cited, refs = G.in_text(docs), G.references(docs)
+    assert sorted((r.doc_id, r.style, r.ordinal, r.raw) for r in cited.collect()) == [
+        (1, "apa", 0, "(Smith & Jones, 2001)"), (1, "apa", 1, "(Rossi 1999a)"), (2, "ieee", 0, "[1]"), (2, "ieee", 1, "[2, 3]"), (3, "mla", 0, "(Smith 45)"), (3, "mla", 1, "(Jones 3-4)"),
+    ]
+    assert sorted((r.doc_id, r.ref_no, r.authors, r.year, r.title) for r in refs.collect()) == [(1, 1, ["Smith", "J."], 2001, "A title"), (3, 1, ["Olsen", "K."], 1990, "Work")]
+    for df in (cited, refs):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
