@@ -153,8 +153,7 @@ def e5(spark, d):
 )
 def e6(spark, d):
     ix, q = X.index(spark, d), X.questions(spark, d)
-    pairs = K.base_scores(ix, q).join(ix.chunks.select("chunk_id", F.lower("text").alias("low")), "chunk_id").join(q, "query_id")
-    return pairs.select("query_id", "chunk_id", K.min_distance(F.col("low"), T.tokens(F.col("query"))).alias("distance"))
+    return K.min_distances(K.base_scores(ix, q).select("query_id", "chunk_id"), ix.chunks, q)
 
 
 @query("e7_top_k", O.with_(C, CH, Q, O.POSTINGS, O.base(), "scored AS (SELECT query_id, chunk_id, NULL AS document_id, round(base, 6) AS score FROM base)", O.ranked(5), select="SELECT query_id, rank, chunk_id, score FROM found"))

@@ -76,3 +76,17 @@ def test_one_query_that_finds_nothing_in_some_cells(spark, monkeypatch):
     ix = K.index(spark.createDataFrame([(*c, 1) for c in chunks], "chunk_id string, document_id string, text string, page_number int"))
     got = K.search(ix, spark.createDataFrame([("q", chunks[5][2])], "query_id string, query string"), 2).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == [c for _, c, _ in brute_search(chunks, chunks[5][2], 2)]
+
+
+def test_distances_by_brute_force(spark):
+    chunks = rows() + [("c98", "d1", "Word1 WORD2x wörd word1"), ("c99", "d1", "word7")]
+    asked = [("q1", "word1 word2 word7"), ("q2", "word3 word3"), ("q3", "word29 nowhere")]
+    c, q = spark.createDataFrame(chunks, "chunk_id string, document_id string, text string"), spark.createDataFrame(asked, "query_id string, query string")
+    got = K.min_distances(c.crossJoin(q).select("query_id", "chunk_id"), c, q)
+    want = {}
+    for name, query in asked:
+        for chunk, _, text in chunks:
+            places = sorted(p for p in (text.lower().find(t) for t in tokens(query)) if p >= 0)
+            want[name, chunk] = min((b - a for a, b in zip(places, places[1:])), default=None)
+    assert {(r.query_id, r.chunk_id): r.distance for r in got.collect()} == want
+    assert dict(got.dtypes)["distance"] == "int"
