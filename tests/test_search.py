@@ -90,3 +90,8 @@ def test_distances_by_brute_force(spark):
             want[name, chunk] = min((b - a for a, b in zip(places, places[1:])), default=None)
     assert {(r.query_id, r.chunk_id): r.distance for r in got.collect()} == want
     assert dict(got.dtypes)["distance"] == "int"
+
+
+def test_copies_of_chunks_grow_slowly_with_queries():
+    assert K.cell_grid(1_800_000, 512_000, 48) == (8, 55)  # with blocks of the least size each chunk would be copied 250 times
+    assert K.cell_grid(36_000, 200, 32) == (1, 5) and K.cell_grid(36_000, 10_000, 12) == (3, 4) and K.cell_grid(0, 0, 8) == (1, 1)
