@@ -92,3 +92,14 @@ def test_catch_up(spark, tmp_path):
         assert stored.last_batch(spark, f"{tmp_path}/i") == n and content(stored.open_index(spark, f"{tmp_path}/i")) == want
     added = stored._read(spark, f"{tmp_path}/i", "documents").where("batch = 1").collect()
     assert {(r.document_id, r.op) for r in added} == {("a", "put"), ("b", "delete"), ("d", "put")}
+
+
+def test_search_within_documents_needs_no_chunks_for_scores(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", f"alpha beta word{i}. gamma.") for i in range(9)], "document_id string, text string")
+    stored.save_index(docs, f"{tmp_path}/i")
+    asked = spark.createDataFrame([("q", "d3", "beta word3 word4")], "query_id string, document_id string, query string")
+    ix = stored.open_index(spark, f"{tmp_path}/i")
+    base = K.base_scores(ix, asked, within=True)
+    assert f"{tmp_path}/i/chunks" not in base._jdf.queryExecution().optimizedPlan().toString() and not any("/i/chunks/" in f for f in base.inputFiles())
+    want = K.base_scores(K.index(stored.chunked(docs)), asked, within=True)
+    assert sorted(map(tuple, base.collect())) == sorted(map(tuple, want.collect())) and base.count() == 1
