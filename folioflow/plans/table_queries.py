@@ -14,7 +14,7 @@ from folioflow.operators import vector as V
 from folioflow.plans import fixtures as X
 from folioflow.plans import oracle as O
 from folioflow.sources import discovery, sinks
-from folioflow.sources.shared import new_path
+from folioflow.sources.shared import new_path, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -310,14 +310,10 @@ def hybrid_sql(k: int) -> tuple[str, ...]:
     return (C, CH, Q, O.POSTINGS, O.base(), O.boosted(), O.ranked(2 * k), _HASHED.replace("@2k", str(2 * k)).replace("@k", str(k)))
 
 
-def _semantic(ch, q, k):
-    asked = V.hash_encode(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).withColumnRenamed("chunk_id", "query_id")
-    return V.nearest(asked, V.hash_encode(ch).withColumnRenamed("chunk_id", "id"), k).withColumnRenamed("id", "chunk_id")
-
-
 def hybrid(ix, q, k):
-    """(query_id, chunk_id, score, rank): keyword and semantic search of the queries, blended."""
-    return V.hybrid(K.search(ix, q, 2 * k), _semantic(ix.chunks, q, 2 * k), k)
+    """(query_id, chunk_id, score, rank): keyword and semantic search of the queries, blended.  Written, so that what is joined next
+    goes by its size."""
+    return written(V.hybrid(K.search(ix, q, 2 * k), V.nearest_texts(q, ix.chunks, 2 * k), k), "hybrid")
 
 
 @query("f7_hybrid_search", O.with_(*hybrid_sql(5), select="SELECT query_id, chunk_id, score, rank FROM hybrid"))
