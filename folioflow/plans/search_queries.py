@@ -160,8 +160,7 @@ def e6(spark, d):
 def e7(spark, d):
     from pyspark.sql import Window
 
-    base = K.base_scores(X.index(spark, d), X.questions(spark, d)).select("query_id", "chunk_id", F.round("base", 6).alias("score")).where("score > 0")
-    best = K.top_ranked(base, 5)
+    best = K.best_bases(X.index(spark, d), X.questions(spark, d), 5)
     return best.select("query_id", "rank", "chunk_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("score"))
 
 
