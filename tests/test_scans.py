@@ -1,7 +1,11 @@
 """Searches of few queries read the chunks where they are; the same rows as through postings and cells."""
 
+import random
+
+from folioflow.functions import text as T
 from folioflow.operators import keyword as K
 from folioflow.operators import vector as V
+from pyspark.sql import functions as F
 
 TEXTS = ["", "...", "red fox", "Red Fox jumps over lazy dogs", "lazy dogs sleep", "blue whale sings", "fox and whale", "a long story " + "of a lazy whale " * 300]
 CHUNKS = [(f"c{n}_{i}", f"d{n}", t, 1) for i, t in enumerate(TEXTS) for n in range(7)]
@@ -42,3 +46,14 @@ def test_encoded_scan_gives_the_rows_of_cells(spark, monkeypatch):
 def test_postings_of_a_chunk_need_no_shuffle(spark):
     ix, *_ = tables(spark)
     assert "Exchange" not in plan(K.postings(ix.chunks, "document_id"))
+
+
+def test_chunks_in_tasks_are_those_of_columns(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["a", "longer", "é" * 5, "x" * 30, "end.", "end?!", "...", "\n\n", "\t ", "\u2028", "\u00a0", "!", "", "x" * 260])
+    texts = ["", " ", None, " " * 1500, "x" * 1500, "." * 1500, "a. " * 600, "x" * 1001 + " ."] + [rng.choice([" ", "  ", ""]).join(word() for _ in range(rng.choice([5, 200, 900]))) for _ in range(150)]
+    pages = spark.createDataFrame([(f"d{i}", 1, t) for i, t in enumerate(texts)], "document_id string, page_number int, page_text string")
+    want = pages.select("document_id", F.posexplode(T.chunk_array(F.col("page_text"))).alias("chunk_index", "c")).select("document_id", "chunk_index", "c.text", "c.start_index", "c.end_index")
+    got = T.chunked(pages).select(*want.columns)
+    assert rows(got) == rows(want)
+    assert "MapInArrow" in plan(got)  # columns of lambdas took most of the time that an index took
