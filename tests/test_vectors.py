@@ -115,3 +115,20 @@ def test_blocks_that_stay_empty_with_text_ids(spark, monkeypatch):
     rows = [(f"c{i}", [float(i % 3), 1.0]) for i in range(6)]
     found = V.nearest(spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, embedding array<float>"), spark.createDataFrame(rows, "id string, embedding array<float>"), 2)
     assert [r.id for r in found.orderBy("rank").collect()] == ["c1", "c4"]
+
+
+def test_pairs_copy_a_vector_once_a_block(spark, monkeypatch):
+    """Vectors without structure meet all others; a vector is in as many groups as there are blocks, not cells."""
+    monkeypatch.setattr(V, "LEAST", 8)
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "BLOCKS", 5)
+    x = clustered(1000, 1, 10.0)
+    s = cosines(x, x)
+    found = V.similar_pairs(table(spark, x), 0.5)
+    assert {(r.a, r.b, r.score + 0.0) for r in found.collect()} == {(int(a), int(b), s[a, b]) for a, b in zip(*np.nonzero(s > 0.5)) if a < b}
+    plan = found._jdf.queryExecution().optimizedPlan()
+    groups = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.child())
+    assert 1000 < groups.count() <= 5 * len(x)
+    # text ids, copies that are dealt to several blocks
+    same = spark.createDataFrame([(f"c{i:02}", [1.0, 2.0]) for i in range(60)], "id string, embedding array<float>")
+    assert sorted((r.a, r.b) for r in V.similar_pairs(same, 0.5).collect()) == [(f"c{i:02}", f"c{j:02}") for i in range(60) for j in range(i + 1, 60)]
