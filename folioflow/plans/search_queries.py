@@ -133,7 +133,7 @@ def e3(spark, d):
 
 @query("e4_base_score", O.with_(C, CH, Q, O.POSTINGS, O.base(), select="SELECT query_id, chunk_id, round(base, 6) AS base FROM base"))
 def e4(spark, d):
-    return K.base_scores(X.index(spark, d), X.questions(spark, d)).select("query_id", "chunk_id", F.round("base", 6).alias("base"))
+    return K.all_bases(X.index(spark, d), X.questions(spark, d)).select("query_id", "chunk_id", F.round("base", 6).alias("base"))
 
 
 @query("e5_phrase_boost", O.with_(C, CH, Q, select="SELECT query_id, chunk_id FROM questions JOIN chunks ON contains(lower(text), lower(query))"))
@@ -152,8 +152,7 @@ def e5(spark, d):
     O.with_(C, CH, Q, O.POSTINGS, O.base(), O.boosted(), select="SELECT query_id, chunk_id, list_min(list_transform(range(1, len(p)), lambda i: p[i + 1] - p[i]))::INT AS distance FROM placesof"),
 )
 def e6(spark, d):
-    ix, q = X.index(spark, d), X.questions(spark, d)
-    return K.min_distances(K.base_scores(ix, q).select("query_id", "chunk_id"), ix.chunks, q)
+    return K.all_distances(X.index(spark, d), X.questions(spark, d))
 
 
 @query("e7_top_k", O.with_(C, CH, Q, O.POSTINGS, O.base(), "scored AS (SELECT query_id, chunk_id, NULL AS document_id, round(base, 6) AS score FROM base)", O.ranked(5), select="SELECT query_id, rank, chunk_id, score FROM found"))

@@ -1,7 +1,9 @@
 """Searches of few queries read the chunks where they are; the same rows as through postings and cells."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 from folioflow.functions import text as T
 from folioflow.operators import keyword as K
 from folioflow.operators import vector as V
@@ -36,6 +38,17 @@ def test_scan_gives_the_rows_of_postings_and_cells(spark, monkeypatch):
     assert got == [rows(f()) for f in scans] and all(got)
 
 
+def test_bases_and_distances_of_few_queries_are_not_shuffled(spark, monkeypatch):
+    ix, asked, _ = tables(spark)
+    asked = asked.union(spark.createDataFrame([("q6", "whales whale fox fox", None), ("q7", "azy lazy dog dogs", None)], asked.schema))
+    asked = asked.drop("document_filter")
+    searches = [lambda: K.all_bases(ix, asked).withColumn("base", F.round("base", 9)), lambda: K.all_distances(ix, asked)]
+    assert not any("Exchange" in plan(f()) for f in searches)  # every pair was shuffled with its texts before
+    got = [rows(f().fillna(-1)) for f in searches]
+    monkeypatch.setattr(K, "HELD_QUERIES", 0)
+    assert got == [rows(f().fillna(-1)) for f in searches] and all(got)
+
+
 def test_encoded_scan_gives_the_rows_of_cells(spark, monkeypatch):
     ix, asked, _ = tables(spark)
     got = rows(V.nearest_texts(asked, ix.chunks, 9))
@@ -48,6 +61,17 @@ def test_postings_of_a_chunk_need_no_shuffle(spark):
     assert "Exchange" not in plan(K.postings(ix.chunks, "document_id"))
 
 
+def test_counted_terms_are_tokens():
+    rng = random.Random(1)
+    parts = ["the ", "fox ", "é", "ab ", "Zz", "_a9 ", " ", "kelvin\u212a", "x", "\n", "...", "longword ", "\x00", "\u017f"]
+    lows = [None, "", " "] + ["".join(rng.choice(parts) for _ in range(rng.randrange(200))) for _ in range(300)]
+    row, term, count, names = T.term_counts(pa.array(lows, pa.string()))
+    names = names.to_pylist()
+    assert names == sorted(names) and list(zip(term, row)) == sorted(zip(term, row))
+    want = {(i, t): n for i, low in enumerate(lows) for t, n in Counter(T.token_list(low or "")).items()}
+    assert {(r, names[t]): n for r, t, n in zip(row, term, count)} == want
+
+
 def test_chunks_in_tasks_are_those_of_columns(spark):
     rng = random.Random(7)
     word = lambda: rng.choice(["a", "longer", "é" * 5, "x" * 30, "end.", "end?!", "...", "\n\n", "\t ", "\u2028", "\u00a0", "!", "", "x" * 260])
