@@ -103,3 +103,32 @@ def test_search_within_documents_needs_no_chunks_for_scores(spark, tmp_path):
     assert f"{tmp_path}/i/chunks" not in base._jdf.queryExecution().optimizedPlan().toString() and not any("/i/chunks/" in f for f in base.inputFiles())
     want = K.base_scores(K.index(stored.chunked(docs)), asked, within=True)
     assert sorted(map(tuple, base.collect())) == sorted(map(tuple, want.collect())) and base.count() == 1
+
+
+def test_section_lookup_scores_a_document_in_its_row(spark, tmp_path):
+    """The same chunks as a search within documents, without a shuffle of postings."""
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"alpha beta word{i} word{j}." + " filler" * 150 for j in range(9))) for i in range(5)] + [("none", None)], "document_id string, text string")
+    stored.save_index(docs, f"{tmp_path}/i")
+    ix = stored.open_index(spark, f"{tmp_path}/i")
+    asked = spark.createDataFrame([(f"d{i}", f"Word{i}", f"word{i + 2}", "kept") for i in range(5)] + [("d9", "x", "alpha", "away"), ("none", "alpha", "beta", "empty")], "document_id string, section string, name string, summary string")
+    queries = asked.select(F.col("document_id").alias("query_id"), "document_id", F.concat_ws(" ", "section", "name").alias("query"))
+    hits = K.search(ix, queries, 3, within=True).join(ix.chunks.select("chunk_id", "text"), "chunk_id").orderBy("query_id", "rank").collect()
+    want = {r.document_id: r.summary for r in asked.collect()} | {q: "\n\n".join(h.text for h in hits if h.query_id == q) for q in {h.query_id for h in hits}}
+    got = K.section_lookup(ix, asked)
+    assert {r.document_id: r.content for r in got.collect()} == want and want["d9"] == "away" and want["d1"] != "kept"
+    assert "/i/postings" not in got._jdf.queryExecution().optimizedPlan().toString() and not any("/i/postings/" in f for f in got.inputFiles())
+
+
+def test_texts_of_a_batch_are_shuffled_once(spark, tmp_path):
+    """Chunks lie where their documents do, and a batch reads the former texts only of the documents that it changes, once."""
+    docs = spark.createDataFrame([(f"d{i}", f"alpha beta word{i}.") for i in range(30)], "document_id string, text string").repartition(3)
+    stored.save_index(docs, f"{tmp_path}/i")
+    log = lambda name: stored._read(spark, f"{tmp_path}/i", name)
+    of = {r.document_id: r.bucket for r in log("documents").collect()}
+    # chunks lie in the bucket of their document, so cutting a bucket's documents writes to its folder only
+    assert all(of[r.document_id] == r.bucket for r in log("chunks").collect()) and log("chunks").count() == 30
+    tried = []
+    later = spark.createDataFrame([("d1", "put", 5, "omega."), ("d1", "put", 4, "old."), ("d2", "put", -1, "late."), ("new", "delete", 1, None)], stored.CHANGES)
+    stored.apply_changes(spark, f"{tmp_path}/i", later, 1, lambda d: tried.append(d) or stored.chunked(d))
+    assert {(r.document_id, r.text) for r in log("documents").where("batch = 1").collect()} == {("d1", "omega."), ("new", None)}
+    assert len(tried) == 2 and [r.document_id for r in tried[1].collect()] == ["d1"]
