@@ -8,6 +8,7 @@ from collections import Counter
 
 from folioflow.functions.text import STOP_WORDS
 from folioflow.operators import keyword as K
+from pyspark.sql import functions as F
 
 
 def tokens(text):
@@ -95,3 +96,26 @@ def test_distances_by_brute_force(spark):
 def test_copies_of_chunks_grow_slowly_with_queries():
     assert K.cell_grid(1_800_000, 512_000, 48) == (8, 55)  # with blocks of the least size each chunk would be copied 250 times
     assert K.cell_grid(36_000, 200, 32) == (1, 5) and K.cell_grid(36_000, 10_000, 12) == (3, 4) and K.cell_grid(0, 0, 8) == (1, 1)
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """Queries and chunks were copied by a shuffle for each of their cells before."""
+    chunks = spark.createDataFrame([(c, t) for c, _, t in rows()], "chunk_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", [f"word{i}", "word3", "nowhere"], [1.0 + i, 0.5, 2.0], None) for i in range(9)], "query_id string, terms array<string>, weights array<double>, floor double")
+    counts = {c: Counter(tokens(t)) for c, _, t in rows()}
+    want = {}
+    for i in range(9):
+        weight = Counter({f"word{i}": 1.0 + i}) + Counter({"word3": 0.5})
+        want[f"q{i}"] = sorted((-round(sum(w * n[t] for t, w in weight.items()) / max(n.values(), default=1), 9), c) for c, n in counts.items() if any(n[t] for t in weight))
+    for size in (7, 100):
+        best = K.cell_scores(K.chunk_blocks(chunks, size), K.query_blocks(asked.repartition(2), size), 4)
+        assert "Exchange hash" not in best._jdf.queryExecution().executedPlan().toString() and "CoGroup" not in best._jdf.queryExecution().executedPlan().toString()
+        got = best.collect()
+        for q, found in want.items():
+            of = sorted((-round(r.base, 9), r.chunk_id) for r in got if r.query_id == q)
+            assert [b for b, _ in of[:4]] == [b for b, _ in found[:4]] and all(x in found for x in of)
+        # with a floor all that a boost could lift there come back
+        floors = asked.withColumn("floor", F.lit(1.2))
+        near = {(r.query_id, r.chunk_id): r for r in K.cell_scores(K.chunk_blocks(chunks, size), K.query_blocks(floors, size), None).collect()}
+        # two of three terms at most are missing, so all may be boosted by the phrase
+        assert set(near) == {(q, c) for q, found in want.items() for b, c in found if 3 * -b + 1e-5 >= 1.2} and all(r.missing <= 2 for r in near.values())
